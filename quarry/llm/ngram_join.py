@@ -34,12 +34,14 @@ from quarry.llm.components import components
 from quarry.llm.scratch import Scratch
 from quarry.llm.words import lists, shingle_sets, slices
 
-GROUPS = 64
+GROUPS = 256
 #: Shingles that share at least this part of some slice's texts come last in the order; the most frequent HEAVY of them.
 SHARE, HEAVY = 200, 100_000
 #: Members of a cell, or of a chunk of a larger one, that are indexed in one tree.
 CHUNK = 2_000
 LEAF = 16
+#: Smaller cells are compared pair by pair, without a tree. Shingle sets that one verifying step holds on either side.
+SMALL, HELD = 32, 500
 
 
 def enough(overlap, a, b, pct: int):
@@ -47,8 +49,16 @@ def enough(overlap, a, b, pct: int):
     return 100 * overlap >= pct * (a + b - overlap)
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+def count_vector(shingles: np.ndarray) -> bytes:
+    """Counts by group, a byte each; 255 stands for that or more."""
+    return np.minimum(np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
+
+
+def vectors(column: pd.Series) -> np.ndarray:
+    """Count vectors as a matrix, with counts of 255 or more as infinite, so that bounds stay bounds."""
+    found = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), GROUPS).astype(np.int32)
+    found[found == 255] = 1 << 22
+    return found
 
 
 class CountVectorTree:
@@ -56,7 +66,7 @@ class CountVectorTree:
 
     def __init__(self, sizes: np.ndarray, vectors: np.ndarray):
         self.order = np.argsort(sizes, kind="stable")
-        self.sizes, self.vectors = sizes[self.order], vectors[self.order].astype(np.int64)
+        self.sizes, self.vectors = sizes[self.order], vectors[self.order]
         self.levels = []  # from the leaves up: least and greatest size, coordinate maxima
         low, high, most = self.sizes, self.sizes, self.vectors
         while len(low) > LEAF:
@@ -66,7 +76,6 @@ class CountVectorTree:
 
     def search(self, size: int, vector: np.ndarray, pct: int) -> np.ndarray:
         """Indexes of the points, of any size, that may have enough overlap with the given one."""
-        vector = vector.astype(np.int64)
         at = np.arange(len(self.levels[-1][0]) if self.levels else len(self.sizes))
         for depth in range(len(self.levels) - 1, -1, -1):
             low, high, most = (x[at] for x in self.levels[depth])
@@ -111,7 +120,7 @@ def _sketches(docs: DataFrame, k: int, pct: int, heavy) -> DataFrame:
                 else:
                     prefix.append(s[:n].view(np.int64))
                 sigs.append(hashlib.md5(s.tobytes()).digest())
-                vecs.append(count_vector(s).tobytes())
+                vecs.append(count_vector(s))
             yield pa.record_batch({"doc_id": part.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array(sigs, pa.binary()), "prefix": lists(prefix, pa.int64()), "vec": pa.array(vecs, pa.binary())})
 
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>, vec binary")
@@ -123,9 +132,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                vec = [np.frombuffer(b"".join(f[c]), np.uint32).reshape(len(f), GROUPS).astype(np.int64) for c in ("vec_a", "vec_b")]
-                bound = np.minimum(*vec).sum(1)
-                yield f.loc[enough(bound, f.n_a, f.n_b, pct), ["a", "b"]]
+                bound = np.minimum(vectors(f.vec_a), vectors(f.vec_b)).sum(1)
+                yield f.loc[enough(np.minimum(bound, np.minimum(f.n_a, f.n_b)), f.n_a, f.n_b, pct), ["a", "b"]]
 
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("vec").alias(f"vec_{side}")), side)
@@ -133,27 +141,40 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, pct: int, scratch: Scratch) -> DataFrame:
-    """Pairs whose shingle sets have enough overlap; sets are made again, for the texts in question only."""
+    """Pairs whose shingle sets have enough overlap; sets are made again, for the texts in question only.
+
+    Nodes are dealt to blocks of about HELD; a set travels once to each pair of blocks that needs it, not once to each pair of nodes.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             yield pa.record_batch({"doc_id": part.column("doc_id"), "shingles": pa.array([s.tobytes() for s in shingle_sets(part.column("text"), k)], pa.binary())})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held = None, {}
         for f in frames:
-            keep = []
-            for x, y in zip(f.set_a, f.set_b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                keep.append(bool(enough(int((both[1:] == both[:-1]).sum()), len(x), len(y), pct)))
-            yield f.loc[keep, ["a", "b"]]
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    table = scratch.table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"), "sets")
-    for side in ("a", "b"):
-        pairs = pairs.join(table.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    return pairs.mapInPandas(run, "a long, b long").distinct()
+            found = []
+            for i, j, a, b, shingles in zip(f.i, f.j, f.a, f.b, f.shingles, strict=True):
+                if block != (i, j):
+                    block, held = (i, j), {}
+                if shingles is not None:
+                    held.setdefault(a, []).append(np.frombuffer(shingles, np.uint64))
+                elif any(enough(len(x) + len(y) - len(np.union1d(x, y)), len(x), len(y), pct) for x in held[a] for y in held[b]):
+                    found.append((a, b))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    pairs = scratch.table(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    table = scratch.table(docs.join(nodes, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary").distinct(), "sets")
+    blocks = table.count() // HELD + 1
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    placed = pairs.select(F.when(block("a") <= block("b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("p")).select("p.*")
+    placed = placed.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
+    needed = placed.select("i", "j", F.explode(F.array("a", "b")).alias("a")).distinct().join(table.withColumnRenamed("doc_id", "a"), "a")
+    rows = placed.withColumn("shingles", F.lit(None).cast("binary")).unionByName(needed.select("i", "j", "a", F.lit(None).cast("long").alias("b"), "shingles"))
+    # sets have no b and so come before the pairs of their blocks
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first()).mapInPandas(run, "a long, b long").distinct()
 
 
 def _cell_pairs(members: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
@@ -169,31 +190,53 @@ def _cell_pairs(members: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
         .join(nodes.select("node", "n", "vec"), "node")
     )
 
-    def pairs(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        node, comp, chunk, size = (g[c].to_numpy() for c in ("node", "component", "chunk", "n"))
-        vec = np.frombuffer(b"".join(g.vec), np.uint32).reshape(len(g), GROUPS)
-        tree, apart = CountVectorTree(size, vec), g.i.iloc[0] != g.j.iloc[0]
-        for q in range(len(g)):
-            hit = tree.search(size[q], vec[q], pct)
-            hit = hit[(node[hit] > node[q]) & (comp[hit] != comp[q])]
-            if apart:
-                hit = hit[chunk[hit] != chunk[q]]
-            if len(hit):
-                yield np.full(len(hit), node[q]), node[hit]
+    def of_small(f: pd.DataFrame, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of all pairs in the cells of at most SMALL rows that begin at cuts."""
+        size = np.diff(np.r_[cuts, len(f)])
+        size, cuts = size[size <= SMALL], cuts[size <= SMALL]
+        rows = np.repeat(cuts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        after = np.repeat(cuts + size, size) - rows - 1
+        x = np.repeat(rows, after)
+        return x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
+
+    def of_large(f: pd.DataFrame, vec: np.ndarray, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Indexes of the pairs in rows a to b that an R-tree over them finds."""
+        size = f.n.to_numpy()[a:b]
+        tree = CountVectorTree(size, vec[a:b])
+        for q in range(b - a):
+            hit = tree.search(size[q], vec[a + q], pct)
+            hit = hit[hit > q]
+            yield np.full(len(hit), a + q), a + hit
+
+    def pairs(f: pd.DataFrame) -> pd.DataFrame:
+        key = f[["cell", "i", "j"]].to_numpy()
+        cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1]
+        ends = np.r_[cuts[1:], len(f)]
+        vec, size = vectors(f.vec), f.n.to_numpy()
+        x, y = of_small(f, cuts)
+        fits = 100 * np.minimum(size[x], size[y]) >= pct * np.maximum(size[x], size[y])
+        x, y = x[fits], y[fits]
+        large = [p for a, b in zip(cuts, ends, strict=True) if b - a > SMALL for p in of_large(f, vec, a, b)]
+        x, y = (np.concatenate([v, *w]) for v, w in zip((x, y), zip(*large, strict=True) if large else ([], []), strict=True))
+        node, comp, chunk = (f[c].to_numpy() for c in ("node", "component", "chunk"))
+        apart = (f.i != f.j).to_numpy()
+        fits = (comp[x] != comp[y]) & (~apart[x] | (chunk[x] != chunk[y])) & (node[x] != node[y])
+        x, y = x[fits], y[fits]
+        keep = [enough(np.minimum(np.minimum(vec[p], vec[q]).sum(1), np.minimum(size[p], size[q])), size[p], size[q], pct) for p, q in zip(np.array_split(x, len(x) // 4_000 + 1), np.array_split(y, len(y) // 4_000 + 1), strict=True)]
+        x, y = x[np.concatenate(keep)], y[np.concatenate(keep)]
+        return pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}).drop_duplicates()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for f, last in _with_end(frames):
             f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-            if not len(f):
-                continue
-            key = f[["cell", "i", "j"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(f)]
-            whole = cuts if last else cuts[:-1]
-            found = [p for a, b in zip(whole, whole[1:], strict=False) for p in pairs(f.iloc[a:b])]
-            rest = None if last else f.iloc[cuts[-2] :]
-            if found:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
+            end = len(f)
+            if not last:  # the last cell may go on in the next frame
+                same = (f[["cell", "i", "j"]] == f[["cell", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
+                end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            rest = f.iloc[end:]
+            if end:
+                yield pairs(f.iloc[:end].reset_index(drop=True))
 
     return chunked.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInPandas(run, "a long, b long").distinct()
 
@@ -227,20 +270,24 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     nodes = scratch.table(own.groupBy("node", "sig", "n").agg(F.first("prefix").alias("prefix"), F.first("vec").alias("vec")), "nodes")
 
     cells = nodes.select("node", F.explode("prefix").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
+    shared = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
     members = scratch.table(cells.join(shared, "cell"), "members")
-    led = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    # the text that others were made from shares more of its cells, with more texts, than they do
+    central = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    leaders = members.join(central, "node").groupBy("cell").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    led = members.join(leaders, "cell").where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     led = scratch.table(_bounded(led, nodes, pct), "led")
     links = scratch.table(_verified(led, docs, k, pct, scratch), "links")
 
     labels = components(links, scratch)
-    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # in a cell of two, the leader has met the other
+    placed = members.where("size > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     open_ = placed.join(mixed.select("cell"), "cell", "left_semi").select("cell", "node", "component", "size")
     more = scratch.table(_cell_pairs(open_, nodes, pct).join(led, ["a", "b"], "left_anti"), "more")
     links = links.unionByName(_verified(more, docs, k, pct, scratch))
     labels = scratch.table(components(links, scratch), "labels")
-    scratch.drop("members", "sets", "led", "nodes", "stars", "more", "links")
+    scratch.drop("members", "sets", "led", "nodes", "stars", "more", "links", "pairs")
     return (
         sketches.select("doc_id", F.col("n").alias("n_shingles"), "sig")
         .join(equal, "sig", "left")
