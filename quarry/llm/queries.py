@@ -29,6 +29,82 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _vocabulary(name: str) -> str:
+    """Where a public vocabulary's file is on this machine; QUARRY_TOKENIZERS names another folder."""
+    import os
+
+    if folder := os.environ.get("QUARRY_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def WORD_BPE() -> str:  # noqa: N802
+    return _vocabulary("word_bpe_49k.json")
+
+
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.pieces import decode, encode
+
+    model = _vocabulary("piece_bpe_32k.model")
+    both = decode(encode(_documents(spark, sf_dir).select("doc_id", "text"), model, rate=0.1, seed=1, variants=2), model)
+    return both.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.language import identify, learn
+
+    docs = _documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    parser = learn(docs.where(~held_out).select("text", "lang"))
+    return identify(docs, parser).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.sharding import shard_directory
+
+    return shard_directory(_documents(spark, sf_dir), limit=1 << 20)
+
+
+def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.secrets import RULES, scan, span_list
+
+    kinds, base = [r.kind for r in RULES], [r.kind for r in RULES if r.base]
+    found = scan(_documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, base), F.sha2(span_list(F.filter("spans", lambda s: s["kind"].isin(base)), kinds), 256).alias("base_sha256"), span_list(F.col("spans"), kinds).alias("spans")
+    )
+
+
+def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.perplexity import classify
+
+    return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.fertility import quality_rules
+
+    return quality_rules(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.media import document_media
+
+    return document_media(_documents(spark, sf_dir))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir), WORD_BPE()).drop("ids")
+
+
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -43,8 +119,40 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d
 JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
+OP4_SQL = f"""
+WITH r AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h, coalesce(strlen(text), 0) AS bytes FROM documents),
+e AS (SELECT doc_id, bytes, d AS depth, h >> (32 - d) AS prefix FROM r, range(0, 33) t(d)),
+s AS (SELECT depth, prefix, sum(bytes) AS shard_bytes FROM e GROUP BY ALL),
+f AS (SELECT e.doc_id, e.depth, e.prefix, s.shard_bytes FROM e JOIN s USING (depth, prefix) WHERE s.shard_bytes <= {1 << 20} OR depth = 32
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY e.depth) = 1)
+SELECT doc_id, CASE WHEN depth = 0 THEN 'root' ELSE right(bin(prefix + (1::BIGINT << depth::BIGINT)), depth::INT) END AS shard_id,
+  depth::INT AS depth, shard_bytes::BIGINT AS shard_bytes, shard_bytes > {1 << 20} AS oversized FROM f
+"""
+
+
+def _secret_sql() -> str:
+    from quarry.llm.secrets import RULES
+
+    parts = []
+    for rank, r in enumerate(RULES):
+        p = r.pattern.replace("'", "''")
+        parts.append(f"""
+        SELECT doc_id, '{r.kind}' AS kind, {rank} AS rank, {str(r.base).lower()} AS base, start, start + hit AS "end" FROM (
+          SELECT doc_id, unnest(list_transform(range(1, len(h) + 1), lambda i: {{'start': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0),
+            'hit': length(h[i]), 'value': length(v[i])}}), recursive := true)
+          FROM (SELECT doc_id, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {r.value}) AS v FROM d)) WHERE value >= {r.least}""")
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({' UNION ALL '.join(parts)}),
+    a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      coalesce(string_agg(kind || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, rank) FILTER (base), '') AS b,
+      string_agg(kind || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, rank, "end") AS spans FROM m GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN a USING (doc_id)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard": op1_ngram_jaccard,
-    "op6_repeated_passages": op6_repeated_passages,
+    f.__name__: f
+    for f in (op1_ngram_jaccard, op2_merge_dropout, op3_language, op4_sharding, op5_secret_ledger, op6_repeated_passages, op7_perplexity, op8_fertility, op9_media, op10_packing)
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op4_sharding": OP4_SQL, "op5_secret_ledger": _secret_sql()}

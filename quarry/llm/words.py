@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -158,3 +159,18 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     np.cumsum([len(x) for x in parts], out=ends[1:])
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype(), copy=False), kind))
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each hash the number of its kind, and for each kind the index of its first hash."""
+    codes, kinds = pd.factorize(hashes)
+    first = np.zeros(len(kinds), np.int64)
+    first[codes[::-1]] = np.arange(len(hashes))[::-1]
+    return codes, first
+
+
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The indexes start[i], start[i] + 1, ... of all ranges, one after another."""
+    if not len(length):
+        return np.zeros(0, np.int64)
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
