@@ -54,12 +54,17 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return follow
 
 
+def letters(word: str) -> str:
+    """The word's letters, lower-cased; digits and signs are of no language."""
+    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word.lower()))
+
+
 class CrossParser:
     """Automata of several languages as transition tables over one alphabet; 0 means no transition."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        parts = {x: ["".join((" ", w)).encode() for w in dict.fromkeys(samples[x])] for x in self.languages}
+        parts = {x: [f" {w}".encode() for w in dict.fromkeys(map(letters, samples[x])) if w] for x in self.languages}
         used = sorted({b for ws in parts.values() for w in ws for b in w})
         self.code = np.zeros(256, np.int64)  # symbol 0: none of the alphabet
         self.code[used] = np.arange(1, len(used) + 1)
@@ -111,7 +116,7 @@ def learn(labelled: DataFrame) -> CrossParser:
     rows = sorted(drawn.limit(2 * LEARN_DOCS * len(counts)).collect(), key=lambda r: (r["lang"], r["draw"], r["text"]))
     samples: dict[str, list[str]] = {}
     for r in rows:
-        samples.setdefault(r["lang"], []).extend(r["text"].lower().split())
+        samples.setdefault(r["lang"], []).extend(r["text"].split())
     return CrossParser(samples)
 
 
@@ -127,11 +132,12 @@ def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
             codes, first = distinct(w.hashes())
             found = [w.text(i) for i in first]
             kinds = [x.decode() for x in found]
-            letter = np.array([any(map(str.isalpha, x)) for x in kinds], bool)
+            kinds = [letters(x) for x in kinds]
+            letter = np.array([x != "" for x in kinds], bool)
             lettered = np.bincount(w.doc, letter[codes], part.num_rows) > 0 if len(codes) else np.zeros(part.num_rows, bool)
             total = np.zeros((len(model.languages), part.num_rows))
             if len(codes) and model.languages:
-                needed = model.phrases([b" " + x.lower().encode() for x in kinds])
+                needed = model.phrases([f" {x}".encode() if x else b"" for x in kinds])
                 total = np.array([np.bincount(w.doc, n[codes], part.num_rows) for n in needed])
             if model.languages:
                 best = np.where(lettered, total.argmin(0), len(names) - 1)
