@@ -132,11 +132,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     wanted = grams.join(often, "gram", "left_semi").unionByName(own.select("doc_id", F.explode("again").alias("gram")))
     wanted = wanted.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
     wins = scratch.table(_windows(docs.join(wanted, "doc_id"), min_words, gram), "windows")
-    twice = wins.groupBy("win").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    met = wins.join(twice.select("win", "first"), "win")
+    # a table of its own, so that the join has two plain sides and a window of very many texts can be split
+    twice = scratch.table(wins.groupBy("win").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("win", "first"), "twice")
+    met = wins.join(twice, "win")
     found = met.groupBy("doc_id").agg(F.collect_list(F.struct("pos", ((F.col("doc_id") == F.col("first")) & (F.col("n") > 0)).cast("int").alias("kept"))).alias("at"))
     spans = scratch.table(_spans(found, min_words), "spans")
-    scratch.drop("windows")
+    scratch.drop("windows", "twice")
     copied = suffixes.join(blobs.where("copies > 1"), "blob").select("doc_id", "rep", "n_words").dropDuplicates(["doc_id"])
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     none = F.array().cast(SPANS)
