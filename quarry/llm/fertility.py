@@ -101,10 +101,11 @@ def features(docs: DataFrame, model: str) -> DataFrame:
 
 def quality_rules(docs: DataFrame, model: str, reach: float = REACH) -> DataFrame:
     """Per row of docs: doc_id, FEATURES, base_failed, kept."""
-    rows = Scratch(docs.sparkSession).table(features(docs, model), "fertility").withColumn("lang", F.coalesce("lang", F.lit("und")))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(features(docs, model), "fertility").withColumn("lang", F.coalesce("lang", F.lit("und")))
     names = ("chars_per_token", "byte_share", "entropy")
     quartiles = rows.where(F.col("n_tokens") >= LEAST_TOKENS).groupBy("lang").agg(*[F.percentile_approx(c, [0.25, 0.75], 10_000).alias(f"q_{c}") for c in names])
-    joined = rows.join(quartiles, "lang", "left")
+    joined = rows.join(scratch.table(quartiles, "quartiles"), "lang", "left")  # Spark broadcasts it if its file is small
     low = {c: F.col(f"q_{c}")[0] - reach * (F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0]) for c in names}
     high = {c: F.col(f"q_{c}")[1] + reach * (F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0]) for c in names}
     odd = (F.col("chars_per_token") < low["chars_per_token"]) | (F.col("chars_per_token") > high["chars_per_token"]) | (F.col("byte_share") > high["byte_share"] + 0.02) | (F.col("entropy") < low["entropy"])
