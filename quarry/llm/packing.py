@@ -34,6 +34,8 @@ from quarry.llm.scratch import Scratch
 from quarry.llm.words import distinct, slices, spread, words
 
 WINDOW, END_ID, LEAST = 2048, 1, 16
+#: Documents that are cut at a time.
+ROWS = 1_000
 
 
 class WordBpe:
@@ -106,7 +108,7 @@ def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, given = _tokeniser(tokenizer), TaskContext.get().partitionId(), {}
-        for rows in slices(batches, "text", 6_000_000):
+        for rows in slices(batches, "text", 4_000_000):
             w = words(rows.column("text"))
             codes, first = distinct(w.hashes())
             flat, size = bpe.ids([w.text(i).decode() for i in first])
@@ -171,8 +173,8 @@ class Mixture:
         return low
 
 
-def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None) -> DataFrame:
-    """Pieces of all rows of docs (doc_id, text, source): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
+    """Pieces of all rows of docs (doc_id, text, source): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, ids.
 
     targets: weights of sources in each window; sources it doesn't name share what it leaves, or go last.
     """
@@ -193,13 +195,14 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     found = {r.queue: r.n for r in counts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     lengths = [found.get(q, 0) for q in range(len(known) + 1)]
     weights = None if targets is None else [int(1e6 * targets.get(name, 0)) for name in known] + [max(0, int(1e6 * (1 - sum(targets.values()))))]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     mixture = spark.sparkContext.broadcast(Mixture(lengths, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = mixture.value
-        for rows in batches:
+        for rows in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             out = []
-            for k, (doc_id, q, n, at, begin, ids) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "queue", "n", "at", "begin", "ids")), strict=True)):
+            for doc_id, q, n, at, begin, ids in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "queue", "n", "at", "begin", "ids")), strict=True):
                 ids = np.frombuffer(ids, "<u4" if len(ids) == 4 * n else "<u2").astype("<u4")
                 at, done = at + begin, 0
                 window = mix.window_of(q, at)
@@ -215,9 +218,12 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
                     done += length
             if out:
                 *cols, pieces = zip(*out, strict=True)
+                found = [pa.array(c, pa.int64()) for c in cols]
+                if not with_ids:
+                    yield pa.RecordBatch.from_arrays(found, names=names)
+                    continue
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cols[2])].astype(np.int32)), pa.array(np.concatenate(pieces).astype(np.int32)))
-                names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), lists], names=[*names, "ids"])
+                yield pa.RecordBatch.from_arrays([*found, lists], names=[*names, "ids"])
 
     placed = tokens.join(begins, ["part", "queue"]).select("doc_id", "queue", "n", "at", "begin", "ids")
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    return placed.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", ids array<int>" * with_ids)

@@ -102,7 +102,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack
 
-    return pack(_documents(spark, sf_dir), WORD_BPE()).drop("ids")
+    return pack(_documents(spark, sf_dir), WORD_BPE(), with_ids=False)
 
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 2_000_000
+#: Bytes that are hashed at a time.
+BLOCK = 1 << 18
 _U = np.uint64
 
 
@@ -42,7 +44,7 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
-        size = max(n, SLICE + 1)
+        size = max(n, 2 * BLOCK)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, _U)
             steps[0] = 1
@@ -70,10 +72,17 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes: a polynomial over random byte values, by prefix sums."""
-        up, down = _power(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, _U)
-        np.cumsum(_BYTES[self.data] * up[: len(self.data)], out=total[1:], dtype=_U)
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        out = np.empty(len(self.start), _U)
+        block = self.start // BLOCK
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i < j:
+                low, high = self.start[i], self.end[j - 1]
+                up, down = _power(int(high - low) + 1)
+                total = np.zeros(high - low + 1, _U)
+                np.cumsum(_BYTES[self.data[low:high]] * up[: high - low], out=total[1:], dtype=_U)
+                out[i:j] = mix((total[self.end[i:j] - low] - total[self.start[i:j] - low]) * down[self.start[i:j] - low])
+        return out
 
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
