@@ -1,3 +1,3 @@
 """Registered queries over the test tables."""
 
-from quarry.plans import formal, queries  # noqa: F401
+from quarry.plans import formal, queries, statements  # noqa: F401

@@ -24,6 +24,9 @@ CASES = [
     ({"formal": "theorem t : x + 0 < y"}, ["trivial_add_zero_padding"]),
     ({"plan": "Simpa only, same conclusion"}, ["syntactic_wrapper_only"]),
     ({"formal": "theorem t : Matrix.det (m : Fin 1) < 3", "plan": "one-by-one"}, ["fin_one_concrete_arithmetic_theorem"]),
+    ({"formal": "theorem t : long_goal a ∧ long_goal b", "parents": ["theorem p : long_goal a", "theorem q : long_goal b"], "kind": "crossover"}, ["side_by_side_conjunction"]),
+    ({"formal": "theorem t : long_goal a ∧ long_goal b", "parents": ["theorem p : long_goal a"], "kind": "crossover"}, []),
+    ({"formal": "theorem t : a ∧ b", "plan": "Side by side", "kind": "crossover"}, ["side_by_side_conjunction"]),
     ({"statement": "x < y"}, []),
     ({}, []),
 ]
