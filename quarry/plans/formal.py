@@ -124,7 +124,7 @@ def _shape_sql(i: int) -> str:
 
 
 @query(f"""WITH x AS (SELECT o_orderkey % 8 AS shape, o_orderkey % 3 AS kind, {_shape_sql(0)} AS f, {_shape_sql(2)} AS p, o_orderstatus = 'F' AS ok, o_custkey AS k FROM orders),
-y AS (SELECT *, CASE WHEN shape = 0 AND k = 9 AND kind = 0 AND ok THEN 'parameter_shift_only_theorem,same_formal_statement_as_parent' WHEN shape = 0 AND k = 9 THEN 'same_formal_statement_as_parent' WHEN shape = 0 AND kind = 0 AND ok THEN 'parameter_shift_only_theorem'
+y AS (SELECT *, CASE WHEN shape = 0 AND k = 0 AND kind = 0 AND ok THEN 'parameter_shift_only_theorem,trivial_add_zero_padding' WHEN shape = 0 AND k = 0 THEN 'trivial_add_zero_padding' WHEN shape = 0 AND k = 9 AND kind = 0 AND ok THEN 'parameter_shift_only_theorem,same_formal_statement_as_parent' WHEN shape = 0 AND k = 9 THEN 'same_formal_statement_as_parent' WHEN shape = 0 AND kind = 0 AND ok THEN 'parameter_shift_only_theorem'
 WHEN shape = 1 AND kind = 0 AND ok THEN 'typeclass_narrowing_only' WHEN shape = 2 AND kind = 0 AND ok THEN 'auxiliary_conjunct_only_theorem' WHEN shape = 3 AND kind = 1 THEN 'computational_crossover_only,concrete_native_decide_projection' WHEN shape = 3 THEN 'concrete_native_decide_projection'
 WHEN shape = 4 THEN 'fin_one_vacuity_theorem' WHEN shape = 5 THEN 'trivial_negation_chain' WHEN shape = 6 AND kind = 0 AND ok THEN 'unit_product_closure_only' WHEN shape = 7 THEN 'same_formal_statement_as_parent' ELSE '' END AS flags FROM x)
 SELECT flags, count(*) AS n FROM y GROUP BY 1""")
