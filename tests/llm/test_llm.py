@@ -248,6 +248,30 @@ def test_kneser_ney_sums_to_one(spark):
     assert np.exp(perplexity.log_p(every, table)).reshape(4, size).sum(1) == pytest.approx(np.ones(4), abs=1e-4)
 
 
+def test_classifier_learns_from_all_trusted_documents(spark):
+    """Text that only trusted documents beyond the first 4,000 have is known, too."""
+    from quarry.llm.scratch import Scratch
+
+    ids = spark.range(4_400).withColumnRenamed("id", "doc_id")
+    last = {r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()[4_000:]}
+    docs = spark.createDataFrame([(i, "p q r s" if i in last else "a b c d", "en") for i in range(4_400)], "doc_id long, text string, lang string")
+    rows = perplexity.perplexities(docs, ids.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")), Scratch(spark)).collect()
+    assert len(rows) == 4_400 and max(r.perplexity for r in rows) < 3
+
+
+def test_classifier_tells_rarer_words_apart(spark):
+    """Of 1,500 words, equally frequent, each has its own place: mixed up they are less likely, though their shapes are the same."""
+    from quarry.llm.scratch import Scratch
+
+    plain = [" ".join(f"{x}q{chr(97 + i // 26)}{chr(97 + i % 26)}" for x in "abc") for i in range(500)]
+    third = [t.split()[2] for t in plain]
+    mixed = [f"{t.rsplit(' ', 1)[0]} {third[(i + 7) % 500]}" for i, t in enumerate(plain)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*plain * 3, *mixed])], "doc_id long, text string, lang string")
+    labels = spark.range(1_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    p = {r.doc_id: r.perplexity for r in perplexity.perplexities(docs, labels, Scratch(spark)).collect()}
+    assert np.mean([p[i] for i in range(1_500, 2_000)]) > 2 * np.mean([p[i] for i in range(1_500)])
+
+
 def test_fertility_rules(spark, docs, edges, empty):
     rows = {r.doc_id: r for r in quality_rules(docs, _vocabulary("piece_bpe_32k.model")).collect()}
     for d in docs.collect():
