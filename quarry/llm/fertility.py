@@ -2,8 +2,9 @@
 
 A public vocabulary with byte fallback encodes every distinct word of a slice of texts once. Per text:
 characters per token, the share of tokens that are fallback bytes, and the entropy of its tokens as a part of
-the most that so many tokens can have. For each language these have quartiles over all texts, and a text far
-outside of them (REACH times the spread between the quartiles) is rejected; short texts have no verdict
+the most that so many tokens can have. For each language these have quartiles over its distinct texts, and a text
+far outside of them (REACH times the spread between the quartiles, which is LEAST_SPREAD at least) is rejected;
+however often a text is copied, it counts once. Short texts have no verdict
 of their own (LEAST_TOKENS) and pass.
 
 Rows: null text has no word and fails the base rules. Null lang is a language of its own. Repeated rows and extra
@@ -22,6 +23,7 @@ from quarry.llm.scratch import Scratch
 from quarry.llm.words import distinct, mix, slices, spread, windows, words
 
 REACH, LEAST_TOKENS, WINDOW = 3.0, 50, 8
+LEAST_SPREAD = {"chars_per_token": 0.1, "byte_share": 0.0, "entropy": 0.01}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
@@ -68,7 +70,7 @@ def repeated_words(hashes: np.ndarray, w) -> np.ndarray:
 
 
 def features(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, lang and FEATURES of each row of docs (doc_id, text, lang). model: path of a SentencePiece model with byte fallback."""
+    """doc_id, lang, digest (of the text) and FEATURES of each row of docs (doc_id, text, lang). model: path of a SentencePiece model with byte fallback."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(model)
@@ -91,12 +93,12 @@ def features(docs: DataFrame, model: str) -> DataFrame:
             chars = _sums(letters & solid, w.offsets)
             some = np.maximum(n_tokens, 1)
             yield pa.record_batch({
-                "doc_id": part.column("doc_id"), "lang": part.column("lang"), "n_words": pa.array(w.counts, pa.int64()), "word_chars": pa.array(chars), "n_symbols": pa.array(_sums(_SYMBOL[w.data], w.offsets)),
+                "doc_id": part.column("doc_id"), "lang": part.column("lang"), "digest": part.column("digest"), "n_words": pa.array(w.counts, pa.int64()), "word_chars": pa.array(chars), "n_symbols": pa.array(_sums(_SYMBOL[w.data], w.offsets)),
                 "n_dup_lines": pa.array([duplicate_lines(t or "") for t in part.column("text").to_pylist()], pa.int64()), "n_repeat_words": pa.array(repeated_words(hashes, w)), "n_tokens": pa.array(n_tokens, pa.int64()),
                 "chars_per_token": pa.array(chars / some), "byte_share": pa.array(np.bincount(owner, is_byte[tokens], n) / some), "entropy": pa.array(bits / np.log2(np.maximum(n_tokens, 2))),
             })
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).mapInArrow(run, f"doc_id long, lang string, {FEATURES}")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.xxhash64("text").alias("digest")).mapInArrow(run, f"doc_id long, lang string, digest long, {FEATURES}")
 
 
 def quality_rules(docs: DataFrame, model: str, reach: float = REACH) -> DataFrame:
@@ -104,10 +106,12 @@ def quality_rules(docs: DataFrame, model: str, reach: float = REACH) -> DataFram
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(features(docs, model), "fertility").withColumn("lang", F.coalesce("lang", F.lit("und")))
     names = ("chars_per_token", "byte_share", "entropy")
-    quartiles = rows.where(F.col("n_tokens") >= LEAST_TOKENS).groupBy("lang").agg(*[F.percentile_approx(c, [0.25, 0.75], 10_000).alias(f"q_{c}") for c in names])
+    texts = rows.where(F.col("n_tokens") >= LEAST_TOKENS).select("lang", "digest", *names).dropDuplicates(["lang", "digest"])
+    quartiles = texts.groupBy("lang").agg(*[F.percentile_approx(c, [0.25, 0.75], 10_000).alias(f"q_{c}") for c in names])
     joined = rows.join(scratch.table(quartiles, "quartiles"), "lang", "left")  # Spark broadcasts it if its file is small
-    low = {c: F.col(f"q_{c}")[0] - reach * (F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0]) for c in names}
-    high = {c: F.col(f"q_{c}")[1] + reach * (F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0]) for c in names}
+    wide = {c: F.greatest(F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0], F.lit(LEAST_SPREAD[c])) for c in names}
+    low = {c: F.col(f"q_{c}")[0] - reach * wide[c] for c in names}
+    high = {c: F.col(f"q_{c}")[1] + reach * wide[c] for c in names}
     odd = (F.col("chars_per_token") < low["chars_per_token"]) | (F.col("chars_per_token") > high["chars_per_token"]) | (F.col("byte_share") > high["byte_share"] + 0.02) | (F.col("entropy") < low["entropy"])
     odd = (F.col("n_tokens") >= LEAST_TOKENS) & F.coalesce(odd, F.lit(False))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

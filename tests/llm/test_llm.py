@@ -286,6 +286,18 @@ def test_fertility_rules(spark, docs, edges, empty):
     assert quality_rules(edges, _vocabulary("piece_bpe_32k.model")).count() == 10 and quality_rules(empty, _vocabulary("piece_bpe_32k.model")).count() == 0
 
 
+def test_fertility_with_a_hot_text(spark, docs):
+    """Two thirds of a language are one text; its other documents are kept as they are without the copies."""
+    path = _vocabulary("piece_bpe_32k.model")
+    plain = docs.where("lang = 'en'").select("doc_id", "text", "lang").dropDuplicates(["text"])
+    ranked = [r.doc_id for r in quality_rules(plain, path).where("kept and n_tokens >= 50").orderBy("chars_per_token").collect()]
+    text = plain.where(F.col("doc_id") == ranked[len(ranked) // 2]).first().text
+    hot = spark.range(2 * plain.count()).select((F.col("id") + 1_000_000).alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"))
+    kept = lambda df: {r.doc_id for r in quality_rules(df, path).where("kept and doc_id < 1000000").collect()}
+    alone, among = kept(plain), kept(plain.unionByName(hot))
+    assert len(alone) > 20 and len(alone - among) <= 0.02 * len(alone)
+
+
 def test_media_round_trip(spark, docs, edges, empty):
     import hashlib
 
