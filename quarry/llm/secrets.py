@@ -36,12 +36,15 @@ class Rule:
 
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_KEY = "(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+# through the END line (its head lines may have hyphens), or, where that is missing, the base64 that follows; a word after a line feed may go with that
+PEM = rf"-----BEGIN {_KEY}(?:(?:[^-]*-[A-Za-z0-9]){{0,16}}[^-]*-----END {_KEY}|(?:[\x20\t\r\n\\]+[A-Za-z0-9+/=\r\n\\]{{16,}})*)"
 RULES = (
     Rule("assign", 1, ASSIGN, 12, 2, find=r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
     Rule("access", 1, "AKIA[A-Z0-9]{14,}", 18, find="AKIA"),
     Rule("hex", 1, "[0-9a-f]{16,}", 16, find="[0-9a-f]{16}"),
     # the method's own additions: key blocks, signed tokens and prefixed tokens of public services
-    Rule("pem", 1, "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 20, base=False, find="PRIVATE KEY"),
+    Rule("pem", 2, PEM, 20, base=False, find="PRIVATE KEY"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 20, base=False, find="eyJ"),
     Rule("prefixed", 1, "(?:gh[pousr]_|sk_live_|xox[abprs]-)[A-Za-z0-9_-]+", 20, base=False, find="gh[pousr]_|sk_live_|xox[abprs]-"),
 )
@@ -96,10 +99,13 @@ def span_list(spans: Column, order: list[str]) -> Column:
     return F.array_join(F.transform(ranked, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs (path, text): path, blob, spans (array of kind, start, end). Rows of the ledger are used where they are there."""
-    scratch = Scratch(docs.sparkSession)
-    versions = docs.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+def _versions(docs: DataFrame, path: str, text: str) -> DataFrame:
+    return docs.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+
+
+def _blob_spans(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, spans (array of kind, start, end): a row for each blob with a finding."""
+    scratch = Scratch(versions.sparkSession)
     new = update_ledger(versions.withColumn("path", F.coalesce(F.col("path").cast("string"), F.lit(""))), ledger, rules)
     findings = scratch.table(new.where(F.size("places") > 0).distinct(), "ledger")
     if ledger is not None:
@@ -108,13 +114,19 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
             part = ledger.where((F.col("kind") == r.kind) & (F.col("version") == r.version) & (F.size("places") > 0))
             known = part if known is None else known.unionByName(part)
         findings = findings.unionByName(known.select(findings.columns)).distinct()
-    spans = findings.select("blob", F.explode("places").alias("p"), "kind").groupBy("blob").agg(F.collect_list(F.struct("kind", "p.start", "p.end")).alias("spans"))
+    return findings.select("blob", F.explode("places").alias("p"), "kind").groupBy("blob").agg(F.collect_list(F.struct("kind", "p.start", "p.end")).alias("spans"))
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs (path, text): path, blob, spans (array of kind, start, end). Rows of the ledger are used where they are there."""
+    versions = _versions(docs, path, text)
+    spans = _blob_spans(versions, ledger, rules)
     return versions.select("path", "blob").join(spans, "blob", "left").select(F.col("path").alias(path), "blob", F.coalesce("spans", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
-    """docs with the spans of every finding replaced by mask; overlapping spans are joined."""
-    found = scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans")).dropDuplicates(["__id"])
+    """docs with the spans of every finding replaced by mask; overlapping spans are joined. Rows find their spans by their text's digest, whatever their doc_id."""
+    found = _blob_spans(_versions(docs, "doc_id", "text"), None, RULES).select(F.col("blob").alias("__blob"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, s: Column) -> Column:
@@ -123,6 +135,6 @@ def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), masked.alias("out"))
 
     done = F.aggregate(F.array_sort("__spans"), start, step)
-    joined = docs.join(found, docs.doc_id == F.col("__id"), "left").withColumn("__done", F.when(F.col("__spans").isNotNull(), done))
+    joined = docs.withColumn("__blob", F.sha2("text", 256)).join(found, "__blob", "left").withColumn("__done", F.when(F.col("__spans").isNotNull(), done))
     clean = F.concat(F.col("__done.out"), F.expr("substring(text, __done.at + 1)"))
     return joined.withColumn("text", F.when(F.col("__done").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
