@@ -255,14 +255,92 @@ def test_kneser_ney_sums_to_one(spark):
 
     rng = np.random.default_rng(1)
     tokens = [rng.integers(0, 5, 40).astype("<u2").tobytes() for _ in range(6)]
-    found, n = np.unique(perplexity.grams(tokens)[0], return_counts=True)
+    found, n = np.unique(np.concatenate([perplexity.grams(x)[0] for x in perplexity.held(tokens)]), return_counts=True)
     model = perplexity.model_tables(spark.createDataFrame([(int(g), int(c)) for g, c in zip(found, n, strict=True)], "gram long, n long"), Scratch(spark))
     size = perplexity.VOCABULARY + perplexity.SHAPES
     every = np.array([(a << 24) | (b << 12) | c for a, b in ((0, 1), (4, 4), (7, 9), (perplexity.BEGIN, 2)) for c in range(size)])
     frame = lambda x: spark.createDataFrame([(0, int(g)) for g in np.unique(x)], "chunk long, gram long")
-    table = perplexity.answers(frame(every), frame(np.r_[every >> 12, every & perplexity.PAIR]), model).toPandas()
-    assert np.exp(perplexity.log_p(every, table)).reshape(4, size).sum(1) == pytest.approx(np.ones(4), abs=1e-4)
+    table = perplexity.answers(frame(every), frame(np.r_[every >> 12, every & perplexity.PAIR]), model).toPandas().sort_values("key")
+    assert np.exp(perplexity.log_p(every, *(table[c].to_numpy() for c in ("key", "a", "b")))).reshape(4, size).sum(1) == pytest.approx(np.ones(4), abs=1e-4)
+
+
+def plain_kneser_ney(trusted, texts):
+    """Perplexities by interpolated modified Kneser-Ney with plain counters."""
+    vocabulary = [w for w, n in sorted(Counter(perplexity.core(w) for t in trusted for w in WORD.findall(t)).items(), key=lambda x: (-x[1], x[0])) if n > 1][: perplexity.VOCABULARY]
+    token = lambda w: perplexity.core(w) if perplexity.core(w) in set(vocabulary) else perplexity.shape(perplexity.core(w))
+    tokens = lambda t: ["<", "<", *map(token, WORD.findall(t))]
+    three = Counter(g for t in trusted for x in [tokens(t)] for g in zip(x, x[1:], x[2:]))
+    two = Counter(g[1:] for g in three)
+    one = Counter(g[1:] for g in two)
+
+    def order(counts):
+        n = [sum(v == i for v in counts.values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if all(n[:3]) else 0
+        cut = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.01), i - 0.01) for i in (1, 2, 3)] if all(n[:3]) else [0.5] * 3
+        total, cuts = Counter(), Counter()
+        for g, v in counts.items():
+            total[g[:-1]] += v
+            cuts[g[:-1]] += cut[min(v, 3) - 1]
+
+        def p(g, lower):
+            c, v = g[:-1], counts.get(g, 0)
+            return lower if c not in total else max(v - cut[min(v, 3) - 1], 0) / total[c] * (v > 0) + cuts[c] / total[c] * lower
+
+        return p
+
+    p3, p2, p1 = map(order, (three, two, one))
+    base = 1 / (perplexity.VOCABULARY + perplexity.SHAPES)
+    out = []
+    for t in texts:
+        x = tokens(t)
+        logs = [np.log(p3(g, p2(g[1:], p1(g[2:], base)))) for g in zip(x, x[1:], x[2:])]
+        out.append(np.exp(-np.mean(logs)) if logs else None)
+    return out
+
+
+def test_rows_are_cut_without_loss(monkeypatch):
+    tokens = [np.arange(n).astype("<u2").tobytes() for n in (0, 3, 40, 7, 0, 1)]
+    whole = list(zip(*(np.concatenate(x).tolist() for x in zip(*map(perplexity.grams, perplexity.held(tokens)), strict=True)), strict=True))
+    monkeypatch.setattr(perplexity, "HELD", 7)
+    assert list(zip(*(np.concatenate(x).tolist() for x in zip(*map(perplexity.grams, perplexity.held(tokens)), strict=True)), strict=True)) == whole and len(whole) == 51
+
+
+def test_perplexities_against_plain_kneser_ney(spark):
+    from quarry.llm.scratch import Scratch
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["Aa", "b,", "c", "d9", "e", "F"], rng.integers(0, 30))) for _ in range(60)]
+    texts += [" ".join(f"{x}{rng.integers(40)}" for x in rng.choice(["q", "R", "s."], 20)) for _ in range(10)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(65)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.perplexity if r.n_tokens else None for r in perplexity.perplexities(docs, labels, Scratch(spark)).collect()}
+    want = plain_kneser_ney([t for i, t in enumerate(texts[:65]) if i % 3 and i % 7], texts)
+    assert [got[i] for i in range(len(texts))] == [w if w is None else pytest.approx(w, rel=1e-5) for w in want]
+
+
+def test_bands_of_languages(spark):
+    """Each language has its own quantiles, drawn towards those of all by PRIOR documents; one without trusted documents has those of all."""
+    from quarry.llm.scratch import Scratch
 
+    rows = [("en", float(i)) for i in range(1, 301)] + [("de", 1000.0)] * 3
+    bands, everywhere = perplexity._bands(spark.createDataFrame(rows, "lang string, perplexity double"), 0.5, 0.9, Scratch(spark))
+    cut = lambda values, q: sorted(values)[int(np.ceil(q * len(values))) - 1]
+    whole = [cut([v for _, v in rows], q) for q in (0.5, 0.9)]
+    assert everywhere == whole
+    found = {r.lang: list(r.cuts) for r in bands.collect()}
+    for lang in ("en", "de"):
+        own = [v for x, v in rows if x == lang]
+        assert found[lang] == pytest.approx([(len(own) * cut(own, q) + perplexity.PRIOR * w) / (len(own) + perplexity.PRIOR) for q, w in zip((0.5, 0.9), whole, strict=True)])
+
+
+def test_verdicts_are_by_text(spark):
+    """Of two rows with one doc_id, or none, each is judged by its own text."""
+    good = ["the cat sat on the mat and the dog sat on the rug", "a dog and a cat sat on the mat", "the rug and the mat and the cat"] * 40
+    rows = [(i, t, "en") for i, t in enumerate(good)] + [(1000, good[0], "en"), (1000, "zq xv 99 !! zq xv 99 !!", "en"), (None, good[1], "en"), (None, "%% 77 !! %% 77", "en"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    kept = perplexity.keep_good(docs, labels, 0.0, 1.0)
+    assert sorted(r.text for r in kept.where("doc_id is null or doc_id = 1000").collect()) == sorted(good[:2])
 
 def test_classifier_learns_from_all_trusted_documents(spark):
     """Text that only trusted documents beyond the first 4,000 have is known, too."""
