@@ -48,7 +48,7 @@ def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.pieces import decode, encode
 
     model = _vocabulary("piece_bpe_32k.model")
-    both = decode(encode(_documents(spark, sf_dir).select("doc_id", "text"), model, rate=0.1, seed=1, variants=2), model)
+    both = decode(encode(_documents(spark, sf_dir).select("doc_id", "text"), model, rate=0.1, seed=1), model)
     return both.select(
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),

@@ -115,11 +115,13 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that each has about `most` bytes of text, or one row."""
+    """The batches again, cut so that each has about `most` bytes of text (binary, or lists of 4 bytes a value), or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        column = batch.column(text)
+        size = pc.multiply(pc.list_value_length(column), 4) if pa.types.is_list(column.type) else pc.binary_length(column)
+        size = pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = np.cumsum(size) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):

@@ -414,6 +414,38 @@ def test_pages_keep_order_and_captions(spark):
     ]
 
 
+def plain_agenda(model, unit, key, rate):
+    """Ids of one occurrence: the best candidate, leftmost first, is drawn for, and merged or skipped for good."""
+    symbols, skipped = [(i, int(model.char[ord(c)])) for i, c in enumerate(unit)], set()
+    while True:
+        found = []
+        for i in range(len(symbols) - 1):
+            (place, a), (_, b) = symbols[i], symbols[i + 1]
+            value = model.joins.get(a * model.n + b) if a >= 0 and b >= 0 else None
+            if value is not None and (place, value & (1 << 20) - 1) not in skipped:
+                found.append((value >> 20, i, place, value & (1 << 20) - 1))
+        if not found:
+            return [x for _, s in symbols for x in ([s] if s >= 0 else [int(model.byte[c]) for c in chr(-1 - s).encode()])]
+        _, i, place, piece = min(found)
+        draw = pieces._mix((key + place * pieces._PLACE + piece * pieces._PIECE) % (1 << 64))
+        if draw < rate * (1 << 64):
+            skipped.add((place, piece))
+        else:
+            symbols[i : i + 2] = [(place, piece)]
+
+
+@pytest.mark.parametrize("wide", [48, 0, 12])
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5, 1.0])
+def test_agenda_by_matrix_and_heap(rate, wide):
+    model = pieces.merges(_vocabulary("piece_bpe_32k.model"))
+    units = [" the", " understanding", " İstanbul", " ▁é😀x", "x", " aaaaaaaaaaaaaaaa", " internationalisation", "\n", " 12,345.67", " ththingndtheer", " " * 20 + "word", " q" * 3]
+    rng = np.random.default_rng(0)
+    codes = rng.integers(0, len(units), 300)
+    keys = pieces.occurrence_keys(np.arange(300) // 40 - 3, np.arange(300) % 40, 5)
+    flat, size = pieces.segment(model, units, codes, keys, rate, wide)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])] == [plain_agenda(model, units[c], int(k), rate) for c, k in zip(codes, keys, strict=True)]
+
+
 def test_pieces(spark, docs, edges, empty):
     import sentencepiece
 
@@ -422,12 +454,29 @@ def test_pieces(spark, docs, edges, empty):
     plain = pieces.encode(docs, path, rate=0.0).collect()
     assert all(list(r.ids) == sp.encode(r.text) for r in plain)
     for seed, rate in ((1, 0.1), (2, 0.1), (1, 1.0)):
-        assert pieces.decode(pieces.encode(docs.unionByName(edges.select(docs.columns)), path, rate, seed, 2), path).where("not decoded <=> text").count() == 0
+        assert pieces.decode(pieces.encode(docs.unionByName(edges.select(docs.columns)), path, rate, seed), path).where("not decoded <=> text").count() == 0
     one, two, again = (pieces.encode(docs, path, 0.2, s).select(F.sum(F.hash("ids"))).first()[0] for s in (1, 2, 1))
     assert one == again != two
     assert pieces.encode(empty, path).count() == 0
 
 
+def test_every_occurrence_has_its_own_draws(spark):
+    path = _vocabulary("piece_bpe_32k.model")
+    equal = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("an understanding of internationalisation").alias("text"))
+    assert pieces.encode(equal, path, 0.1).select("ids").distinct().count() > 50
+    (row,) = pieces.encode(spark.createDataFrame([(1, " understanding" * 500)], "doc_id long, text string"), path, 0.1).collect()
+    model = pieces.merges(path)
+    cut = np.flatnonzero([model.bytes[i].startswith(b" ") for i in row.ids])
+    assert len({tuple(x) for x in np.split(row.ids, cut)}) > 10
+
+
+def test_very_long_unit(spark):
+    text = "z9" * 150_000
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    path = _vocabulary("piece_bpe_32k.model")
+    assert pieces.decode(pieces.encode(frame, path, 0.1), path).first().decoded == text
+
+
 def check_packing(rows, want, window=packing.WINDOW):
     """Every id in one piece, gapless sequences, all full but the last."""
     docs, sequences = {}, {}
