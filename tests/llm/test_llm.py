@@ -256,12 +256,16 @@ def test_kneser_ney_sums_to_one(spark):
     rng = np.random.default_rng(1)
     tokens = [rng.integers(0, 5, 40).astype("<u2").tobytes() for _ in range(6)]
     found, n = np.unique(np.concatenate([perplexity.grams(x)[0] for x in perplexity.held(tokens)]), return_counts=True)
-    model = perplexity.model_tables(spark.createDataFrame([(int(g), int(c)) for g, c in zip(found, n, strict=True)], "gram long, n long"), Scratch(spark))
+    model = perplexity.model_of(spark.createDataFrame([(int(g), int(c)) for g, c in zip(found, n, strict=True)], "gram long, n long"), Scratch(spark))
     size = perplexity.VOCABULARY + perplexity.SHAPES
     every = np.array([(a << 24) | (b << 12) | c for a, b in ((0, 1), (4, 4), (7, 9), (perplexity.BEGIN, 2)) for c in range(size)])
-    frame = lambda x: spark.createDataFrame([(0, int(g)) for g in np.unique(x)], "chunk long, gram long")
-    table = perplexity.answers(frame(every), frame(np.r_[every >> 12, every & perplexity.PAIR]), model).toPandas().sort_values("key")
-    assert np.exp(perplexity.log_p(every, *(table[c].to_numpy() for c in ("key", "a", "b")))).reshape(4, size).sum(1) == pytest.approx(np.ones(4), abs=1e-4)
+    rows = model.rows.toPandas().sort_values("key")
+    assert np.exp(model.log_p(every, *(rows[c].to_numpy() for c in ("key", "a", "b")))).reshape(4, size).sum(1) == pytest.approx(np.ones(4), abs=1e-4)
+
+
+def test_packed_keys():
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 61, 1000))
+    assert (perplexity.unpack(perplexity.pack(keys)) == keys).all() and not len(perplexity.unpack(perplexity.pack(keys[:0])))
 
 
 def plain_kneser_ney(trusted, texts):
