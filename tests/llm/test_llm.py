@@ -1,5 +1,6 @@
 """The operators for training data against brute force, round trips and held-out accuracy, with edge cases."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -93,48 +94,63 @@ def test_join_edges(edges, empty):
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
 
 
-def test_passages_against_all_windows(spark):
+@pytest.mark.parametrize("crowd", [passages.CROWD, 2])
+def test_passages_against_all_windows(spark, crowd):
+    """Sorted suffixes, and hashed windows of crowded grams, find what all windows of all texts say; the first copy stays."""
     rng = np.random.default_rng(9)
     vocabulary = [f"v{i}" for i in range(400)]
     parts = [list(rng.choice(vocabulary, rng.integers(20, 90))) for _ in range(6)]
     texts = []
-    for _ in range(40):
+    for _ in range(60):
         text = []
         for _ in range(rng.integers(0, 5)):
             p = parts[rng.integers(len(parts))]
             text += p[rng.integers(0, 10) : len(p) - rng.integers(0, 10)] if rng.random() < 0.7 else list(rng.choice(vocabulary, rng.integers(1, 60)))
         texts.append(" ".join(text))
     texts += [texts[0], texts[1], None, "", "same " * 200]
-    split = [(t or "").split() for t in texts]
-    seen, first = Counter(), {}
-    for i, w in enumerate(split):
+    ids = [*range(50), *range(40, 50), None, None, None, 60, 61]  # ten ids have two texts, three rows have none
+    rows = [(i, t) for i, t in zip(ids, texts, strict=True)]
+    rows += [rows[3], rows[45], (None, rows[7][1])]  # rows that are there twice, and a copy without an id
+
+    def order(row):
+        return (row[0] is None, row[0] or 0, hashlib.md5(row[1].encode()).digest())
+
+    split = {row: row[1].split() for row in sorted({r for r in rows if r[1] is not None}, key=order)}
+    seen, first, by_text = Counter(), {}, {}
+    for row, w in split.items():
+        by_text.setdefault(row[1], []).append(row)
         for p in range(len(w) - 49):
             seen[g := tuple(w[p : p + 50])] += 1
-            first.setdefault(g, (i, p))
+            first.setdefault(g, (row, p))
 
     def cover(starts):
         return {q for p in starts for q in range(p, p + 50)}
 
     want = {}
-    for i, w in enumerate(split):
+    for row, w in split.items():
         again = [p for p in range(len(w) - 49) if seen[tuple(w[p : p + 50])] > 1]
+        if len(by_text[row[1]]) > 1 and len(w) >= 50:
+            again = list(range(len(w) - 49))
         if again:
-            want[i] = (cover(again), cover(p for p in again if first[tuple(w[p : p + 50])] != (i, p)))
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: tuple({q for s in spans for q in range(s.start, s.end)} for spans in (r.repeated, r.cut)) for r in passages.repeated_passages(frame).collect()}
-    assert got == want
-    left = {r.doc_id: r.text for r in passages.cut_repeats(frame).collect()}
-    for i, w in enumerate(split):
-        cut = want.get(i, (set(), set()))[1]
+            whole = row != by_text[row[1]][0]
+            want[row] = (cover(again), set(range(len(w))) if whole else cover(p for p in again if first[tuple(w[p : p + 50])] != (row, p)))
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int")
+    got = Counter((r.doc_id, *(tuple(sorted({q for s in spans for q in range(s.start, s.end)})) for spans in (r.repeated, r.cut))) for r in passages.repeated_passages(frame, crowd=crowd).collect())
+    assert got == Counter((row[0], *(tuple(sorted(x)) for x in want[row])) for row in rows if row in want)
+    left = {r.row: r.text for r in passages.cut_repeats(frame, crowd=crowd).collect()}
+    for k, row in enumerate(rows):
+        w = split.get(row, [])
+        cut = want.get(row, (set(), set()))[1]
         rest = [x for q, x in enumerate(w) if q not in cut]
-        assert (left.get(i) or "").split() == rest if rest or not cut else i not in left
+        assert (left.get(k) or "").split() == rest if rest or not cut else k not in left
 
 
 def test_passage_edges(edges, empty):
-    assert {r.doc_id for r in passages.repeated_passages(edges).collect()} == {6, 7, None} - {None}
+    found = passages.repeated_passages(edges).collect()
+    assert {r.doc_id for r in found} == {6, 7, None}
     kept = passages.cut_repeats(edges)
-    assert kept.columns == edges.columns and kept.where("doc_id = 7").isEmpty() and kept.where("doc_id is null").count() == 1
-    assert passages.repeated_passages(empty).count() == 0
+    assert kept.columns == edges.columns and kept.where("doc_id = 7").isEmpty() and kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 4").count() == 2
+    assert passages.repeated_passages(empty).count() == 0 and passages.cut_repeats(empty).count() == 0
 
 
 def test_language(spark, edges, empty):
