@@ -1,9 +1,10 @@
 """Secret scans with an incremental blob ledger, with DataFrame functions only.
 
-Every version of every path is addressed by the SHA-256 of its text, its blob. The ledger holds the pairs
-of blob and rule version that have been scanned, with their findings. A scan takes the pairs that the ledger
-lacks, once each however many paths and versions have the blob, and adds them; findings are joined back to
-all paths. A rule whose pattern changes gets a new version and is the only one that is scanned again.
+Every version of every path is addressed by the SHA-256 of its text, its blob. The ledger has a row for each blob
+and rule version that has been scanned, with its findings or none, and is kept as a table. A scan finds the blobs that
+lack a rule by one anti-join of digests, fetches each of these texts once, however many paths and versions have the blob, scans it
+for the rules that it lacks, and appends the new rows; findings are joined back to all paths. A rule whose pattern changes
+gets a new version and is the only one that is scanned again.
 
 Matches of a rule are leftmost and do not overlap; those that its least length drops are used up all the
 same. Their places come from splitting the text at the matches: pieces and matches alternate. Offsets are
@@ -49,15 +50,23 @@ RULES = (
     Rule("prefixed", 1, "(?:gh[pousr]_|sk_live_|xox[abprs]-)[A-Za-z0-9_-]+", 20, base=False, find="gh[pousr]_|sk_live_|xox[abprs]-"),
 )
 FOUND = "array<struct<start:int,end:int>>"
+#: Matches, or spans, whose places are summed up together.
+BLOCK = 256
 
 
 def matches(text: Column, rule: Rule) -> Column:
-    """Places (start, end) of the rule's matches that are long enough."""
+    """Places (start, end) of the rule's matches that are long enough.
+
+    Where pieces and matches begin are running sums of their lengths; the sums of one text are made in blocks of BLOCK
+    matches, so that a text with very many takes time in proportion to their number, and not to its square.
+    """
     pattern = F.lit(rule.pattern)
     pieces, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     values = F.regexp_extract_all(text, pattern, F.lit(rule.value)) if rule.value else hits
     sizes = F.arrays_zip(F.transform(pieces, F.length).alias("gap"), F.transform(hits, F.length).alias("hit"), F.transform(values, F.length).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("found"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda i: F.slice(sizes, i * BLOCK + 1, F.lit(BLOCK)))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("found"))
+    start = lambda at: F.struct(at.alias("at"), F.array().cast(FOUND).alias("found"))
 
     def step(done: Column, x: Column) -> Column:
         begin = done["at"] + x["gap"]
@@ -65,32 +74,37 @@ def matches(text: Column, rule: Rule) -> Column:
         kept = F.when(x["value"] >= rule.least, F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(F.array().cast(FOUND))
         return F.struct(end.alias("at"), F.concat(done["found"], kept).alias("found"))
 
-    places = F.aggregate(sizes, start, step)["found"]
+    def block(done: Column, own: Column) -> Column:
+        part = F.aggregate(own, start(done["at"]), step)
+        return F.struct(part["at"].alias("at"), F.concat(done["found"], F.array(part["found"])).alias("found"))
+
+    places = F.flatten(F.aggregate(blocks, begin, block)["found"])
     return F.when(text.rlike(rule.find or rule.pattern), places).otherwise(F.array().cast(FOUND))
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, kind, version, places: a row for each blob and rule. blobs: blob, text."""
-    one = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), matches(F.col("text"), r).alias("places")) for r in rules])
-    return blobs.select("blob", F.explode(one).alias("x")).select("blob", "x.*")
+    """blob, kind, version, places: a row for each blob and rule. blobs: blob, text and, if some rules are to be left out, known (array of kind:version)."""
+    known = F.col("known") if "known" in blobs.columns else F.array().cast("array<string>")
+    each = [F.when(~F.array_contains(known, _name(r)), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), matches(F.col("text"), r).alias("places"))) for r in rules]
+    return blobs.select("blob", F.explode(F.array(*each)).alias("x")).where("x is not null").select("blob", "x.*")
+
+
+def _name(rule: Rule) -> str:
+    return f"{rule.kind}:{rule.version}"
 
 
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The ledger's new rows: pairs of the versions' blobs and of rules that the ledger lacks. versions: blob, text.
+    """The ledger's new rows: pairs of the versions' blobs and of rules that the ledger lacks. versions: path, text, blob.
 
     A blob's text comes from one of its rows, found by the least path of each blob, so that the ledger's
     joins carry digests and texts travel once.
     """
     first = versions.groupBy("blob").agg(F.min("path").alias("path"))
-    if ledger is None:
-        todo = versions.join(first, ["blob", "path"]).select("blob", "text")
-        return scan_blobs(todo, rules)
-    out = None
-    for rule in rules:
-        seen = ledger.where((F.col("kind") == rule.kind) & (F.col("version") == rule.version)).select("blob")
-        part = scan_blobs(versions.join(first.join(seen, "blob", "left_anti"), ["blob", "path"]).select("blob", "text"), (rule,))
-        out = part if out is None else out.unionByName(part)
-    return out
+    if ledger is not None:
+        mine = F.concat_ws(":", "kind", "version")
+        seen = ledger.where(mine.isin(*map(_name, rules))).groupBy("blob").agg(F.collect_set(mine).alias("known"))
+        first = first.join(seen, "blob", "left").where(F.coalesce(F.size("known"), F.lit(0)) < len(rules)).withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    return scan_blobs(versions.join(first, ["blob", "path"]).drop("path"), rules).distinct()  # rows that share path and text give equal rows
 
 
 def span_list(spans: Column, order: list[str]) -> Column:
@@ -99,42 +113,43 @@ def span_list(spans: Column, order: list[str]) -> Column:
     return F.array_join(F.transform(ranked, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _versions(docs: DataFrame, path: str, text: str) -> DataFrame:
-    return docs.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+def versions_of(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """path, text, blob of each row of docs."""
+    return docs.select(F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
 
 
-def _blob_spans(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
-    """blob, spans (array of kind, start, end): a row for each blob with a finding."""
-    scratch = Scratch(versions.sparkSession)
-    new = update_ledger(versions.withColumn("path", F.coalesce(F.col("path").cast("string"), F.lit(""))), ledger, rules)
-    findings = scratch.table(new.where(F.size("places") > 0).distinct(), "ledger")
-    if ledger is not None:
-        known = None
-        for r in rules:
-            part = ledger.where((F.col("kind") == r.kind) & (F.col("version") == r.version) & (F.size("places") > 0))
-            known = part if known is None else known.unionByName(part)
-        findings = findings.unionByName(known.select(findings.columns)).distinct()
-    return findings.select("blob", F.explode("places").alias("p"), "kind").groupBy("blob").agg(F.collect_list(F.struct("kind", "p.start", "p.end")).alias("spans"))
+def _blob_spans(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, spans (array of kind, start, end): a row for each blob with a finding of these rules in the ledger."""
+    found = ledger.where((F.size("places") > 0) & F.concat_ws(":", "kind", "version").isin(*map(_name, rules)))
+    each = F.transform("places", lambda p: F.struct("kind", p["start"].alias("start"), p["end"].alias("end")))
+    return found.groupBy("blob").agg(F.flatten(F.collect_list(each)).alias("spans"))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs (path, text): path, blob, spans (array of kind, start, end). Rows of the ledger are used where they are there."""
-    versions = _versions(docs, path, text)
-    spans = _blob_spans(versions, ledger, rules)
-    return versions.select("path", "blob").join(spans, "blob", "left").select(F.col("path").alias(path), "blob", F.coalesce("spans", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("spans"))
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per row of docs (path, text): path, blob, spans (array of kind, start, end); and the whole ledger, with what it lacked before."""
+    new = (scratch or Scratch(docs.sparkSession)).table(update_ledger(versions_of(docs, path, text), ledger, rules), "ledger")
+    whole = new if ledger is None else ledger.unionByName(new)
+    rows = docs.select(F.col(path), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
+    return rows.join(_blob_spans(whole, rules), "blob", "left").select(F.col(path), "blob", F.coalesce("spans", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("spans")), whole
 
 
 def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
     """docs with the spans of every finding replaced by mask; overlapping spans are joined. Rows find their spans by their text's digest, whatever their doc_id."""
-    found = _blob_spans(_versions(docs, "doc_id", "text"), None, RULES).select(F.col("blob").alias("__blob"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ledger = Scratch(docs.sparkSession).table(update_ledger(versions_of(docs)), "ledger")
+    found = _blob_spans(ledger, RULES).select(F.col("blob").alias("__blob"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("__spans"))
+    # the text's parts between spans and the masks for these, in blocks as above; overlapping spans come as a part of no length and no mask
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("__spans") - 1) / BLOCK).cast("int")), lambda i: F.slice("__spans", i * BLOCK + 1, F.lit(BLOCK)))
+    none = lambda kind: F.array().cast(kind)
 
     def step(done: Column, s: Column) -> Column:
-        piece = F.substring(F.col("text"), done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        masked = F.when(s["start"] >= done["at"], F.concat(done["out"], piece, F.lit(mask))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), masked.alias("out"))
+        piece = F.when(s["start"] >= done["at"], F.concat(F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"]), F.lit(mask))).otherwise("")
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], F.array(piece)).alias("out"))
+
+    def block(done: Column, own: Column) -> Column:
+        part = F.aggregate(own, F.struct(done["at"].alias("at"), none("array<string>").alias("out")), step)
+        return F.struct(part["at"].alias("at"), F.concat(done["out"], F.array(F.array_join(part["out"], ""))).alias("out"))
 
-    done = F.aggregate(F.array_sort("__spans"), start, step)
+    done = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none("array<string>").alias("out")), block)
     joined = docs.withColumn("__blob", F.sha2("text", 256)).join(found, "__blob", "left").withColumn("__done", F.when(F.col("__spans").isNotNull(), done))
-    clean = F.concat(F.col("__done.out"), F.expr("substring(text, __done.at + 1)"))
+    clean = F.concat(F.array_join("__done.out", ""), F.expr("substring(text, __done.at + 1)"))
     return joined.withColumn("text", F.when(F.col("__done").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
