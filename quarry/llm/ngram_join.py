@@ -172,9 +172,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, pct: int, scratch: Scra
     placed = pairs.select(F.when(block("a") <= block("b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("p")).select("p.*")
     placed = placed.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
     needed = placed.select("i", "j", F.explode(F.array("a", "b")).alias("a")).distinct().join(table.withColumnRenamed("doc_id", "a"), "a")
-    rows = placed.withColumn("shingles", F.lit(None).cast("binary")).unionByName(needed.select("i", "j", "a", F.lit(None).cast("long").alias("b"), "shingles"))
-    # sets have no b and so come before the pairs of their blocks
-    return rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first()).mapInPandas(run, "a long, b long").distinct()
+    rows = placed.withColumn("shingles", F.lit(None).cast("binary")).unionByName(needed.select("i", "j", "a", F.lit(0).cast("long").alias("b"), "shingles"))  # no null, which would turn ids into floats
+    # sets come before the pairs of their blocks
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("shingles").isNull()).mapInPandas(run, "a long, b long").distinct()
 
 
 def _cell_pairs(members: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
@@ -294,3 +294,31 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
         .join(labels, "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
     )
+
+
+def keep_one(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
+    """docs (doc_id, text, more) with one document of each group of near copies: the first by doc_id, nulls last, and text digest.
+
+    A document is known by doc_id and text: rows that share an id but not a text are apart, and so are rows without an id; of rows
+    that share both, the first by the other columns stays. Documents without a word are near copies of none.
+    """
+    scratch, names = Scratch(docs.sparkSession), docs.columns
+    rows = docs.withColumn("__digest", F.md5(F.coalesce("text", F.lit("null"))))
+    ids = scratch.table(rows.groupBy("doc_id", "__digest").agg(F.count("*").alias("n")), "ids")
+    clash = scratch.table(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("__clash")), "clash")  # Spark broadcasts it if its file is small
+    # ids that do not tell documents apart are replaced by numbers below 0
+    stand_in = F.when(F.col("__clash") | F.col("doc_id").isNull(), -1 - F.shiftrightunsigned(F.xxhash64("doc_id", "__digest"), 1)).otherwise(F.col("doc_id").cast("long"))
+    keyed = lambda df: df.join(clash, "doc_id", "left").withColumn("__key", stand_in)
+    joined = ngram_jaccard_join(keyed(rows).select(F.col("__key").alias("doc_id"), "text"), k, pct)
+    labels = joined.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("component"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest")
+    members = scratch.table(keyed(ids).join(labels, "__key").select("component", first.alias("document")), "members")
+    best = members.groupBy("component").agg(F.min("document").alias("best"), F.count("*").alias("n")).where("n > 1")
+    gone = members.join(best, "component").where("document <> best").select("document.doc_id", "document.__digest")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["__digest"] == b["__digest"])
+    gone = scratch.table(gone, "gone")
+    left = rows.join(gone, same(rows, gone), "left_anti")
+    again = ids.where("n > 1").select("doc_id", "__digest")
+    single, several = left.join(again, same(left, again), "left_anti"), left.join(again, same(left, again), "left_semi")
+    once = several.groupBy("doc_id", "__digest").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return single.select(*names).unionByName(once)

@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_space: contextvars.ContextVar[str] = contextvars.ContextVar("space", default="")
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one machine (tests) takes a temporary folder; on a cluster it is an error, as no machine's own folder is shared."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Operators called inside put their tables into one folder, which goes at the end: write results before.
+
+    with workspace(spark):
+        cut_repeats(docs).write.parquet(path)
+    """
+    space = _space.set(f"/quarry-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, shared_dir(spark) + _space.get())
+        _space.reset(space)
+
+
 class Scratch:
     """Writes tables as Parquet, so that lineage is cut by files that outlive any executor, and drops them on demand."""
 
@@ -24,15 +52,12 @@ class Scratch:
         self.spark, self.paths = spark, {}
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/quarry-{name}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}{_space.get()}/quarry-{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             for path in self.paths.pop(name, []):
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(conf).delete(at, True)
+                _delete(self.spark, path)

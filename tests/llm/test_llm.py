@@ -70,8 +70,9 @@ def test_join_against_all_pairs(spark, k, pct):
             if a and b and 100 * len(a & b) >= pct * len(a | b):
                 x, y = label[i], label[j]
                 label = [min(x, y) if z in (x, y) else z for z in label]
-    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k, pct).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), label[i]) for i, s in enumerate(sets)}
+    top = (1 << 62) + 1  # ids that no float can hold
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame([(top + i, t) for i, t in enumerate(texts)], "doc_id long, text string"), k, pct).collect()
+    assert {r.doc_id - top: (r.n_shingles, r.component_id - top) for r in got} == {i: (len(s), label[i]) for i, s in enumerate(sets)}
 
 
 def test_tree_loses_no_point():
@@ -94,6 +95,30 @@ def test_join_edges(edges, empty):
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
 
 
+def test_keep_one_goes_by_id_and_text(spark, edges, empty):
+    base = [f"w{i}" for i in range(60)]
+    near, other, third = " ".join([*base[:-1], "x"]), " ".join(f"o{i}" for i in range(60)), " ".join(f"t{i}" for i in range(60))
+    rows = [(1, " ".join(base), "a"), (2, near, "b"), (2, other, "c"), (2, other, "d"), (None, near, "e"), (None, third, "f"), (None, third + " more", "g"), (9, None, "h"), (9, None, "h"), (9, "", "i")]
+    left = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, node string"))
+    third_stays = min((third, "f"), (third + " more", "g"), key=lambda x: hashlib.md5(x[0].encode()).hexdigest())[1]
+    assert sorted(r.node for r in left.collect()) == sorted(["a", "c", third_stays, "h", "i"])
+    kept = ngram_join.keep_one(edges)
+    assert kept.columns == edges.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "6", "8", "None"])
+    assert ngram_join.keep_one(empty).count() == 0
+
+
+def test_workspace_is_cleared(spark, docs):
+    import os
+
+    from quarry.llm import scratch
+
+    at = scratch.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    with scratch.workspace(spark):
+        assert passages.repeated_passages(docs).count() > 0 and set(os.listdir(at)) > before
+    assert set(os.listdir(at)) == before
+
+
 @pytest.mark.parametrize("crowd", [passages.CROWD, 2])
 def test_passages_against_all_windows(spark, crowd):
     """Sorted suffixes, and hashed windows of crowded grams, find what all windows of all texts say; the first copy stays."""
