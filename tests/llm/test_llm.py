@@ -309,13 +309,12 @@ def test_kneser_ney_sums_to_one(spark):
     from quarry.llm.scratch import Scratch
 
     rng = np.random.default_rng(1)
-    tokens = [rng.integers(0, 5, 40).astype("<u2").tobytes() for _ in range(6)]
-    found, n = np.unique(np.concatenate([perplexity.grams(x)[0] for x in perplexity.held(tokens)]), return_counts=True)
-    model = perplexity.model_of(spark.createDataFrame([(int(g), int(c)) for g, c in zip(found, n, strict=True)], "gram long, n long"), Scratch(spark))
+    tokens = [(0, perplexity.squeeze(rng.integers(0, 5, 40).astype("<u2")), 40) for _ in range(6)]
+    model = perplexity.model_of(spark.createDataFrame(tokens, "chunk long, tokens binary, n_tokens long"), Scratch(spark))
     size = perplexity.VOCABULARY + perplexity.SHAPES
     every = np.array([(a << 24) | (b << 12) | c for a, b in ((0, 1), (4, 4), (7, 9), (perplexity.BEGIN, 2)) for c in range(size)])
-    rows = model.rows.toPandas().sort_values("key")
-    assert np.exp(model.log_p(every, *(rows[c].to_numpy() for c in ("key", "a", "b")))).reshape(4, size).sum(1) == pytest.approx(np.ones(4), abs=1e-4)
+    (row,) = model.shards.collect()
+    assert np.exp(model.log_p(every, *model.unfold(row.keys, row.n, row.pairs, row.p))).reshape(4, size).sum(1) == pytest.approx(np.ones(4), abs=1e-4)
 
 
 def test_packed_keys():
@@ -358,18 +357,20 @@ def plain_kneser_ney(trusted, texts):
 
 
 def test_rows_are_cut_without_loss(monkeypatch):
-    tokens = [np.arange(n).astype("<u2").tobytes() for n in (0, 3, 40, 7, 0, 1)]
+    tokens = [perplexity.squeeze(np.arange(n).astype("<u2")) for n in (0, 3, 40, 7, 0, 1)]
     whole = list(zip(*(np.concatenate(x).tolist() for x in zip(*map(perplexity.grams, perplexity.held(tokens)), strict=True)), strict=True))
     monkeypatch.setattr(perplexity, "HELD", 7)
     assert list(zip(*(np.concatenate(x).tolist() for x in zip(*map(perplexity.grams, perplexity.held(tokens)), strict=True)), strict=True)) == whole and len(whole) == 51
 
 
-def test_perplexities_against_plain_kneser_ney(spark):
+@pytest.mark.parametrize("shard", [perplexity.SHARD, 100])
+def test_perplexities_against_plain_kneser_ney(spark, shard, monkeypatch):
     from quarry.llm.scratch import Scratch
 
     rng = np.random.default_rng(5)
     texts = [" ".join(rng.choice(["Aa", "b,", "c", "d9", "e", "F"], rng.integers(0, 30))) for _ in range(60)]
     texts += [" ".join(f"{x}{rng.integers(40)}" for x in rng.choice(["q", "R", "s."], 20)) for _ in range(10)]
+    monkeypatch.setattr(perplexity, "SHARD", shard)
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(65)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.perplexity if r.n_tokens else None for r in perplexity.perplexities(docs, labels, Scratch(spark)).collect()}
