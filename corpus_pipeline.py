@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm.ngram_join import ngram_jaccard_join
+from quarry.llm.ngram_join import keep_one
 from quarry.llm.packing import pack
 from quarry.llm.passages import cut_repeats
 from quarry.llm.perplexity import keep_good
@@ -23,11 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near copies (five words, 0.8); documents without an id or a word stay."""
-    joined = ngram_jaccard_join(docs, k=5, pct=80)
-    gone = joined.where("component_id <> doc_id").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
-    return once.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The first document, by doc_id and text, of each group of near copies (five words, 0.8)."""
+    return keep_one(docs, k=5, pct=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
