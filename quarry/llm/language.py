@@ -1,10 +1,15 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton holds the words of labelled text. A text's words are parsed against
-each automaton into longest matches; the language that needs the fewest phrases to a byte wins. Phrases end
-with their word, so each distinct word is parsed once to a slice of texts, whatever its number of places.
-The automata are fitted on a bounded sample: LEARN_DOCS texts of each language and LEARN_BYTES of their
-distinct words; so is what is broadcast.
+For each language a suffix automaton holds labelled text as it runs. A text is parsed against each automaton into longest
+matches, each phrase as long as the learned text has it anywhere; a symbol that it never has is a phrase of its own. With c phrases
+for a text of n bytes, and m bytes learned, the cross-parsing entropy is c log2(m) / n bits a byte, and the language with the least wins.
+
+What is parsed are letters, lower-cased, with one space before each word that has any. Long texts are parsed in blocks of
+BLOCK bytes, side by side, so that the longest text is not one long chain of steps; a phrase ends with its block.
+
+The automata are fitted on a bounded sample: for each language, of its LEARN_DOCS distinct texts of least hash, a passage of
+PASSAGE characters at a place that the hash gives. No language is left out: what a task holds at a time are the automata of ROUND languages, and
+where there are more, texts are parsed in as many rounds.
 
 Rows: null text and text without a letter are `und` with score 0; so is every text if nothing is labelled.
 Ties go to the language that sorts first. Null doc_id is kept. Repeated rows and extra columns make no difference;
@@ -17,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.llm.words import distinct, slices, words
+from quarry.llm.scratch import Scratch
+from quarry.llm.words import distinct, slices, spread, words
 
-LEARN_DOCS, LEARN_BYTES, LANGUAGES = 200, 30_000, 64
+LEARN_DOCS, PASSAGE, ROUND, BLOCK = 200, 300, 12, 512
 UNKNOWN = "und"
 
 
@@ -59,92 +65,111 @@ def letters(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word.lower()))
 
 
+def normal(text: str) -> str:
+    """The letters of each word that has any, with a space before it."""
+    return "".join(f" {x}" for x in map(letters, text.split()) if x)
+
+
 class CrossParser:
-    """Automata of several languages as transition tables over one alphabet; 0 means no transition."""
+    """Automata of several languages, each as a transition table over its own alphabet."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        parts = {x: [f" {w}".encode() for w in dict.fromkeys(map(letters, samples[x])) if w] for x in self.languages}
-        used = sorted({b for ws in parts.values() for w in ws for b in w})
-        self.code = np.zeros(256, np.int64)  # symbol 0: none of the alphabet
-        self.code[used] = np.arange(1, len(used) + 1)
-        self.width = len(used) + 1
-        self.tables = []
+        self.codes, self.tables, self.bits = [], [], []
         for x in self.languages:
-            text = []
-            for w in parts[x]:
-                if len(text) + len(w) > LEARN_BYTES:
-                    break
-                text += [-1, *self.code[list(w)].tolist()]  # -1 parts words and is never looked up
-            follow = suffix_automaton(text)
-            table = np.zeros((len(follow), self.width), np.int32)
+            passages = [normal(t).encode() for t in samples[x]]
+            used = sorted({b for t in passages for b in t})
+            code = np.zeros(256, np.uint8 if len(used) < 256 else np.int16)  # symbol 0: none of the alphabet
+            code[used] = np.arange(1, len(used) + 1)
+            text = [s for t in passages for s in (-1, *code[list(t)].tolist())]  # -1 parts passages and is never looked up
+            follow, width = suffix_automaton(text), len(used) + 1
+            table = np.zeros((len(follow), width), np.int32)
             for state, out in enumerate(follow):
                 for symbol, to in out.items():
                     if symbol > 0:
-                        table[state, symbol] = to
+                        table[state, symbol] = to * width  # where the next state's row begins; 0: no transition
+            self.codes.append(code)
             self.tables.append(table.ravel())
-
-    def phrases(self, found: list[bytes]) -> np.ndarray:
-        """Phrases that each word needs in each language."""
-        size = np.array([len(w) for w in found], np.int64)
-        order = np.argsort(-size, kind="stable")
-        start = (np.cumsum(size) - size)[order]
-        symbols = self.code[np.frombuffer(b"".join(found), np.uint8)]
-        active = np.searchsorted(-size[order], -np.arange(size.max() if len(size) else 0), side="left")
-        out = np.zeros((len(self.languages), len(found)), np.int64)
-        for table, count in zip(self.tables, out, strict=True):
-            state = np.zeros(len(found), np.int64)
-            for t, n in enumerate(active):
-                symbol, now = symbols[start[:n] + t], state[:n]
-                to = table[now * self.width + symbol]
-                count[order[:n]] += (to == 0) | (now == 0)
-                state[:n] = np.where(to == 0, table[symbol], to)
+            self.bits.append(float(np.log2(max(2, sum(map(len, passages))))))
+
+    def phrases(self, data: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Phrases that each text needs in each language. data: the texts' bytes one after another."""
+        blocks = -(-size // BLOCK)
+        owner = np.repeat(np.arange(len(size)), blocks)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        start = np.repeat(np.cumsum(size) - size, blocks) + number * BLOCK
+        length = np.minimum(size[owner] - number * BLOCK, BLOCK)
+        order = np.argsort(-length, kind="stable")
+        start, length, owner = start[order], length[order], owner[order]
+        steps = np.zeros((BLOCK, len(start)), np.uint8)
+        at = np.arange(BLOCK)[:, None]
+        inside = at < length
+        steps[inside] = data[(start + at)[inside]]
+        active = inside.sum(1)
+        out = np.zeros((len(self.languages), len(size)), np.int64)
+        for code, table, total in zip(self.codes, self.tables, out, strict=True):
+            state, count = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
+            for n, row in zip(active.tolist(), steps, strict=True):
+                if not n:
+                    break
+                symbol, now = code[row[:n]], state[:n]
+                to = table[now + symbol]
+                ends = to == 0
+                count[:n] += ends | (now == 0)
+                state[:n] = np.where(ends, table[symbol], to)
+            total += np.bincount(owner, count, len(size)).astype(np.int64)
         return out
 
 
-def learn(labelled: DataFrame) -> CrossParser:
-    """labelled: text, lang. Texts are taken by hash, about LEARN_DOCS of each of the LANGUAGES most frequent languages."""
-    labelled = labelled.where("lang is not null and text is not null")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return CrossParser({})
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 1.5 * LEARN_DOCS / r["count"])).otherwise(share)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
-    drawn = labelled.where(draw < share).select("lang", draw.alias("draw"), F.substring("text", 1, 4_000).alias("text"))
-    rows = sorted(drawn.limit(2 * LEARN_DOCS * len(counts)).collect(), key=lambda r: (r["lang"], r["draw"], r["text"]))
+def learn(labelled: DataFrame) -> list[CrossParser]:
+    """Parsers of labelled (text, lang), of ROUND languages each, in order."""
+    labelled = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), "text", F.xxhash64("text").alias("draw"))
+    order = Window.partitionBy("lang").orderBy("draw")
+    # ranks are cut before the shuffle, so a language of very many texts is not sorted in one task
+    drawn = labelled.select("lang", "draw").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEARN_DOCS).select("lang", "draw")
+    place = F.pmod("draw", F.greatest(F.char_length("text") - PASSAGE, F.lit(0)) + 1).cast("int")
+    passage = labelled.join(drawn, ["lang", "draw"]).select("lang", "draw", F.substring("text", place + 1, F.lit(PASSAGE)).alias("passage"))
     samples: dict[str, list[str]] = {}
-    for r in rows:
-        samples.setdefault(r["lang"], []).extend(r["text"].split())
-    return CrossParser(samples)
+    for r in passage.distinct().orderBy("lang", "draw", "passage").collect():  # LEARN_DOCS short passages to a language
+        samples.setdefault(r["lang"], []).append(r["passage"])
+    names = sorted(samples)
+    return [CrossParser({x: samples[x] for x in names[i : i + ROUND]}) for i in range(0, len(names), ROUND)]
 
 
-def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, lang_pred, score (by how much the second language needs more phrases), phrases."""
+def _round(docs: DataFrame, parser: CrossParser) -> DataFrame:
+    """docs (doc_id, text, lang_pred, phrases, best, second) with what these languages change; best, second: the least entropies so far."""
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = [*model.languages, UNKNOWN]
-        for part in slices(batches, "text", 6_000_000):
+        for part in slices(batches, "text"):
             w = words(part.column("text"), lower=True)
             codes, first = distinct(w.hashes())
-            found = [w.text(i) for i in first]
-            kinds = [x.decode() for x in found]
-            kinds = [letters(x) for x in kinds]
-            letter = np.array([x != "" for x in kinds], bool)
-            lettered = np.bincount(w.doc, letter[codes], part.num_rows) > 0 if len(codes) else np.zeros(part.num_rows, bool)
-            total = np.zeros((len(model.languages), part.num_rows))
-            if len(codes) and model.languages:
-                needed = model.phrases([f" {x}".encode() if x else b"" for x in kinds])
-                total = np.array([np.bincount(w.doc, n[codes], part.num_rows) for n in needed])
-            if model.languages:
-                best = np.where(lettered, total.argmin(0), len(names) - 1)
-                two = np.sort(total, 0)[:2]
-                score = np.where(lettered & (two[-1] > 0), 1 - two[0] / np.maximum(two[-1], 1), 0.0) if len(two) > 1 else lettered.astype(float)
-            else:
-                best, score = np.full(part.num_rows, len(names) - 1), np.zeros(part.num_rows)
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "lang_pred": pa.array([names[i] for i in best], pa.string()), "score": pa.array(score, pa.float64()), "phrases": pa.array(total.min(0).astype(np.int64) if model.languages else np.zeros(part.num_rows, np.int64))})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, phrases long")
+            found = [x.encode() for x in (normal(w.text(i).decode()) for i in first)]
+            n = np.array([len(x) for x in found], np.int64)
+            data = np.frombuffer(b"".join(found), np.uint8)[spread((np.cumsum(n) - n)[codes], n[codes])]
+            size = np.bincount(w.doc, n[codes], part.num_rows).astype(np.int64) if len(codes) else np.zeros(part.num_rows, np.int64)
+            phrases = model.phrases(data, size)
+            bits = np.where(size > 0, phrases * np.array(model.bits)[:, None] / np.maximum(size, 1), np.inf)
+            before = [part.column(c).to_numpy(zero_copy_only=False) for c in ("best", "second")]
+            least = np.sort(np.vstack([before, bits]), 0)[:2]
+            here = bits.argmin(0)
+            won = bits.min(0) < before[0]
+            names = part.column("lang_pred").to_pylist()
+            yield pa.record_batch({
+                "doc_id": part.column("doc_id"), "text": part.column("text"), "lang_pred": pa.array([model.languages[i] if ok else x for x, i, ok in zip(names, here, won, strict=True)], pa.string()),
+                "phrases": pa.array(np.where(won, phrases[here, np.arange(len(here))], part.column("phrases").to_numpy())), "best": pa.array(least[0]), "second": pa.array(least[1]),
+            })
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def identify(docs: DataFrame, parsers: list[CrossParser]) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, lang_pred, score (by how much the second language needs more bits; 1 if there is none), phrases."""
+    scratch = Scratch(docs.sparkSession)
+    never = F.lit(float("inf"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0).cast("long").alias("phrases"), never.alias("best"), never.alias("second"))
+    for i, parser in enumerate(parsers):
+        docs = _round(docs if i == 0 else scratch.table(docs, "round"), parser)
+    score = F.when(F.col("best") == never, 0.0).when(F.col("second") == never, 1.0).otherwise(1 - F.col("best") / F.col("second"))
+    return docs.select("doc_id", "lang_pred", score.alias("score"), "phrases")

@@ -60,8 +60,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    parser = learn(docs.where(~held_out).select("text", "lang"))
-    return identify(docs, parser).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    parsers = learn(docs.where(~held_out).select("text", "lang"))
+    return identify(docs, parsers).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,27 +181,61 @@ def test_passage_edges(edges, empty):
 def test_language(spark, edges, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    parser = language.learn(docs.where(~held))
-    r = language.identify(docs.where(held), parser).join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    parsers = language.learn(docs.where(~held))
+    r = language.identify(docs.where(held), parsers).join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert r > 0.98
-    odd = language.identify(edges, parser).collect()
+    odd = language.identify(edges, parsers).collect()
     assert len(odd) == 10 and {x.doc_id: x.lang_pred for x in odd}[1] == "und" and all(0 <= x.score <= 1 for x in odd)
-    assert language.identify(empty, parser).count() == 0
+    assert language.identify(empty, parsers).count() == 0
     assert {x.lang_pred for x in language.identify(edges, language.learn(empty)).collect()} == {"und"}
 
 
-def test_suffix_automaton_parses_longest():
-    parser = language.CrossParser({"a": ["abcab"], "b": ["xyz"]})
-
-    def brute(w, text):
-        n, at = 0, 0
-        while at < len(w):
-            size = max((k for k in range(1, len(w) - at + 1) if w[at : at + k] in text), default=1)
+def plain_phrases(text, learned):
+    """Longest matches of each block, one after another, in any of the learned passages."""
+    data, n = language.normal(text).encode(), 0
+    for block in (data[i : i + language.BLOCK] for i in range(0, len(data), language.BLOCK)):
+        at = 0
+        while at < len(block):
+            size = 1
+            while at + size < len(block) and any(block[at : at + size + 1] in t for t in learned):
+                size += 1
             n, at = n + 1, at + size
-        return n
-
-    for w in ("abcab", "cabx", "bcq", "xyzab", "q", ""):
-        assert parser.phrases([f" {w}".encode()])[:, 0].tolist() == [brute(f" {w}", " abcab"), brute(f" {w}", " xyz")]
+    return n, len(data)
+
+
+@pytest.mark.parametrize("round_", [1, 12])
+def test_identify_against_plain_parsing(spark, round_, monkeypatch):
+    monkeypatch.setattr(language, "ROUND", round_)
+    rng = np.random.default_rng(4)
+    vocabulary = {"a": ["ab", "abc", "ba"], "b": ["xyz", "ab", "Zy1"], "c": ["é😀", "bcé", "a-b"], "d": ["ab", "abc", "ba"]}
+    draw = lambda x, n: " ".join(rng.choice(vocabulary[x], n))
+    rows = [(i, draw(x, 12), x) for i, x in enumerate("abcabcabb")] + [(20 + i, r[1], r[2]) for i, r in enumerate([(0, draw("a", 12), "d")] * 3)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = [draw("a", 5) + " " + draw("b", 4), draw("c", 300), "zzz", "ab", "", None, "12 --", draw("b", 1), "qé ab"]
+    found = language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), language.learn(labelled)).collect()
+    learned = {x: [language.normal(t).encode() for t in {t for _, t, lang in rows if lang == x}] for x in vocabulary}
+    for r in found:
+        bits = {}
+        for x, passages_ in learned.items():
+            n, size = plain_phrases(texts[r.doc_id] or "", passages_)
+            if size:
+                bits[x] = n * np.log2(sum(map(len, passages_))) / size
+        if not bits:
+            assert (r.lang_pred, r.score, r.phrases) == ("und", 0.0, 0)
+            continue
+        best = min(sorted(bits), key=bits.get)
+        least = sorted(bits.values())
+        assert r.lang_pred == best and r.score == pytest.approx(1 - least[0] / least[1])
+        assert r.phrases == plain_phrases(texts[r.doc_id], learned[best])[0]
+
+
+def test_no_language_is_left_out(spark):
+    """As many languages as there are labels, each with a word of its own; a hot text and its copies do not push others out."""
+    names = [chr(97 + i // 10) + chr(107 + i % 10) for i in range(70)]
+    labelled = spark.createDataFrame([(f"{x}{x[::-1]}{x} " * 3, x) for x in names] + [("ff gg hh", "hot")] * 500, "text string, lang string")
+    asked = spark.createDataFrame([(i, f"{x}{x[::-1]}{x}") for i, x in enumerate(names)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(asked, language.learn(labelled)).collect()}
+    assert got == dict(enumerate(names))
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 20_000, 3_000])
