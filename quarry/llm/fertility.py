@@ -1,11 +1,11 @@
 """Quality rules on whole texts, and a verdict by tokeniser fertility.
 
-A public vocabulary with byte fallback encodes every distinct word of a slice of texts once. Per text:
-characters per token, the share of tokens that are fallback bytes, and the entropy of its tokens as a part of
-the most that so many tokens can have. For each language these have quartiles over its distinct texts, and a text
-far outside of them (REACH times the spread between the quartiles, which is LEAST_SPREAD at least) is rejected;
-however often a text is copied, it counts once. Short texts have no verdict
-of their own (LEAST_TOKENS) and pass.
+Public vocabularies, one of pieces with byte fallback and one of bytes, encode every distinct word of a slice of texts once. Per
+text and vocabulary: characters per token, the share of tokens that are bytes and no characters, and the entropy of its tokens as a part of
+the most that so many tokens can have. For each language these have quartiles over its distinct texts that pass the base rules, and a text
+far outside of them (REACH times the spread between the quartiles, which is LEAST_SPREAD at least) by any vocabulary is rejected;
+however often a text is copied, it counts once. Figures of a text of under FULL tokens scatter more, as the root of their number says,
+and its band is wider by as much.
 
 Rows: null text has no word and fails the base rules. Null lang is a language of its own. Repeated rows and extra
 columns make no difference; an empty table gives an empty table.
@@ -22,21 +22,39 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.llm.scratch import Scratch
 from quarry.llm.words import distinct, mix, slices, spread, windows, words
 
-REACH, LEAST_TOKENS, WINDOW = 3.0, 50, 8
-LEAST_SPREAD = {"chars_per_token": 0.1, "byte_share": 0.0, "entropy": 0.01}
+REACH, FULL, WINDOW = 3.0, 50, 8
+LEAST_SPREAD = {"chars_per_token": 0.1, "byte_share": 0.01, "entropy": 0.01}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
+RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+#: Measured by each vocabulary, after whose place in the list they are numbered.
+MEASURES = ("chars_per_token", "byte_share", "entropy")
 
-_models: dict[str, object] = {}
+_models: dict[str, tuple] = {}
 
 
-def _processor(path: str):
-    """The SentencePiece model, once to a worker."""
+def vocabulary(path: str) -> tuple:
+    """A function from words to their ids, and whether each id is of bytes that are no character. path: a SentencePiece model with byte fallback, or a list of byte tokens and their ranks (.tiktoken). Loaded once to a worker."""
     if path not in _models:
-        import sentencepiece
-
-        _models[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+        if path.endswith(".tiktoken"):
+            import base64
+
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            # fixed value: how such vocabularies part letters, digits and signs
+            parts = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+            own = tiktoken.Encoding("own", pat_str=parts, mergeable_ranks=ranks, special_tokens={})
+            odd = np.zeros(max(ranks.values()) + 1, bool)
+            for token, rank in ranks.items():
+                odd[rank] = "\ufffd" in token.decode("utf-8", "replace") and token != "\ufffd".encode()
+            _models[path] = lambda words: own.encode_ordinary_batch([f" {w}" for w in words], num_threads=1), odd
+        else:
+            import sentencepiece
+
+            sp = sentencepiece.SentencePieceProcessor(model_file=path)
+            _models[path] = lambda words: sp.encode(words, num_threads=1), np.array([sp.IsByte(i) for i in range(sp.GetPieceSize())])
     return _models[path]
 
 
@@ -69,50 +87,59 @@ def repeated_words(hashes: np.ndarray, w) -> np.ndarray:
     return np.bincount(doc, (np.cumsum(edge)[: len(hashes)] > 0), len(w.counts)).astype(np.int64)
 
 
-def features(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, lang, digest (of the text) and FEATURES of each row of docs (doc_id, text, lang). model: path of a SentencePiece model with byte fallback."""
+def _measures(path: str, found: list[str], codes: np.ndarray, doc: np.ndarray, n: int, chars: np.ndarray) -> dict[str, np.ndarray]:
+    """n_tokens and MEASURES of n texts by one vocabulary. found: distinct words; codes: the word at each place; doc: its text."""
+    encode, odd = vocabulary(path)
+    ids = encode(found) if found else []
+    size = np.array([len(x) for x in ids], np.int64)
+    flat = np.array([i for x in ids for i in x], np.int64)
+    tokens = flat[spread((np.cumsum(size) - size)[codes], size[codes])]
+    owner = np.repeat(doc, size[codes])
+    n_tokens = np.bincount(owner, minlength=n)
+    kinds, count = np.unique(owner * len(odd) + tokens, return_counts=True)
+    share = count / n_tokens[kinds // len(odd)]
+    bits = np.bincount(kinds // len(odd), -share * np.log2(share), n)
+    some = np.maximum(n_tokens, 1)
+    return {"n_tokens": n_tokens.astype(np.int64), "chars_per_token": chars / some, "byte_share": np.bincount(owner, odd[tokens], n) / some, "entropy": bits / np.log2(np.maximum(n_tokens, 2))}
+
+
+def features(docs: DataFrame, models: list[str]) -> DataFrame:
+    """doc_id, lang, digest (of the text), RULES, and n_tokens_i and MEASURES_i by each vocabulary i, of each row of docs (doc_id, text, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _processor(model)
-        is_byte = np.array([sp.IsByte(i) for i in range(sp.GetPieceSize())])
-        for part in slices(batches, "text", 4_000_000):
+        for part in slices(batches, "text"):
             w = words(part.column("text"))
             hashes, doc, n = w.hashes(), w.doc, part.num_rows
             codes, first = distinct(hashes)
-            ids = sp.encode([w.text(i).decode() for i in first], num_threads=1) if len(first) else []
-            size = np.array([len(x) for x in ids], np.int64)
-            flat = np.array([i for x in ids for i in x], np.int64)
-            tokens = flat[spread((np.cumsum(size) - size)[codes], size[codes])]
-            owner = np.repeat(doc, size[codes])
-            n_tokens = np.bincount(owner, minlength=n)
-            kinds, count = np.unique(owner * len(is_byte) + tokens, return_counts=True)
-            share = count / n_tokens[kinds // len(is_byte)]
-            bits = np.bincount(kinds // len(is_byte), -share * np.log2(share), n)
+            found = [w.text(i).decode() for i in first]
             letters = (w.data & 0xC0) != 0x80
             solid = ~((w.data == 32) | ((w.data >= 9) & (w.data <= 13)))
             chars = _sums(letters & solid, w.offsets)
-            some = np.maximum(n_tokens, 1)
+            measured = {f"{k}_{i}": pa.array(x) for i, path in enumerate(models) for k, x in _measures(path, found, codes, doc, n, chars).items()}
             yield pa.record_batch({
                 "doc_id": part.column("doc_id"), "lang": part.column("lang"), "digest": part.column("digest"), "n_words": pa.array(w.counts, pa.int64()), "word_chars": pa.array(chars), "n_symbols": pa.array(_sums(_SYMBOL[w.data], w.offsets)),
-                "n_dup_lines": pa.array([duplicate_lines(t or "") for t in part.column("text").to_pylist()], pa.int64()), "n_repeat_words": pa.array(repeated_words(hashes, w)), "n_tokens": pa.array(n_tokens, pa.int64()),
-                "chars_per_token": pa.array(chars / some), "byte_share": pa.array(np.bincount(owner, is_byte[tokens], n) / some), "entropy": pa.array(bits / np.log2(np.maximum(n_tokens, 2))),
+                "n_dup_lines": pa.array([duplicate_lines(t or "") for t in part.column("text").to_pylist()], pa.int64()), "n_repeat_words": pa.array(repeated_words(hashes, w)), **measured,
             })
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.xxhash64("text").alias("digest")).mapInArrow(run, f"doc_id long, lang string, digest long, {FEATURES}")
+    kind = ", ".join([RULES, *(f"n_tokens_{i} long, " + ", ".join(f"{c}_{i} double" for c in MEASURES) for i in range(len(models)))])
+    return docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.xxhash64("text").alias("digest")).mapInArrow(run, f"doc_id long, lang string, digest long, {kind}")
 
 
-def quality_rules(docs: DataFrame, model: str, reach: float = REACH) -> DataFrame:
-    """Per row of docs: doc_id, FEATURES, base_failed, kept."""
+def quality_rules(docs: DataFrame, models: list[str], reach: float = REACH) -> DataFrame:
+    """Per row of docs: doc_id, RULES, base_failed, kept, and n_tokens_i and MEASURES_i by each vocabulary i."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.table(features(docs, model), "fertility").withColumn("lang", F.coalesce("lang", F.lit("und")))
-    names = ("chars_per_token", "byte_share", "entropy")
-    texts = rows.where(F.col("n_tokens") >= LEAST_TOKENS).select("lang", "digest", *names).dropDuplicates(["lang", "digest"])
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rows = scratch.table(features(docs, models), "fertility").withColumn("lang", F.coalesce("lang", F.lit("und"))).withColumn("base_failed", failed)
+    names = [f"{c}_{i}" for i in range(len(models)) for c in MEASURES]
+    texts = rows.where(~F.col("base_failed")).select("lang", "digest", *names).dropDuplicates(["lang", "digest"])
     quartiles = texts.groupBy("lang").agg(*[F.percentile_approx(c, [0.25, 0.75], 10_000).alias(f"q_{c}") for c in names])
     joined = rows.join(scratch.table(quartiles, "quartiles"), "lang", "left")  # Spark broadcasts it if its file is small
-    wide = {c: F.greatest(F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0], F.lit(LEAST_SPREAD[c])) for c in names}
-    low = {c: F.col(f"q_{c}")[0] - reach * wide[c] for c in names}
-    high = {c: F.col(f"q_{c}")[1] + reach * wide[c] for c in names}
-    odd = (F.col("chars_per_token") < low["chars_per_token"]) | (F.col("chars_per_token") > high["chars_per_token"]) | (F.col("byte_share") > high["byte_share"] + 0.02) | (F.col("entropy") < low["entropy"])
-    odd = (F.col("n_tokens") >= LEAST_TOKENS) & F.coalesce(odd, F.lit(False))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return joined.select("doc_id", *[x.split()[0] for x in FEATURES.split(", ")], failed.alias("base_failed"), (~failed & ~odd).alias("kept"))
+    odd = F.lit(False)
+    for i in range(len(models)):
+        wider = F.greatest(F.lit(1.0), F.sqrt(FULL / F.greatest(F.col(f"n_tokens_{i}"), F.lit(1))))
+        beyond = {c: reach * wider * F.greatest(F.col(f"q_{c}_{i}")[1] - F.col(f"q_{c}_{i}")[0], F.lit(LEAST_SPREAD[c])) for c in MEASURES}
+        low, high = ({c: F.col(f"q_{c}_{i}")[j] + sign * beyond[c] for c in MEASURES} for j, sign in ((0, -1), (1, 1)))
+        chars, share, entropy = (F.col(f"{c}_{i}") for c in MEASURES)
+        odd = odd | (chars < low["chars_per_token"]) | (chars > high["chars_per_token"]) | (share > high["byte_share"]) | (entropy < low["entropy"])
+    shown = [x.split()[0] for x in RULES.split(", ")]
+    return joined.select("doc_id", *shown, "base_failed", (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"), *[c for c in rows.columns if c[:-2] in ("n_tokens", *MEASURES)])

@@ -44,6 +44,10 @@ def WORD_BPE() -> str:  # noqa: N802
     return _vocabulary("word_bpe_49k.json")
 
 
+def FERTILITY() -> list[str]:  # noqa: N802
+    return [_vocabulary("piece_bpe_32k.model"), _vocabulary("byte_bpe_multi_50k.tiktoken")]
+
+
 def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.pieces import decode, encode
 
@@ -95,7 +99,7 @@ def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.fertility import quality_rules
 
-    return quality_rules(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+    return quality_rules(_documents(spark, sf_dir), FERTILITY())
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import language, media, ngram_join, packing, passages, perplexity, pieces, secrets, sharding
 from quarry.llm.fertility import duplicate_lines, quality_rules
-from quarry.llm.queries import WORD_BPE, _vocabulary
+from quarry.llm.queries import FERTILITY, WORD_BPE, _vocabulary
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -460,28 +460,88 @@ def test_classifier_tells_rarer_words_apart(spark):
     assert np.mean([p[i] for i in range(1_500, 2_000)]) > 2 * np.mean([p[i] for i in range(1_500)])
 
 
+def plain_measures(texts):
+    """n_tokens and measures by each vocabulary, word by word."""
+    import base64
+
+    import sentencepiece
+    import tiktoken
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=FERTILITY()[0])
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(FERTILITY()[1], "rb").read().splitlines())}
+    own = tiktoken.Encoding("own", pat_str=r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
+
+    def partial(token):
+        try:
+            return token.decode() is None
+        except UnicodeDecodeError:
+            return True
+
+    for t in texts:
+        w = WORD.findall(t or "")
+        out = []
+        for ids, odd in (([i for x in w for i in sp.encode(x)], sp.IsByte), ([i for x in w for i in own.encode_ordinary(f" {x}")], lambda i: partial(own.decode_single_token_bytes(i)))):
+            n, count = len(ids), Counter(ids)
+            bits = -sum(c / n * np.log2(c / n) for c in count.values())
+            out.append((n, sum(map(len, w)) / max(n, 1), sum(map(odd, ids)) / max(n, 1), bits / np.log2(max(n, 2))))
+        yield out
+
+
+def plain_verdicts(rows, measures):
+    """kept of (lang, text, base_failed) by bands as the module's text has them; quartiles as the least value that enough do not exceed."""
+    lang = [r[0] or "und" for r in rows]
+    own = {}
+    for x, (_, text, failed), m in zip(lang, rows, measures, strict=True):
+        if not failed:
+            own.setdefault(x, {})[text] = m
+    kept = []
+    for x, (_, _, failed), m in zip(lang, rows, measures, strict=True):
+        ok = not failed
+        for i, name in ((i, c) for i in range(2) for c in range(3)):
+            if x in own:
+                values = sorted(v[i][name + 1] for v in own[x].values())
+                q = [values[int(np.ceil(p * len(values))) - 1] for p in (0.25, 0.75)]
+                beyond = 3 * max(1, np.sqrt(50 / max(m[i][0], 1))) * max(q[1] - q[0], (0.1, 0.01, 0.01)[name])
+                v = m[i][name + 1]
+                ok &= not (v < q[0] - beyond if name != 1 else False) and not (v > q[1] + beyond if name != 2 else False)
+        kept.append(ok)
+    return kept
+
+
 def test_fertility_rules(spark, docs, edges, empty):
-    rows = {r.doc_id: r for r in quality_rules(docs, _vocabulary("piece_bpe_32k.model")).collect()}
-    for d in docs.collect():
+    every = docs.collect()
+    rows = {r.doc_id: r for r in quality_rules(docs, FERTILITY()).collect()}
+    measures = list(plain_measures([d.text for d in every]))
+    failed = []
+    for d, m in zip(every, measures, strict=True):
         w = WORD.findall(d.text or "")
         seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
         again = {q for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for q in range(i, i + 8)}
         want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in d.text or ""), duplicate_lines(d.text or ""), len(again), len(w) < 20 or 100 * len(again) > 30 * len(w))
         r = rows[d.doc_id]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
-        assert not (r.kept and r.base_failed)
+        failed.append(want[-1])
+        for i in (0, 1):
+            assert [r[f"{c}_{i}"] for c in ("n_tokens", "chars_per_token", "byte_share", "entropy")] == pytest.approx(m[i])
+    assert [rows[d.doc_id].kept for d in every] == plain_verdicts([(d.lang, d.text, f) for d, f in zip(every, failed, strict=True)], measures)
     assert duplicate_lines("a\n\n\na\nb\n a\n") == 1
-    assert quality_rules(edges, _vocabulary("piece_bpe_32k.model")).count() == 10 and quality_rules(empty, _vocabulary("piece_bpe_32k.model")).count() == 0
+    assert quality_rules(edges, FERTILITY()).count() == 10 and quality_rules(empty, FERTILITY()).count() == 0
+
+
+def test_fertility_rejects_short_and_odd_texts(spark, docs):
+    """Of ordinary texts and such as no tokeniser likes, short ones too, the latter go."""
+    odd = [" ".join("ΨΩ꙰ᚠ𐍈"[i % 5] * 7 + str(i) for i in range(n)) for n in (21, 40, 400)] + [" ".join(f"{i * 7919 % 10007}" for i in range(n)) for n in (60, 400)]
+    frame = docs.where("lang = 'en'").select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(10**6 + i, t, "en") for i, t in enumerate(odd)], "doc_id long, text string, lang string"))
+    assert quality_rules(frame, FERTILITY()).where(f"kept and doc_id >= {10**6}").count() == 0
 
 
 def test_fertility_with_a_hot_text(spark, docs):
     """Two thirds of a language are one text; its other documents are kept as they are without the copies."""
-    path = _vocabulary("piece_bpe_32k.model")
     plain = docs.where("lang = 'en'").select("doc_id", "text", "lang").dropDuplicates(["text"])
-    ranked = [r.doc_id for r in quality_rules(plain, path).where("kept and n_tokens >= 50").orderBy("chars_per_token").collect()]
+    ranked = [r.doc_id for r in quality_rules(plain, FERTILITY()).where("kept and n_tokens_0 >= 50").orderBy("chars_per_token_0").collect()]
     text = plain.where(F.col("doc_id") == ranked[len(ranked) // 2]).first().text
     hot = spark.range(2 * plain.count()).select((F.col("id") + 1_000_000).alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"))
-    kept = lambda df: {r.doc_id for r in quality_rules(df, path).where("kept and doc_id < 1000000").collect()}
+    kept = lambda df: {r.doc_id for r in quality_rules(df, FERTILITY()).where("kept and doc_id < 1000000").collect()}
     alone, among = kept(plain), kept(plain.unionByName(hot))
     assert len(alone) > 20 and len(alone - among) <= 0.02 * len(alone)
 
