@@ -5,8 +5,9 @@ a reference has the caption of its figure. Payloads are stored apart, under the
 a join by digest gives each reference its payload's record; the element keeps its place and caption whether or
 not a payload is found. Bytes are kept as grey PNG images, 64 samples of 8 bits to a line, without loss.
 
-Rows: null HTML has no element; a reference that no payload answers stays, with nulls. Null text is the empty
-payload, 64 zero bytes. Equal payloads share a digest and are joined once. Extra columns are ignored.
+Rows: null HTML has no element; a reference that no payload answers stays, with nulls. A caption outside of a figure is text; one
+that is not closed ends with its figure. Null text is the empty payload, 64 zero bytes. Every stored row is read back; of
+equal payloads one record is joined. Records are kept in a struct, so that their names clash with none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def read_media(media: DataFrame) -> DataFrame:
     """Per row of media (ref, media): what the stored bytes hold when read back, and features of the samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches, "media"):
             rows = []
             for png in part.column("media"):
                 png = png.as_py()
@@ -102,6 +103,14 @@ class _Elements(HTMLParser):
         if text:
             self.out.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
+    def end_caption(self):
+        if self.caption is not None:
+            caption = " ".join("".join(self.caption).split())
+            self.caption = None
+            for x in self.out[self.figures[-1] :]:
+                if x["kind"] == "media":
+                    x["caption"] = caption
+
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style", "template"):
             self.hidden += 1
@@ -114,21 +123,20 @@ class _Elements(HTMLParser):
             self.flush()
             self.figures.append(len(self.out))
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
-            self.caption = []
+            self.caption = [] if self.figures else None
         elif tag in ("p", "div", "br", "li", "tr", "td", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "nav", "footer", "header", "ul", "ol", "table", "title"):
             self.flush()
 
     def handle_endtag(self, tag):
         if tag in ("script", "style", "template"):
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            caption = " ".join("".join(self.caption).split())
-            self.caption = None
-            for x in self.out[self.figures[-1] :] if self.figures else []:
-                if x["kind"] == "media":
-                    x["caption"] = caption
+        elif tag == "figcaption":
+            self.end_caption()
+            self.flush()
         elif tag == "figure" and self.figures:
+            self.end_caption()
             self.flush()
             self.figures.pop()
         elif tag in ("p", "div", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "title"):
@@ -143,6 +151,7 @@ def elements_of(html: str | None) -> list[dict]:
     parser = _Elements()
     parser.feed(html or "")
     parser.close()
+    parser.end_caption()
     parser.flush()
     return [{"pos": i, **x} for i, x in enumerate(parser.out)]
 
@@ -152,7 +161,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches, html):
             yield pa.record_batch({key: part.column(0), "elements": pa.array([elements_of(x.as_py()) for x in part.column(1)], kind)})
 
     rows = pages.select(key, html)
@@ -160,15 +169,16 @@ def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
 
 def interleave(parsed: DataFrame, records: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, pos, kind, text, ref, caption and the columns of records (one row to a ref) for every element, by a join on the digest."""
+    """key, pos, kind, text, ref, caption and record (a struct of the columns of records, one row to a ref) for every element, by a join on the digest."""
     each = parsed.select(key, F.explode("elements").alias("e")).select(key, "e.*")
-    return each.join(records.dropDuplicates(["ref"]), "ref", "left")
+    one = records.dropDuplicates(["ref"])
+    return each.join(one.select("ref", F.struct(*[c for c in one.columns if c != "ref"]).alias("record")), "ref", "left")
 
 
 def sequences(interleaved: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row to a page: its elements in order, payload digests in place."""
-    kept = F.struct("pos", "kind", "text", "ref", "caption", "payload_sha256")
-    return interleaved.groupBy(key).agg(F.array_sort(F.collect_list(kept)).alias("elements"))
+    """One row to a page: its elements in order, each with its payload's record."""
+    kept = F.struct("pos", "kind", "text", "ref", "caption", "record")
+    return interleaved.groupBy(key).agg(F.sort_array(F.collect_list(kept)).alias("elements"))
 
 
 def document_media(docs: DataFrame) -> DataFrame:
@@ -179,4 +189,4 @@ def document_media(docs: DataFrame) -> DataFrame:
     scratch_pages = stored.select("doc_id", "n_bytes", F.concat(F.lit("<figure><img src='"), "ref", F.lit("'><figcaption>"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>")).alias("html"))
     pages = scratch.table(parse_pages(scratch_pages.withColumn("page", F.struct("doc_id", "n_bytes")), "page"), "pages")
     scratch.drop("media")
-    return interleave(pages, records, "page").where("kind = 'media'").select("page.*", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return interleave(pages, records, "page").where("kind = 'media'").select("page.*", "record.*")

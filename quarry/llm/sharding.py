@@ -70,6 +70,7 @@ def shard_directory(docs: DataFrame, limit: int, key: str = "doc_id", text: str
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
-    """docs as Parquet, one folder to a shard."""
-    placed = shard_directory(docs, limit, key, text).select(F.col(key).alias("__key"), "shard_id").distinct()
-    docs.join(placed, F.coalesce(F.col(key).cast("string"), F.lit("")) == F.coalesce(F.col("__key").cast("string"), F.lit(""))).drop("__key").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    """docs as Parquet, one folder to a shard (`shard_id=...`). A column of docs that is named shard_id is written as shard_id_."""
+    placed = shard_directory(docs, limit, key, text).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"), F.col("shard_id").alias("__shard")).distinct()
+    rows = docs.withColumnRenamed("shard_id", "shard_id_").join(placed, F.coalesce(F.col(key).cast("string"), F.lit("")) == F.col("__key")).drop("__key")
+    rows.withColumnRenamed("__shard", "shard_id").repartition("shard_id").write.partitionBy("shard_id").parquet(path)

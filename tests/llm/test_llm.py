@@ -260,6 +260,15 @@ def test_shard_edges(edges, empty):
     assert sharding.shard_directory(empty, 10).count() == 0
 
 
+def test_written_shards(spark, edges, docs, tmp_path):
+    clashing = docs.select("doc_id", "text", F.lit("mine").alias("shard_id"))
+    sharding.write_shards(clashing, str(tmp_path / "a"), 3_000)
+    back = spark.read.option("basePath", str(tmp_path / "a")).parquet(str(tmp_path / "a")).select("doc_id", "text", F.col("shard_id").cast("string"), "shard_id_")
+    assert sorted(r.doc_id for r in back.collect()) == sorted(r.doc_id for r in docs.collect()) and {r.shard_id_ for r in back.collect()} == {"mine"}
+    sharding.write_shards(edges, str(tmp_path / "b"), 1_000)
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 10
+
+
 def brute_secrets(text):
     out = []
     for rank, (kind, pattern, group, least) in enumerate((("assign", secrets.ASSIGN, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))):
@@ -547,7 +556,7 @@ def test_fertility_with_a_hot_text(spark, docs):
 
 
 def test_media_round_trip(spark, docs, edges, empty):
-    import hashlib
+    import struct
 
     rows = {r.doc_id: r for r in media.document_media(docs).collect()}
     for d in docs.collect():
@@ -555,17 +564,32 @@ def test_media_round_trip(spark, docs, edges, empty):
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         r = rows[d.doc_id]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-    assert media.document_media(edges).count() == 10 and media.document_media(empty).count() == 0
+        chunk = lambda name, x: struct.pack(">I", len(x)) + name + x + struct.pack(">I", zlib.crc32(name + x))
+        lines = b"".join(b"\0" + payload[i : i + 64] for i in range(0, len(payload), 64))
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, len(payload) // 64, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, 1)) + chunk(b"IEND", b"")
+        share = [n / len(payload) for n in Counter(payload).values()]
+        mean = sum(payload) / len(payload)
+        std = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        named = dict(x.split("=") for x in r.feature.split(";")[1:])
+        assert r.feature.split(";")[0] == f"64x{len(payload) // 64}" and [float(named[x]) for x in ("mean", "std", "bits")] == pytest.approx([mean, std, -sum(p * np.log2(p) for p in share)], abs=2e-3)
+    found = media.document_media(edges).collect()
+    assert len(found) == 10 and media.document_media(empty).count() == 0
+    by = {r.doc_id: r.asDict() for r in found}
+    for a, b in ((6, 7), (1, 2)):  # equal texts, equal values; null is empty
+        assert {**by[a], "doc_id": 0} == {**by[b], "doc_id": 0}
 
 
 def test_pages_keep_order_and_captions(spark):
     html = "<p>Hi <b>there</b></p><script>no</script><figure><img src='d1'><figcaption>cap</figcaption></figure>tail<img src=d2 alt=q>"
-    parsed = media.parse_pages(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))
-    records = spark.createDataFrame([("d1", "sha")], "ref string, payload_sha256 string")
-    got = media.sequences(media.interleave(parsed, records)).first()
-    assert [(e.pos, e.kind, e.text, e.ref, e.caption, e.payload_sha256) for e in got.elements] == [
-        (0, "text", "Hi there", None, None, None), (1, "media", None, "d1", "cap", "sha"), (2, "text", "tail", None, None, None), (3, "media", None, "d2", "q", None),
-    ]
+    loose = "<figcaption>free</figcaption><figure><img src=d1><figcaption>open</figure>after<figure><img src=none><figcaption>last"
+    parsed = media.parse_pages(spark.createDataFrame([(1, html), (2, None), (3, loose)], "page_id long, html string"))
+    records = spark.createDataFrame([("d1", "sha", "x", "y"), ("d1", "sha", "x", "y")], "ref string, payload_sha256 string, kind string, text string")
+    got = {r.page_id: [(e.pos, e.kind, e.text, e.ref, e.caption, e.record and e.record.payload_sha256) for e in r.elements] for r in media.sequences(media.interleave(parsed, records)).collect()}
+    assert got == {
+        1: [(0, "text", "Hi there", None, None, None), (1, "media", None, "d1", "cap", "sha"), (2, "text", "tail", None, None, None), (3, "media", None, "d2", "q", None)],
+        3: [(0, "text", "free", None, None, None), (1, "media", None, "d1", "open", "sha"), (2, "text", "after", None, None, None), (3, "media", None, "none", "last", None)],
+    }
 
 
 def plain_agenda(model, unit, key, rate):
