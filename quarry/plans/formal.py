@@ -106,33 +106,76 @@ def claimed_answers(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(families.claimed_answer(said).alias("claim")).agg(F.count("*").alias("n"))
 
 
-#: Orders as formal statements with a parent; each of the eight shapes raises its own flags.
+#: Orders as formal statements with a parent: formal, lean, parent, statement, plan; {k} is a number of the row.
 _SHAPES = (
-    ("theorem t{k} (x : ℕ) : x + {k} > 3 := by omega", "by norm_num", "theorem p (x : ℕ) : x + 9 > 3 := by omega"),
-    ("theorem t{k} [Field R] (x : R) : x * {k} = x := by simp", "simp", "theorem p [Ring R] (x : R) : x * {k} = x"),
-    ("theorem t{k} : a < {k} ∧ b < long_bound", "omega", "theorem p : b < long_bound"),
-    ("theorem t{k} : Nat.divisors {k} = s", "native_decide", "theorem p : s = s"),
-    ("theorem t{k} (f : Fin 1 → ℕ) : f 0 = {k}", "exact Subsingleton.elim _ _", "theorem p : q"),
-    ("theorem t{k} : -( -{k}) = y", "rw [neg_neg]", "theorem p : q"),
-    ("theorem t{k} : IsUnit (a * b{k})", "exact ha.mul hb", "theorem p : IsUnit a"),
-    ("lemma  t{k} :  same_goal {k}", "assumption", "lemma other : same_goal {k}"),
+    ("theorem t{k} (x : ℕ) : x + {k} > 3 := by omega", "by norm_num", "theorem p (x : ℕ) : x + 9 > 3 := by omega", "", ""),
+    ("theorem t{k} [Field R] (x : R) : x * {k} = x := by simp", "simp", "theorem p [Ring R] (x : R) : x * {k} = x", "", ""),
+    ("theorem t{k} : a < {k} ∧ b < long_bound", "omega", "theorem p : b < long_bound", "", "side by side, carried along"),
+    ("theorem t{k} : Nat.divisors {k} = s", "native_decide", "theorem p : s = s", "", "inspired by its parent"),
+    ("theorem t{k} (f : Fin 1 → ℕ) : f 0 = {k}", "exact Subsingleton.elim _ _", "theorem p : q", "", ""),
+    ("theorem t{k} : -( -{k}) = y", "rw [neg_neg]", "theorem p : q", "", ""),
+    ("theorem t{k} : IsUnit (a * b{k})", "exact ha.mul hb", "theorem p : IsUnit a", "", ""),
+    ("lemma  t{k} :  same_goal {k}", "assumption", "lemma other : same_goal {k}", "", ""),
+    ("theorem t{k} (h : n = 24) : 8 ∣ n", "rw [h]; exhibit 8*k", "theorem p : 24 ∣ n", "24 ∣ n, so 8 divides n", ""),
+    ("theorem t{k} : a {k} = 5", "simp", "theorem p : a 0 = 1", "The arithmetic progression has a term", "a hidden index"),
+    ("theorem t{k} : a + 20 * d ≤ {k}", "linarith [ap_bound]", "theorem p : ap_bound a + 3 * d", "an arithmetic sequence, with slack", ""),
+    ("theorem t{k} : n / 19 = 3", "omega", "theorem p : n * 7 % 398 = 1", "As n * 7 % 398 = 1, n = 57", ""),
+    ("theorem t{k} : S.card = 4", "native_decide", "theorem p : q", "The residues mod 8 have cardinality {k}", ""),
+    ("theorem t{k} (h : ∀ p, p.Prime → p < {k}) : q.Prime", "exact h q", "theorem p : all_primes", "", ""),
+    ("theorem t{k} : x + {k} = 9", "linarith", "theorem p : 3 * x + 2 = 11", "a nearby equation", ""),
+    ("theorem t{k} : orderOf u = orderOf v", "simp", "theorem p : q", "A unit and its inverse have one order", ""),
+    ("theorem t{k} : ∃ z, z ∣ w", "refine ⟨z, hz⟩", "theorem p : q", "A Gaussian integer by its witness", ""),
+    ("theorem t{k} : n < 398", "omega", "theorem p : q", "An arithmetic progression as a bridge to n % 19, 132 + n / 19", ""),
+    ("theorem t{k} : p.Prime", "norm_num", "theorem p : sum_of_divisors", "A helper on the sum of divisors of 500", ""),
 )
 
 
-def _shape_sql(i: int) -> str:
-    return "CASE o_orderkey % 8 " + " ".join(f"WHEN {n} THEN replace('{s[i]}', '{{k}}', o_custkey::VARCHAR)" for n, s in enumerate(_SHAPES)) + " END"
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
 
-@query(f"""WITH x AS (SELECT o_orderkey % 8 AS shape, o_orderkey % 3 AS kind, {_shape_sql(0)} AS f, {_shape_sql(2)} AS p, o_orderstatus = 'F' AS ok, o_custkey AS k FROM orders),
-y AS (SELECT *, CASE WHEN shape = 0 AND k = 0 AND kind = 0 AND ok THEN 'parameter_shift_only_theorem,trivial_add_zero_padding' WHEN shape = 0 AND k = 0 THEN 'trivial_add_zero_padding' WHEN shape = 0 AND k = 9 AND kind = 0 AND ok THEN 'parameter_shift_only_theorem,same_formal_statement_as_parent' WHEN shape = 0 AND k = 9 THEN 'same_formal_statement_as_parent' WHEN shape = 0 AND kind = 0 AND ok THEN 'parameter_shift_only_theorem'
-WHEN shape = 1 AND kind = 0 AND ok THEN 'typeclass_narrowing_only' WHEN shape = 2 AND kind = 0 AND ok THEN 'auxiliary_conjunct_only_theorem' WHEN shape = 3 AND kind = 1 THEN 'computational_crossover_only,concrete_native_decide_projection' WHEN shape = 3 THEN 'concrete_native_decide_projection'
-WHEN shape = 4 THEN 'fin_one_vacuity_theorem' WHEN shape = 5 THEN 'trivial_negation_chain' WHEN shape = 6 AND kind = 0 AND ok THEN 'unit_product_closure_only' WHEN shape = 7 THEN 'same_formal_statement_as_parent' ELSE '' END AS flags FROM x)
-SELECT flags, count(*) AS n FROM y GROUP BY 1""")
+def _shape_sql(i: int) -> str:
+    return f"CASE o_orderkey % {len(_SHAPES)} " + " ".join(f"WHEN {n} THEN replace({_sql_text(s[i])}, '{{k}}', o_custkey::VARCHAR)" for n, s in enumerate(_SHAPES)) + " END"
+
+
+def _flags_sql() -> str:
+    """Flags of statements with one parent, by SQL's own functions over the strings."""
+    bare = lambda x: rf"lower(trim(regexp_replace(regexp_replace(split_part({x}, ':= by', 1), '\b(theorem|lemma)\s+[A-Za-z0-9_''.]+', '\1 _', 'g'), '\s+', ' ', 'g')))"
+    joined = lambda fields: "lower(concat_ws(' ', " + ", ".join(fields) + "))"
+    parts = ", ".join(f"{joined(fields)} AS x_{name}" for name, fields in detectors.PARTS.items())
+    has = lambda part, x: f"regexp_matches(x_{part}, {_sql_text(x)})"
+    words = lambda x: f"regexp_extract_all({x}, '[a-z_][a-z0-9_'']{{2,}}')"
+    met = lambda x: f"list_has_any({words('p_end')}, {words(x)})"
+    mutation, crossover = (f"(kind = '{k}' AND status = 'certified' AND own <> '')" for k in ("mutation", "crossover"))
+    both, held = "regexp_matches(own_end, '∧| and ')", "(length(p_end) >= 8 AND contains(own_end, p_end))"
+    blank = lambda x: rf"regexp_replace({x}, '\b\d+\b', '#', 'g')"
+    narrowed = " OR ".join(f"(contains(own, '{a}') AND contains(par, '{b}'))" for a, b in detectors.NARROWED)
+    found = [
+        ("same_formal_statement_as_parent", "own <> '' AND own = par"), ("parameter_shift_only_theorem", f"{mutation} AND {blank('own')} = {blank('par')} AND {has('proof', detectors.MECHANICAL)}"),
+        ("auxiliary_conjunct_only_theorem", f"{mutation} AND {both} AND {held}"), ("typeclass_narrowing_only", f"{mutation} AND own_end <> '' AND own_end = p_end AND ({narrowed})"),
+        ("side_by_side_conjunction", f"{crossover} AND {both} AND {has('text', detectors.SIDE_BY_SIDE)}"), ("parent_checkpoint_not_consumed", f"{crossover} AND x_lean <> '' AND NOT {met('x_lean')}"),
+        ("unused_checkpoint", f"{crossover} AND {has('proof', detectors.PASSED_THROUGH)} AND {met('x_lean')} AND NOT {met('x_goal')}"), ("same_lineage_crossover", "kind = 'crossover' AND a_root = b_root"),
+        ("lineage_complexity_without_new_role", f"status = 'certified' AND own <> '' AND depth >= CASE kind WHEN 'mutation' THEN 5 WHEN 'crossover' THEN 6 END AND NOT {has('text', detectors._ROLE)}"),
+    ]
+    for r in detectors.RULES:
+        terms = [has(*n) for n in r.needs] + [f"NOT {has(*n)}" for n in r.lacks] + ([f"kind = '{r.kind}'"] if r.kind else []) + (["status = 'certified' AND kind <> 'survivor'"] if r.certified else [])
+        found.append((r.flag, " AND ".join(terms)))
+    every = ", ".join(f"CASE WHEN {c} THEN '{f}' END" for f, c in found)
+    return rf"""WITH a AS (SELECT o_orderkey, {", ".join(f"{_shape_sql(i)} AS {n}" for i, n in enumerate(("formal", "lean", "parent", "statement", "plan")))}, '' AS evidence, o_custkey % 3 AS a_root, o_custkey % 4 AS b_root, o_custkey % 7 + 1 AS depth,
+CASE o_orderkey % 3 WHEN 0 THEN 'mutation' WHEN 1 THEN 'crossover' ELSE 'survivor' END AS kind, CASE WHEN o_orderstatus = 'F' THEN 'certified' ELSE 'failed' END AS status FROM orders),
+b AS (SELECT *, {parts}, lower(CASE WHEN formal <> '' THEN formal ELSE lean END) AS x_stated, {bare('formal')} AS own, {bare('parent')} AS par, lower(parent) AS x_parents FROM a),
+c AS (SELECT *, regexp_replace(x_text, '\s+', '', 'g') AS x_tight, trim(regexp_extract(own, '[^:]*$')) AS own_end, trim(regexp_extract(par, '[^:]*$')) AS p_end FROM b),
+d AS (SELECT *, trim(list_extract(string_split(regexp_extract(own_end, '[^→]*$'), '->'), -1)) AS x_goal FROM c)
+SELECT array_to_string(list_sort(list_distinct(list_filter([{every}], lambda x: x IS NOT NULL))), ',') AS flags, count(*) AS n FROM d GROUP BY 1"""
+
+
+@query(_flags_sql())
 def theorem_flags(spark, sf_dir):
-    key = F.col("o_orderkey") % 8
-    shape = lambda i: F.replace(F.element_at(F.array(*[F.lit(s[i]) for s in _SHAPES]), (key + 1).cast("int")), F.lit("{k}"), F.col("o_custkey").cast("string"))
+    shape = lambda i: F.replace(F.element_at(F.array(*[F.lit(s[i]) for s in _SHAPES]), (F.col("o_orderkey") % len(_SHAPES) + 1).cast("int")), F.lit("{k}"), F.col("o_custkey").cast("string"))
+    root = lambda m: F.concat(F.lit("r"), (F.col("o_custkey") % m).cast("string"), F.lit("__theorem_gen1"))
     rows = table(spark, sf_dir, "orders").select(
-        F.lit("").alias("statement"), shape(0).alias("formal"), shape(1).alias("lean"), F.lit("").alias("plan"), F.array(shape(2)).alias("parents"),
+        shape(3).alias("statement"), shape(0).alias("formal"), shape(1).alias("lean"), shape(4).alias("plan"), F.array(shape(2)).alias("parents"), F.array(root(3), root(4)).alias("parent_ids"),
+        F.array_join(F.array_repeat(F.lit("s"), (F.col("o_custkey") % 7 + 1).cast("int")), "__").alias("problem_id"),
         F.element_at(F.array(F.lit("mutation"), F.lit("crossover"), F.lit("survivor")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("kind"),
         F.when(F.col("o_orderstatus") == "F", "certified").otherwise("failed").alias("status"),
     )
