@@ -367,8 +367,9 @@ def test_packed_keys():
 
 def plain_kneser_ney(trusted, texts):
     """Perplexities by interpolated modified Kneser-Ney with plain counters."""
-    vocabulary = [w for w, n in sorted(Counter(perplexity.core(w) for t in trusted for w in WORD.findall(t)).items(), key=lambda x: (-x[1], x[0])) if n > 1][: perplexity.VOCABULARY]
-    token = lambda w: perplexity.core(w) if perplexity.core(w) in set(vocabulary) else perplexity.shape(perplexity.core(w))
+    core = lambda w: w.rstrip(".,;:") or w
+    vocabulary = [w for w, n in sorted(Counter(core(w) for t in trusted for w in WORD.findall(t)).items(), key=lambda x: (-x[1], x[0])) if n > 1][: perplexity.VOCABULARY]
+    token = lambda w: core(w) if core(w) in set(vocabulary) else perplexity.shape(core(w))
     tokens = lambda t: ["<", "<", *map(token, WORD.findall(t))]
     three = Counter(g for t in trusted for x in [tokens(t)] for g in zip(x, x[1:], x[2:]))
     two = Counter(g[1:] for g in three)
@@ -411,7 +412,7 @@ def test_perplexities_against_plain_kneser_ney(spark, shard, monkeypatch):
     from quarry.llm.scratch import Scratch
 
     rng = np.random.default_rng(5)
-    texts = [" ".join(rng.choice(["Aa", "b,", "c", "d9", "e", "F"], rng.integers(0, 30))) for _ in range(60)]
+    texts = [" ".join(rng.choice(["Aa", "b,", "b", "c", "d9", "e;.", "F", "..", "éé,"], rng.integers(0, 30))) for _ in range(60)]
     texts += [" ".join(f"{x}{rng.integers(40)}" for x in rng.choice(["q", "R", "s."], 20)) for _ in range(10)]
     monkeypatch.setattr(perplexity, "SHARD", shard)
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
