@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -57,16 +57,34 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((n > 0) & (size > 0), dot / size).otherwise(0.0)
 
 
-def bootstrap_means(k: int, n: int, iterations: int, seed: int) -> list[float]:
-    """Sorted means of resamples of n rows of which k are 1, by binomial draws."""
-    draw = random.Random(seed)
-    return sorted(sum(draw.random() < k / n for _ in range(n)) / n for _ in range(iterations))
+def bounds(means: np.ndarray, alpha: float = 0.05) -> tuple[float, float]:
+    """The order statistics at int(n alpha / 2) and int(n (1 - alpha / 2)) - 1, without interpolation."""
+    low, high = int(len(means) * alpha / 2), max(0, int(len(means) * (1 - alpha / 2)) - 1)
+    part = np.partition(means, (low, high))
+    return float(part[low]), float(part[high])
 
 
-def percentile_bounds(means: list[float], alpha: float = 0.05) -> tuple[float, float]:
-    """The order statistics at int(n alpha / 2) and int(n (1 - alpha / 2)) - 1, without interpolation."""
-    n = len(means)
-    return means[int(n * alpha / 2)], means[max(0, int(n * (1 - alpha / 2)) - 1)]
+def bootstrap_share(k: str, n: str, iterations: int = 1_000, seed: int = 0) -> Column:
+    """low and high of a share of k among n, in percent: resampling rows of 0 and 1 is a binomial draw of their sum. Null without rows."""
+
+    @F.pandas_udf("low double, high double")
+    def run(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        found = [bounds(100 * np.random.default_rng(seed).binomial(y, x / y, iterations) / y) if y else (None, None) for x, y in zip(k, n, strict=True)]
+        return pd.DataFrame(found, columns=["low", "high"])
+
+    return run(k, n)
+
+
+def bootstrap_drop(k0: str, n0: str, k1: str, n1: str, iterations: int = 200_000, seed: int = 0) -> Column:
+    """drop, low and high of the difference of two shares in percent points; the arms are drawn apart, with seed and seed + 1."""
+
+    @F.pandas_udf("drop_pp double, low double, high double")
+    def run(k0: pd.Series, n0: pd.Series, k1: pd.Series, n1: pd.Series) -> pd.DataFrame:
+        draw = lambda k, n, s: 100 * np.random.default_rng(s).binomial(n, k / n, iterations) / n
+        found = [(100 * (a / b - c / d), *bounds(draw(a, b, seed) - draw(c, d, seed + 1))) if b and d else (None,) * 3 for a, b, c, d in zip(k0, n0, k1, n1, strict=True)]
+        return pd.DataFrame(found, columns=["drop_pp", "low", "high"])
+
+    return run(k0, n0, k1, n1)
 
 
 def upper_median(values: Column) -> Column:

@@ -93,3 +93,28 @@ def near_name(a: Column, b: Column) -> Column:
     """Whether two names are a slip apart: at most 2 edits, and 0.15 of the longer one."""
     d = F.levenshtein(a, b)
     return (d <= 2) & (d <= 0.15 * F.greatest(F.length(a), F.length(b)))
+
+
+def _thirds(n: Column) -> list[tuple[Column, Column]]:
+    """Where three parts of a string of n characters begin, from 0, and their lengths."""
+    one, two = F.floor(n / 3).cast("int"), F.floor((n + 1) / 3).cast("int")
+    return [(F.lit(0), one), (one, two), (one + two, (n - one - two).cast("int"))]
+
+
+def part_keys(name: Column) -> Column:
+    """A string's three parts with its length and their number. Of two strings two edits apart at most, one has a part that the other has, too, within two places of where it is."""
+    n = F.length(name)
+    return F.array(*[F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(name, at + 1, size).alias("part")) for i, (at, size) in enumerate(_thirds(n))])
+
+
+def probe_keys(name: Column) -> Column:
+    """All that a string can have of the parts of strings two edits from it: for each length and part, what stands within two places."""
+
+    def around(n: Column, i: int, at: Column, size: Column) -> Column:
+        return F.transform(F.sequence(F.greatest(at - 2, F.lit(0)), at + 2), lambda p: F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(name, p + 1, size).alias("part")))
+
+    def of_length(n: Column) -> Column:
+        return F.concat(*[around(n, i, at, size) for i, (at, size) in enumerate(_thirds(n))])
+
+    lengths = F.sequence(F.greatest(F.length(name) - 2, F.lit(0)), F.length(name) + 2)
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))

@@ -2,18 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def exact_blockers(queries: DataFrame, cards: DataFrame, keys: list[str], query_id: str, card_id: str) -> DataFrame:
-    """query, kind, card: equal, non-empty keys of any kind, once each."""
+    """query, kind, card, n_cards: for each query and kind of key that some card has equal and not empty, the first such card and their number; cards with one key are not told one by one."""
 
     def tall(df: DataFrame, id_: str, name: str) -> DataFrame:
         cells = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in keys])
         return df.select(F.col(id_).alias(name), F.explode(cells).alias("c")).select(name, "c.*").where("key is not null and key <> ''")
 
-    return tall(queries, query_id, "query").join(tall(cards, card_id, "card"), ["kind", "key"]).select("query", "kind", "card").distinct()
+    known = tall(cards, card_id, "card").groupBy("kind", "key").agg(F.min("card").alias("card"), F.count_distinct("card").alias("n_cards"))
+    return tall(queries, query_id, "query").join(known, ["kind", "key"]).select("query", "kind", "card", "n_cards")
+
+
+#: Queries that are held against all cards at a time.
+BLOCK = 10_000
+
+
+def vector_topk(queries: DataFrame, cards: DataFrame, k: int) -> DataFrame:
+    """query, card, sim, vec, rank: of every query (id, vec) its k nearest cards (id, vec) by cosine, itself left out.
+
+    All cards are compared. Queries go out in blocks of about BLOCK, and each task keeps the k best of its own cards for each
+    query, so what is shuffled are candidates and not pairs. Vectors have one length; one without length has cosine 0.
+    """
+    blocks = queries.count() // BLOCK + 1
+    out = None
+    for i in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()  # about BLOCK vectors
+        if not block:
+            continue
+        near = _near_block(cards, np.array([r.id for r in block]), _unit(np.array([r.vec for r in block], np.float64)), k)
+        out = near if out is None else out.unionByName(near)
+    if out is None:
+        out = _near_block(cards.limit(0), np.zeros(0, np.int64), np.zeros((0, 1)), k)
+    return top_k(out, "query", k, F.desc("sim"), F.asc("card"))
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    size = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+
+
+def _near_block(cards: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+    shared = cards.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value
+        for part in (b.slice(i, 1_000) for b in batches for i in range(0, b.num_rows, 1_000)):
+            card, found = part.column("id").to_numpy(), _unit(np.array(part.column("vec").to_pylist(), np.float64))
+            for a in range(0, len(ids), 1_000):
+                sim = np.round(vectors[a : a + 1_000] @ found.T, 9)
+                sim[ids[a : a + 1_000, None] == card[None, :]] = -2
+                order = np.lexsort((np.broadcast_to(card, sim.shape), -sim))[:, :k]
+                row = np.repeat(np.arange(len(sim)), order.shape[1])
+                value, at = sim[row, order.ravel()], order.ravel()
+                keep = value > -2
+                yield pa.record_batch({"query": pa.array(ids[a : a + 1_000][row[keep]]), "card": pa.array(card[at[keep]]), "sim": pa.array(value[keep]), "vec": part.column("vec").take(pa.array(at[keep]))})
+
+    return cards.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "query long, card long, sim double, vec array<double>")
 
 
 def token_overlap(queries: DataFrame, cards: DataFrame) -> DataFrame:
@@ -32,14 +84,16 @@ def mmr(shortlists: DataFrame, k: int, lam: float) -> DataFrame:
     """Greedy maximal marginal relevance over each query's shortlist (query, card, relevance, vec): query, card, place. Shortlists are bounded by their top-k."""
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["relevance", "card"], ascending=[False, True]).reset_index(drop=True)
-        vecs = [[float(x) for x in v] for v in g.vec]
-        size = [sum(x * x for x in v) ** 0.5 for v in vecs]
-        cos = lambda i, j: sum(x * y for x, y in zip(vecs[i], vecs[j], strict=False)) / (size[i] * size[j]) if size[i] and size[j] else 0.0
-        chosen: list[int] = []
+        g = g.sort_values(["relevance", "card"], ascending=[False, True])
+        vectors, relevance = _unit(np.array(g.vec.tolist(), np.float64)), g.relevance.to_numpy()
+        chosen, nearest = [], np.zeros(len(g))
+        left = np.ones(len(g), bool)
         while len(chosen) < min(k, len(g)):
-            rest = [i for i in range(len(g)) if i not in chosen]
-            chosen.append(max(rest, key=lambda i: (lam * g.relevance[i] - (1 - lam) * max((cos(i, j) for j in chosen), default=0.0), -i)))
+            best = int(np.where(left, lam * relevance - (1 - lam) * nearest, -np.inf).argmax())
+            cosine = vectors @ vectors[best]
+            nearest = cosine if not chosen else np.maximum(nearest, cosine)
+            chosen.append(best)
+            left[best] = False
         return pd.DataFrame({"query": g["query"].iloc[:1].repeat(len(chosen)).values, "card": g.card.iloc[chosen].values, "place": range(1, len(chosen) + 1)})
 
     return shortlists.select("query", "card", "relevance", "vec").groupBy("query").applyInPandas(choose, "query long, card long, place int")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarry.operators.ranking import places
+
 
 def draw(seed: str, key: str) -> Column:
     """A repeatable order of rows."""
@@ -19,13 +21,11 @@ def round_robin(df: DataFrame, stratum: str, cell: str, quota: int, key: str, se
     return turns.withColumn("place", place).where(F.col("place") <= quota).drop("__round", "__size")
 
 
-def equal_count_bins(df: DataFrame, group: str, order: list[str], bins: int, least: int = 3) -> DataFrame:
+def equal_count_bins(df: DataFrame, group: str, value: str, tie: str, bins: int, least: int = 3) -> DataFrame:
     """Consecutive chunks of max(1, n div bins) rows of each group; a last chunk of under `least` rows is left out."""
-    along = Window.partitionBy(group).orderBy(*order)
-    sizes = df.groupBy(group).agg(F.greatest(F.lit(1), F.floor(F.count("*") / bins)).alias("__size"))
-    out = df.withColumn("__i", F.row_number().over(along) - 1).join(sizes, group).withColumn("bin", F.floor(F.col("__i") / F.col("__size")))
+    out = places(df, group, value, tie).withColumn("bin", F.floor(F.col("place") / F.greatest(F.lit(1), F.floor(F.col("size") / bins))))
     kept = out.groupBy(group, "bin").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")
-    return out.join(kept, [group, "bin"]).drop("__i", "__size")
+    return out.join(kept, [group, "bin"]).drop("place", "size")
 
 
 def smoothed(hits: Column, tries: Column, prior: float, base: float) -> Column:

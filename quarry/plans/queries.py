@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import stats, text as tx
-from quarry.operators import gates, keep, retrieval, sampling, scoring
+from quarry.operators import fixpoint, gates, keep, retrieval, sampling, scoring
+from quarry.operators.ranking import places
 from quarry.plans.views import EPISODES, episodes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,7 +89,7 @@ SELECT benchmark, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::BIGINT
 def wilcoxon_ranks(spark, sf_dir):
     """Signed ranks of differences in attempts; ties are broken by place, without mid-ranks."""
     d = episodes(spark, sf_dir).groupBy("pair").agg(F.min("pair_benchmark").alias("benchmark"), (F.count_if(F.col("arm") == 0) - F.count_if(F.col("arm") == 1)).alias("d"), F.count_distinct("arm").alias("arms")).where("arms = 2 and d <> 0")
-    r = d.withColumn("r", F.row_number().over(Window.partitionBy("benchmark").orderBy(F.abs("d"), "pair")))
+    r = places(d.withColumn("size_of", F.abs("d")), "benchmark", "size_of", "pair").withColumn("r", F.col("place") + 1)
     return r.groupBy("benchmark").agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0)).alias("w_minus"))
 
 
@@ -105,18 +106,16 @@ def lpg_rescue(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE g AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
-r AS (SELECT child, parent AS ancestor, 1 AS depth FROM g UNION ALL SELECT r.child, g.parent, depth + 1 FROM r JOIN g ON r.ancestor = g.child WHERE depth < 8)
+r AS (SELECT child, parent AS ancestor, 1 AS depth FROM g UNION ALL SELECT r.child, g.parent, depth + 1 FROM r JOIN g ON r.ancestor = g.child)
 SELECT ancestor, depth, count(*) AS n FROM r WHERE ancestor[1] = 'r' GROUP BY ALL""")
 def lineage_closure(spark, sf_dir):
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     t = lambda n: table(spark, sf_dir, n)
     edges = t("nation").select(tag("n", "n_nationkey").alias("child"), tag("r", "n_regionkey").alias("parent"))
     edges = edges.unionByName(t("customer").select(tag("c", "c_custkey").alias("child"), tag("n", "c_nationkey").alias("parent"))).unionByName(t("orders").select(tag("o", "o_orderkey").alias("child"), tag("c", "o_custkey").alias("parent")))
-    step = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    out = step
-    for depth in range(2, 5):  # lineages here have three levels
-        step = step.join(edges.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
-        out = out.unionByName(step)
+    up = edges.select(F.col("child").alias("ancestor"), "parent")
+    step = lambda now: now.join(up, "ancestor").select("child", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
+    out = fixpoint.until_empty(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), step)
     return out.where(F.startswith("ancestor", F.lit("r"))).groupBy("ancestor", "depth").agg(F.count("*").alias("n"))
 
 
@@ -326,9 +325,8 @@ SELECT p_brand, count(*) FILTER (p_retailprice <= lo) AS easy, count(*) FILTER (
 def tertile_difficulty(spark, sf_dir):
     """Cuts at sorted[n // 3] and sorted[2 n // 3] of each brand."""
     part = table(spark, sf_dir, "part")
-    n = part.groupBy("p_brand").agg(F.count("*").alias("n"))
-    r = part.withColumn("i", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")) - 1).join(n, "p_brand")
-    at = lambda k: F.max(F.when(F.col("i") == F.floor(k * F.col("n") / 3), F.col("p_retailprice")))
+    r = places(part, "p_brand", "p_retailprice", "p_partkey")
+    at = lambda k: F.max(F.when(F.col("place") == F.floor(k * F.col("size") / 3), F.col("p_retailprice")))
     v = F.col("p_retailprice")
     return part.join(r.groupBy("p_brand").agg(at(1).alias("lo"), at(2).alias("hi")), "p_brand").groupBy("p_brand").agg(F.count_if(v <= F.col("lo")).alias("easy"), F.count_if((v > F.col("lo")) & (v <= F.col("hi"))).alias("medium"), F.count_if(v > F.col("hi")).alias("hard"))
 
@@ -336,7 +334,7 @@ def tertile_difficulty(spark, sf_dir):
 @query("""WITH r AS (SELECT c_mktsegment AS grp, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY c_mktsegment) // 7) AS size FROM customer)
 SELECT grp, (i // size)::BIGINT AS bin, count(*) AS n, round(100 * count(*) FILTER (c_acctbal > 0) / count(*), 6) AS rate FROM r GROUP BY ALL HAVING count(*) >= 3""")
 def equal_count_bins(spark, sf_dir):
-    rows = sampling.equal_count_bins(table(spark, sf_dir, "customer").withColumn("grp", F.col("c_mktsegment")), "grp", ["c_acctbal", "c_custkey"], 7)
+    rows = sampling.equal_count_bins(table(spark, sf_dir, "customer").withColumn("grp", F.col("c_mktsegment")), "grp", "c_acctbal", "c_custkey", 7)
     return rows.groupBy("grp", "bin").agg(F.count("*").alias("n"), F.round(100 * F.count_if(F.col("c_acctbal") > 0) / F.count("*"), 6).alias("rate"))
 
 
@@ -389,29 +387,33 @@ def novelty_verdict(spark, sf_dir):
     return docs.join(best, F.col("query") == F.col("doc_id"), "left").select("doc_id", F.when(s >= 0.9, "near_duplicate").when(s >= 0.12, "structural_overlap").otherwise("novel").alias("verdict"))
 
 
-@query("""WITH k AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS card, unnest([{'kind': 'text', 'key': sha256(text)}, {'kind': 'head', 'key': lower(substr(text, 1, 80))}], recursive := true) FROM documents)
-SELECT DISTINCT a.doc_id AS query, a.kind, b.doc_id AS card FROM k a JOIN k b ON a.kind = b.kind AND a.key = b.key AND NOT a.card AND b.card WHERE a.key <> ''""")
+@query("""WITH k AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS card, unnest([{'kind': 'text', 'key': sha256(text)}, {'kind': 'surface', 'key': sha256(lower(regexp_replace(text, '[0-9]+', '#', 'g')))}], recursive := true) FROM documents WHERE text <> ''),
+c AS (SELECT kind, key, min(doc_id) AS card, count(DISTINCT doc_id) AS n_cards FROM k WHERE card GROUP BY ALL) SELECT k.doc_id AS query, kind, c.card, n_cards FROM k JOIN c USING (kind, key) WHERE NOT k.card""")
 def exact_blockers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text"), F.lower(F.substring("text", 1, 80)).alias("head"))
+    """Keys are of whole texts: as they stand, and in lower case with numbers blanked."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.sha2("text", 256).alias("text"), F.sha2(F.lower(F.regexp_replace("text", "[0-9]+", "#")), 256).alias("surface"))
     labels = table(spark, sf_dir, "labels")
-    return retrieval.exact_blockers(docs.join(labels, "doc_id", "left_anti"), docs.join(labels, "doc_id", "left_semi"), ["text", "head"], "doc_id", "doc_id")
+    return retrieval.exact_blockers(docs.join(labels, "doc_id", "left_anti"), docs.join(labels, "doc_id", "left_semi"), ["text", "surface"], "doc_id", "doc_id")
 
 
-@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT q.vec_id AS query, e.vec_id AS card, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) AS sim
-FROM q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id) SELECT query, card, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query ORDER BY sim DESC, card) AS rank FROM p QUALIFY rank <= 5""")
+_NEAR = """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT q.vec_id AS query, e.vec_id AS card, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) AS sim
+FROM q JOIN embeddings e ON q.vec_id <> e.vec_id)"""
+
+
+def _near(spark, sf_dir, k):
+    """The k nearest of all vectors for every 50th."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
+    return retrieval.vector_topk(e.where("id % 50 = 0"), e, k)
+
+
+@query(_NEAR + "SELECT query, card, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query ORDER BY sim DESC, card) AS rank FROM p QUALIFY rank <= 5")
 def cosine_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"), "label")
-    p = q.join(e.select(F.col("vec_id").alias("card"), "embedding", "label"), "label").where("query <> card").select("query", "card", F.round(stats.cosine(F.col("qv"), F.col("embedding")), 9).alias("sim"))
-    return retrieval.top_k(p, "query", 5, F.desc("sim"), F.asc("card")).select("query", "card", F.round("sim", 6).alias("sim"), "rank")
+    return _near(spark, sf_dir, 5).select("query", "card", F.round("sim", 6).alias("sim"), "rank")
 
 
 @query()
 def mmr_select(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"), "label")
-    p = q.join(e.select(F.col("vec_id").alias("card"), F.col("embedding").alias("vec"), "label"), "label").where("query <> card").select("query", "card", "vec", stats.cosine(F.col("qv"), F.col("vec")).alias("relevance"))
-    return retrieval.mmr(retrieval.top_k(p, "query", 24, F.desc("relevance"), F.asc("card")), 5, 0.7)
+    return retrieval.mmr(_near(spark, sf_dir, 24).withColumnRenamed("sim", "relevance"), 5, 0.7)
 
 
 @query("SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer QUALIFY rank <= 5")
@@ -455,11 +457,19 @@ def token_set_hash(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.sha2(F.array_join(tx.tokens(F.col("text")), " "), 256).alias("digest"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name)::INT AS d FROM n a JOIN n b ON a.p_name < b.p_name AND left(a.p_name, 3) = left(b.p_name, 3) WHERE levenshtein(a.p_name, b.p_name) <= 2 AND levenshtein(a.p_name, b.p_name) <= 0.15 * greatest(length(a.p_name), length(b.p_name))""")
+_NAMES = "SELECT p_name AS x FROM part UNION SELECT substr(p_name, 1, p_partkey % 9) || substr(p_name, p_partkey % 9 + 2 + p_partkey % 2) FROM part WHERE p_partkey % 4 = 0"
+
+
+@query(f"WITH n AS ({_NAMES}) SELECT a.x AS a, b.x AS b, levenshtein(a.x, b.x)::INT AS d FROM n a JOIN n b ON a.x < b.x WHERE levenshtein(a.x, b.x) <= 2 AND levenshtein(a.x, b.x) <= 0.15 * greatest(length(a.x), length(b.x))")
 def levenshtein_class(spark, sf_dir):
-    n = table(spark, sf_dir, "part").select("p_name", F.substring("p_name", 1, 3).alias("head")).distinct()
-    pairs = n.select(F.col("p_name").alias("a"), "head").join(n.select(F.col("p_name").alias("b"), "head"), "head").where("a < b")
-    return pairs.where(tx.near_name(F.col("a"), F.col("b"))).select("a", "b", F.levenshtein("a", "b").alias("d"))
+    """Names, and some with one or two letters left out anywhere, that are at most two edits apart."""
+    part, k = table(spark, sf_dir, "part"), (F.col("p_partkey") % 9).cast("int")
+    slips = part.where("p_partkey % 4 = 0").select(F.concat(F.substring("p_name", F.lit(1), k), F.expr("substring(p_name, cast(p_partkey % 9 + 2 + p_partkey % 2 as int))")).alias("x"))
+    names = part.select(F.col("p_name").alias("x")).unionByName(slips).distinct()
+    parts = names.select(F.col("x").alias("a"), F.explode(tx.part_keys(F.col("x"))).alias("key"))
+    probes = names.select(F.col("x").alias("b"), F.explode(tx.probe_keys(F.col("x"))).alias("key"))
+    met = parts.join(probes, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.where(tx.near_name(F.col("a"), F.col("b"))).select("a", "b", F.levenshtein("a", "b").alias("d"))
 
 
 _FLAGS = """SELECT doc_id, list_filter([CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN regexp_matches(text, '[#%&$]{3}') THEN 'symbols' END, CASE WHEN contains(text, '!!') THEN 'shouting' END, CASE WHEN contains(text, 'icensed') THEN 'license' END, CASE WHEN contains(text, ' | ') THEN 'listing' END], lambda x: x IS NOT NULL) AS f FROM documents"""
@@ -522,10 +532,5 @@ def manifest_diff(spark, sf_dir):
 @query()
 def bootstrap_pass(spark, sf_dir):
     """Percentile bounds of Pass@3 by binomial draws on counts; only counts reach Python."""
-    import pandas as pd
-
-    def bounds(g: pd.DataFrame) -> pd.DataFrame:
-        low, high = stats.percentile_bounds(stats.bootstrap_means(int(g.n_passed.iloc[0]), int(g.n_rows.iloc[0]), 200, 42))
-        return pd.DataFrame({"benchmark": g.benchmark, "low": [100 * low], "high": [100 * high]})
-
-    return scoring.pass_at_k(episodes(spark, sf_dir), 3).groupBy("benchmark").applyInPandas(bounds, "benchmark string, low double, high double")
+    rows = scoring.pass_at_k(episodes(spark, sf_dir), 3)
+    return rows.withColumn("b", stats.bootstrap_share("n_passed", "n_rows", 1_000, 42)).select("benchmark", "b.*")

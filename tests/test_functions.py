@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -68,8 +69,48 @@ def test_mcnemar(spark):
     assert [round(r.p, 4) for r in rows] == [1.0, 0.2188, 1.0]
 
 
-def test_constant_bootstrap():
-    assert stats.percentile_bounds(stats.bootstrap_means(10, 10, 100, 1)) == (1.0, 1.0)
+def test_bootstrap_bounds(spark):
+    """Of all rows passed, of none, of half: 1,000 draws lie about the normal bounds; no row gives no bounds."""
+    rows = spark.createDataFrame([(10, 10), (0, 10), (500, 1000), (0, 0)], "k long, n long").select(stats.bootstrap_share("k", "n", 1_000, 42).alias("b")).select("b.*").collect()
+    assert [tuple(r) for r in rows[:2]] == [(100.0, 100.0), (0.0, 0.0)] and tuple(rows[3]) == (None, None)
+    assert abs(rows[2].low - (50 - 1.96 * 1.5811)) < 0.4 and abs(rows[2].high - (50 + 1.96 * 1.5811)) < 0.4
+    (drop,) = spark.createDataFrame([(700, 1000, 600, 1000)], "a long, b long, c long, d long").select(stats.bootstrap_drop("a", "b", "c", "d").alias("b")).select("b.*").collect()
+    spread = 196 * (0.7 * 0.3 / 1000 + 0.6 * 0.4 / 1000) ** 0.5
+    assert drop.drop_pp == pytest.approx(10) and abs(drop.low - (10 - spread)) < 0.15 and abs(drop.high - (10 + spread)) < 0.15
+    assert stats.bounds(np.arange(1000)[::-1]) == (25, 974)
+
+
+def test_places_against_sorting(spark):
+    from quarry.operators.ranking import places
+
+    rows = [(g, None if i % 17 == 0 else (i * 7919) % 50, i) for g in "ab" for i in range(300)] + [("c", None, 1)]
+    got = {(r.g, r.t): (r.place, r.size) for r in places(spark.createDataFrame(rows, "g string, v int, t int"), "g", "v", "t", 8).collect()}
+    for g in "abc":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        own = [r for r in own if r[1] is not None] + [r for r in own if r[1] is None]
+        assert {r[2]: (i, len(own)) for i, r in enumerate(own)} == {t: v for (x, t), v in got.items() if x == g}
+
+
+def test_all_names_two_edits_apart_meet(spark):
+    rng = np.random.default_rng(3)
+    names = sorted({"".join(rng.choice(list("ab"), rng.integers(0, 9))) for _ in range(120)})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    df = spark.createDataFrame([(x,) for x in names], "x string")
+    met = df.select(F.col("x").alias("a"), F.explode(tx.part_keys(F.col("x"))).alias("key")).join(df.select(F.col("x").alias("b"), F.explode(tx.probe_keys(F.col("x"))).alias("key")), "key")
+    found = {(r.a, r.b) for r in met.select("a", "b").distinct().collect()}
+    assert {(a, b) for a in names for b in names if edits(a, b) <= 2} <= found
 
 
 def test_cosine_and_jaccard(spark):
