@@ -1,3 +1,3 @@
 """Registered queries over the test tables."""
 
-from quarry.plans import evaluation, formal, queries, statements  # noqa: F401
+from quarry.plans import evaluation, formal, queries, release, statements  # noqa: F401
