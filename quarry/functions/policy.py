@@ -8,84 +8,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Each flag with its category, in the order of the registry.
-RULES = tuple(
-    tuple(line.split())
-    for line in """
-projection_only_theorem surface_wrapper
-same_formal_statement_as_parent surface_wrapper
-syntactic_wrapper_only surface_wrapper
-parameter_shift_only_theorem direct_corollary_helper
-auxiliary_conjunct_only_theorem direct_corollary_helper
-trivial_negation_chain surface_wrapper
-trivial_add_zero_padding surface_wrapper
-typeclass_narrowing_only surface_wrapper
-divisibility_weaken_only_theorem direct_corollary_helper
-side_by_side_conjunction parent_crossover
-unused_checkpoint parent_crossover
-parent_checkpoint_not_consumed parent_crossover
-same_lineage_crossover parent_crossover
-mutation_like_crossover parent_crossover
-weak_inspiration_only_crossover parent_crossover
-indirect_parent_contribution parent_crossover
-concrete_native_decide_projection fixed_computation
-tautological_checkpoint_theorem direct_corollary_helper
-piecewise_branch_only_theorem fixed_computation
-fin_one_vacuity_theorem fixed_computation
-fin_one_concrete_arithmetic_theorem fixed_computation
-unit_product_closure_only direct_corollary_helper
-computational_crossover_only fixed_computation
-proof_infrastructure_only direct_corollary_helper
-direct_parent_corollary_only direct_corollary_helper
-linear_equation_shift_corollary_only direct_corollary_helper
-affine_index_drift_only domain_specific
-cardinality_only_window fixed_computation
-aggregate_helper_only direct_corollary_helper
-lineage_complexity_without_new_role direct_corollary_helper
-order_equality_selector_only direct_corollary_helper
-same_target_role_already_accepted direct_corollary_helper
-witness_packaging_only direct_corollary_helper
-coefficient_engineering_only direct_corollary_helper
-theorem_local_corollary_dominated direct_corollary_helper
-definitional_extensionality_only direct_corollary_helper
-pid_definition_restatement direct_corollary_helper
-standard_library_theorem_restatement direct_corollary_helper
-cyclic_transport_same_target_role domain_specific
-topology_direct_consequence_only direct_corollary_helper
-finite_residue_bookkeeping_only domain_specific
-ap_index_only_theorem domain_specific
-ap_shifted_local_corollary_only domain_specific
-ap_bound_padding_only domain_specific
-ap_interval_bound_padding_only domain_specific
-mod_inverse_same_conclusion_paraphrase domain_specific
-solved_parameter_quotient_corollary_only direct_corollary_helper
-mod_inverse_arithmetic_corollary_only direct_corollary_helper
-residue_finset_cardinality_restatement domain_specific
-finite_mod_inverse_window_restatement domain_specific
-fixed_finite_aggregate_computation fixed_computation
-cardinality_arithmetic_pipeline_only fixed_computation
-native_decide_fixed_domain_computation fixed_computation
-artificial_bridge_to_existing_pipeline domain_specific
-numeric_bound_fitting_crossover domain_specific
-parent_theorem_assumption_smuggling parent_crossover
-near_duplicate novelty_memory
-exact_duplicate_memory novelty_memory
-""".strip().splitlines()
+RULES = (
+    ("projection_only_theorem", "surface_wrapper"),
+    ("same_formal_statement_as_parent", "surface_wrapper"),
+    ("syntactic_wrapper_only", "surface_wrapper"),
+    ("parameter_shift_only_theorem", "direct_corollary_helper"),
+    ("auxiliary_conjunct_only_theorem", "direct_corollary_helper"),
+    ("trivial_negation_chain", "surface_wrapper"),
+    ("trivial_add_zero_padding", "surface_wrapper"),
+    ("typeclass_narrowing_only", "surface_wrapper"),
+    ("divisibility_weaken_only_theorem", "direct_corollary_helper"),
+    ("side_by_side_conjunction", "parent_crossover"),
+    ("unused_checkpoint", "parent_crossover"),
+    ("parent_checkpoint_not_consumed", "parent_crossover"),
+    ("same_lineage_crossover", "parent_crossover"),
+    ("mutation_like_crossover", "parent_crossover"),
+    ("weak_inspiration_only_crossover", "parent_crossover"),
+    ("indirect_parent_contribution", "parent_crossover"),
+    ("concrete_native_decide_projection", "fixed_computation"),
+    ("tautological_checkpoint_theorem", "direct_corollary_helper"),
+    ("piecewise_branch_only_theorem", "fixed_computation"),
+    ("fin_one_vacuity_theorem", "fixed_computation"),
+    ("fin_one_concrete_arithmetic_theorem", "fixed_computation"),
+    ("unit_product_closure_only", "direct_corollary_helper"),
+    ("computational_crossover_only", "fixed_computation"),
+    ("proof_infrastructure_only", "direct_corollary_helper"),
+    ("direct_parent_corollary_only", "direct_corollary_helper"),
+    ("linear_equation_shift_corollary_only", "direct_corollary_helper"),
+    ("affine_index_drift_only", "domain_specific"),
+    ("cardinality_only_window", "fixed_computation"),
+    ("aggregate_helper_only", "direct_corollary_helper"),
+    ("lineage_complexity_without_new_role", "direct_corollary_helper"),
+    ("order_equality_selector_only", "direct_corollary_helper"),
+    ("same_target_role_already_accepted", "direct_corollary_helper"),
+    ("witness_packaging_only", "direct_corollary_helper"),
+    ("coefficient_engineering_only", "direct_corollary_helper"),
+    ("theorem_local_corollary_dominated", "direct_corollary_helper"),
+    ("definitional_extensionality_only", "direct_corollary_helper"),
+    ("pid_definition_restatement", "direct_corollary_helper"),
+    ("standard_library_theorem_restatement", "direct_corollary_helper"),
+    ("cyclic_transport_same_target_role", "domain_specific"),
+    ("topology_direct_consequence_only", "direct_corollary_helper"),
+    ("finite_residue_bookkeeping_only", "domain_specific"),
+    ("ap_index_only_theorem", "domain_specific"),
+    ("ap_shifted_local_corollary_only", "domain_specific"),
+    ("ap_bound_padding_only", "domain_specific"),
+    ("ap_interval_bound_padding_only", "domain_specific"),
+    ("mod_inverse_same_conclusion_paraphrase", "domain_specific"),
+    ("solved_parameter_quotient_corollary_only", "direct_corollary_helper"),
+    ("mod_inverse_arithmetic_corollary_only", "direct_corollary_helper"),
+    ("residue_finset_cardinality_restatement", "domain_specific"),
+    ("finite_mod_inverse_window_restatement", "domain_specific"),
+    ("fixed_finite_aggregate_computation", "fixed_computation"),
+    ("cardinality_arithmetic_pipeline_only", "fixed_computation"),
+    ("native_decide_fixed_domain_computation", "fixed_computation"),
+    ("artificial_bridge_to_existing_pipeline", "domain_specific"),
+    ("numeric_bound_fitting_crossover", "domain_specific"),
+    ("parent_theorem_assumption_smuggling", "parent_crossover"),
+    ("near_duplicate", "novelty_memory"),
+    ("exact_duplicate_memory", "novelty_memory"),
 )
 FLAGS = tuple(flag for flag, _ in RULES)
 
 #: Rules that misrepresent; all others change the meaning only on the surface.
-MISREPRESENT = tuple("""same_formal_statement_as_parent side_by_side_conjunction unused_checkpoint parent_checkpoint_not_consumed
-same_lineage_crossover mutation_like_crossover weak_inspiration_only_crossover indirect_parent_contribution
-parent_theorem_assumption_smuggling""".split())
+MISREPRESENT = (
+    "same_formal_statement_as_parent", "side_by_side_conjunction", "unused_checkpoint", "parent_checkpoint_not_consumed", "same_lineage_crossover",
+    "mutation_like_crossover", "weak_inspiration_only_crossover", "indirect_parent_contribution", "parent_theorem_assumption_smuggling",
+)
 
 #: Signals of each kind of misformalisation, besides the rules, with the level and category they give, first kind first.
 KINDS = (
-    ("source", "reporting", tuple("axiom_backed_seed_or_child parent_proof_surface_missing proof_surface_unavailable invalid_parent_proof_surface missing_parent_proof_body".split())),
-    ("translation", "syntactic", tuple("llm_json_parse_error invalid_formal_shape lean_syntax_error proof_contains_sorry theorem_generation_failed statement_typecheck_failed".split())),
+    ("source", "reporting", ("axiom_backed_seed_or_child", "parent_proof_surface_missing", "proof_surface_unavailable", "invalid_parent_proof_surface", "missing_parent_proof_body")),
+    ("translation", "syntactic", ("llm_json_parse_error", "invalid_formal_shape", "lean_syntax_error", "proof_contains_sorry", "theorem_generation_failed", "statement_typecheck_failed")),
     ("translation", "misrepresentation", (*MISREPRESENT, "statement_lean_alignment_failed", "alignment_failed", "missing_parent_contribution")),
     ("translation", "semantic", (*(f for f in FLAGS if f not in MISREPRESENT), "solution_modulus_mismatch", "solution_answer_mismatch", "solution_formula_mismatch", "informal_statement_internal_terms")),
-    ("underspecified", "implicit_conventions", tuple("theorem_too_broad missing_formal_statement missing_proof_plan missing_quality_checkpoints unsupported_quality_claim unsupported numeric_template_unsupported".split())),
-    ("source", "mathematical", tuple("proof_failed lean_type_check_failed lean_check_failed wrong_answer projection_params_mismatch projection_check_failed".split())),
+    ("underspecified", "implicit_conventions", ("theorem_too_broad", "missing_formal_statement", "missing_proof_plan", "missing_quality_checkpoints", "unsupported_quality_claim", "unsupported", "numeric_template_unsupported")),
+    ("source", "mathematical", ("proof_failed", "lean_type_check_failed", "lean_check_failed", "wrong_answer", "projection_params_mismatch", "projection_check_failed")),
 )
 
 #: Kinds of row that no generator made, and crossover flags that do not count as weak.
@@ -93,23 +91,29 @@ NOT_GENERATED = ("survivor", "fallback_survivor", "seed_proof_completion")
 NOT_WEAK = ("sequential_composition", "same_role_crossover", "pipeline_composite", "lemma_bundle_master")
 
 #: Flags with which a row is no harder than its parent.
-DECREASE = tuple("""same_formal_statement_as_parent same_statement_rephrase syntactic_wrapper_only projection_only_theorem
-trivial_negation_chain trivial_add_zero_padding typeclass_narrowing_only side_by_side_conjunction mutation_like_crossover
-weak_inspiration_only_crossover parent_checkpoint_not_consumed unused_checkpoint fin_one_vacuity_theorem
-fin_one_concrete_arithmetic_theorem tautological_checkpoint_theorem statement_lean_alignment_failed alignment_failed""".split())
+DECREASE = (
+    "same_formal_statement_as_parent", "same_statement_rephrase", "syntactic_wrapper_only", "projection_only_theorem", "trivial_negation_chain",
+    "trivial_add_zero_padding", "typeclass_narrowing_only", "side_by_side_conjunction", "mutation_like_crossover", "weak_inspiration_only_crossover",
+    "parent_checkpoint_not_consumed", "unused_checkpoint", "fin_one_vacuity_theorem", "fin_one_concrete_arithmetic_theorem",
+    "tautological_checkpoint_theorem", "statement_lean_alignment_failed", "alignment_failed",
+)
 
 #: Flags that reject a row, and flags that leave it as scaffold.
-REJECT = tuple("""same_formal_statement_as_parent same_statement_rephrase formal_surface_not_changed syntactic_wrapper_only
-projection_only_theorem trivial_negation_chain trivial_add_zero_padding typeclass_narrowing_only side_by_side_conjunction
-mutation_like_crossover weak_inspiration_only_crossover parent_checkpoint_not_consumed unused_checkpoint same_lineage_crossover
-informal_statement_internal_terms statement_lean_alignment_failed alignment_failed exact_duplicate_memory near_duplicate""".split())
-SCAFFOLD = tuple("""direct_parent_corollary_only ap_index_only_theorem ap_shifted_local_corollary_only ap_bound_padding_only
-ap_interval_bound_padding_only linear_equation_shift_corollary_only affine_index_drift_only cardinality_only_window
-aggregate_helper_only proof_infrastructure_only fixed_finite_aggregate_computation native_decide_fixed_domain_computation
-cardinality_arithmetic_pipeline_only mod_inverse_same_conclusion_paraphrase mod_inverse_arithmetic_corollary_only
-finite_mod_inverse_window_restatement finite_residue_bookkeeping_only residue_finset_cardinality_restatement
-solved_parameter_quotient_corollary_only theorem_local_corollary_dominated cyclic_transport_same_target_role
-topology_direct_consequence_only same_target_role_already_accepted witness_packaging_only coefficient_engineering_only""".split())
+REJECT = (
+    "same_formal_statement_as_parent", "same_statement_rephrase", "formal_surface_not_changed", "syntactic_wrapper_only", "projection_only_theorem",
+    "trivial_negation_chain", "trivial_add_zero_padding", "typeclass_narrowing_only", "side_by_side_conjunction", "mutation_like_crossover",
+    "weak_inspiration_only_crossover", "parent_checkpoint_not_consumed", "unused_checkpoint", "same_lineage_crossover",
+    "informal_statement_internal_terms", "statement_lean_alignment_failed", "alignment_failed", "exact_duplicate_memory", "near_duplicate",
+)
+SCAFFOLD = (
+    "direct_parent_corollary_only", "ap_index_only_theorem", "ap_shifted_local_corollary_only", "ap_bound_padding_only",
+    "ap_interval_bound_padding_only", "linear_equation_shift_corollary_only", "affine_index_drift_only", "cardinality_only_window",
+    "aggregate_helper_only", "proof_infrastructure_only", "fixed_finite_aggregate_computation", "native_decide_fixed_domain_computation",
+    "cardinality_arithmetic_pipeline_only", "mod_inverse_same_conclusion_paraphrase", "mod_inverse_arithmetic_corollary_only",
+    "finite_mod_inverse_window_restatement", "finite_residue_bookkeeping_only", "residue_finset_cardinality_restatement",
+    "solved_parameter_quotient_corollary_only", "theorem_local_corollary_dominated", "cyclic_transport_same_target_role",
+    "topology_direct_consequence_only", "same_target_role_already_accepted", "witness_packaging_only", "coefficient_engineering_only",
+)
 
 
 def rules(spark: SparkSession) -> DataFrame:
@@ -188,3 +192,15 @@ def decide(df: DataFrame) -> DataFrame:
     df = df.withColumn("proxy", accepted_proxy(c("flags"), c("status"), c("kind"), c("theorem"), c("surface_changed"), c("has_surface"), c("parents_seen")))
     df = df.withColumn("direction", entropy_direction(c("flags"), c("status"), c("surface_changed"), c("proxy")))
     return df.withColumn("curation", curation(c("flags"), c("status"), c("kind"), c("proxy"), c("direction")))
+
+
+def slot_verdict(flags: Column, status: Column, judge: Column, coupled: Column) -> Column:
+    """pass, weak or fail: a row that is not certified fails; a measured coupling (null is not measured) that is not there is weak whatever the judge says; then the judge counts, and without one the flags."""
+    weak = F.size(F.array_except(_flags(flags), _set(NOT_WEAK))) > 0
+    return F.when(F.coalesce(status, F.lit("")) != "certified", "fail").when(~F.coalesce(coupled, F.lit(True)), "weak").otherwise(F.coalesce(judge, F.when(weak, "weak").otherwise("pass")))
+
+
+def slot_score(coverage: Column, flags: Column) -> Column:
+    """Coverage less 0.15 for each weak flag, 0 at least, to two places."""
+    weak = F.size(F.array_except(_flags(flags), _set(NOT_WEAK)))
+    return F.greatest(F.lit(0.0), F.round(coverage - 0.15 * weak, 2))

@@ -67,6 +67,16 @@ def curation_decision(spark, sf_dir):
     return d.groupBy("direction", F.concat_ws(":", "curation.class", "curation.reason").alias("decision")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_CANDIDATES}, w AS (SELECT *, len(list_filter(flags, lambda x: NOT list_contains({_list(policy.NOT_WEAK)}, x))) AS n, CASE WHEN o_orderkey % 6 = 0 THEN 'pass' WHEN o_orderkey % 6 = 1 THEN 'fail' END AS judge, CASE WHEN kind = 'crossover' THEN o_orderkey % 4 <> 0 END AS coupled FROM c)
+SELECT CASE WHEN status <> 'certified' THEN 'fail' WHEN NOT coalesce(coupled, true) THEN 'weak' ELSE coalesce(judge, CASE WHEN n > 0 THEN 'weak' ELSE 'pass' END) END AS verdict, greatest(0, round((o_orderkey % 5) / 4 - 0.15 * n, 2))::DOUBLE AS score, count(*) AS n FROM w GROUP BY ALL""")
+def slot_verdicts(spark, sf_dir):
+    """Verdicts of flags, judges and measured couplings, and scores of coverage."""
+    k = F.col("o_orderkey")
+    judge, coupled = F.when(k % 6 == 0, "pass").when(k % 6 == 1, "fail"), F.when(F.col("kind") == "crossover", k % 4 != 0)
+    rows = _candidates(spark, sf_dir).select(policy.slot_verdict(F.col("flags"), F.col("status"), judge, coupled).alias("verdict"), policy.slot_score(k % 5 / 4, F.col("flags")).alias("score"))
+    return rows.groupBy("verdict", "score").agg(F.count("*").alias("n"))
+
+
 #: Parts as exercises of a family.
 _EXERCISES = f"""x AS (SELECT p_partkey, ({_list(families.FAMILIES)})[(p_partkey % 8 + 1)::INT] AS family, p_partkey * 12 AS a, p_size::BIGINT * 6 AS b, p_size::BIGINT + 1 AS m, p_partkey AS n, p_partkey AS base, p_size::BIGINT AS e, p_size::BIGINT % 4 + 1 AS v, p_partkey % 9 AS t, p_size::BIGINT % 7 AS step FROM part),
 y AS (SELECT *, CASE WHEN family LIKE 'gcd%' THEN gcd(a, b) ELSE n END AS k FROM x), z AS (SELECT *, list_filter(range(1, k + 1), lambda d: k % d = 0) AS ds FROM y),

@@ -183,13 +183,55 @@ def test_sources(spark, tmp_path):
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    (src / "a.json").write_text("\n".join(json.dumps({"cell": "c", "text": t, "bad": b}) for t, b in (("x", True), ("x", True), ("", True), ("", False), ("y", True))))
-    stream = spark.readStream.schema("cell string, text string, bad boolean").json(str(src))
-    q = online.online_dedup(stream).writeStream.format("memory").queryName("seen").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r.text for r in spark.table("seen").collect()) == ["", "", "x", "y"]
-    q = online.failure_streaks(stream, "cell", "bad").writeStream.format("memory").queryName("runs").outputMode("update").start()
-    q.processAllAvailable()
-    q.stop()
-    assert tuple(spark.table("runs").first()) == ("c", 1, True)
+    rows = (("x", True, 1), ("x", True, 2), ("", True, 3), ("", False, 4), ("y", True, 5))
+    (src / "a.json").write_text("\n".join(json.dumps({"cell": "c", "text": t, "bad": b, "at": i}) for t, b, i in reversed(rows)))
+    stream = online.episode_stream(spark, str(src), T.StructType.fromDDL("cell string, text string, bad boolean, at int"))
+
+    def result(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
+        q.processAllAvailable()
+        q.stop()
+        return spark.table(name).collect()
+
+    assert sorted(r.text for r in result(online.online_dedup(stream), "seen", "append")) == ["", "", "x", "y"]
+    assert [tuple(r) for r in result(online.failure_streaks(stream, "cell", "bad", "at"), "runs", "update")] == [("c", 1, True)]
+    assert [tuple(r) for r in result(online.latest_outcomes(stream, "cell", "at", "text"), "last", "complete")] == [("c", "y", 5)]
+    for _ in range(2):  # a second run has nothing to add, even without the checkpoint of the first
+        q = online.resume_into(stream, str(tmp_path / "out"), str(tmp_path / f"check{_}"), "at").start()
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(r["at"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_layouts_and_sinks(spark, tmp_path):
+    schema = T.StructType.fromDDL("id string, n long")
+    assert files.read_cards(spark, str(tmp_path / "none.jsonl"), schema).count() == 0
+    (tmp_path / "cards.jsonl").write_text('{"id": "a", "n": 1}\n[1, 2]\n\n{"id": \nnull\n{"id": "b", "n": 2}\n')
+    assert [tuple(r) for r in files.read_cards(spark, str(tmp_path / "cards.jsonl"), schema).collect()] == [("a", 1), ("b", 2)]
+    for name in ("raw/a.jsonl", "raw/a.jsonl.bak", "more/burned/x.jsonl", "more/deep/y.jsonl", "more/z.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text('{"id": "' + name + '", "n": 1}\n')
+    assert [r.id for r in files.cell_episodes(spark, str(tmp_path / "raw"), str(tmp_path / "more"), schema).collect()] == ["raw/a.jsonl"]
+    assert files.cell_episodes(spark, str(tmp_path / "no"), str(tmp_path / "nor"), schema).count() == 0
+    assert [r.id for r in files.discover(spark, str(tmp_path / "more"), schema, ("z.jsonl",)).collect()] == ["more/deep/y.jsonl"]
+    assert [x.rsplit("/", 1)[1] for x in files.data_files(spark, str(tmp_path / "more"), ["*.parquet", "deep/*", "*"])] == ["y.jsonl"]
+    with pytest.raises(FileNotFoundError):
+        files.data_files(spark, str(tmp_path / "more"), ["*.parquet"])
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], schema)
+    files.write_split(df, str(tmp_path / "split"), "id", F.col("n") > 1)
+    assert [[r.id for r in spark.read.schema(schema).json(str(tmp_path / "split" / x)).orderBy("id").collect()] for x in ("accepted", "rejected")] == [["b"], ["a", "c"]]
+    files.write_groups(df, spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "c"), ("h", "z")], "group string, id string"), str(tmp_path / "groups"), "id")
+    assert sorted(r.id for r in spark.read.option("header", True).csv(str(tmp_path / "groups")).collect()) == ["a", "b"] and not (tmp_path / "groups" / "group=h").exists()
+    flat = files.flattened(spark.createDataFrame([(["x", "y", "z"], {"k": 1}, ("p", [1]))], "l array<string>, m map<string,int>, s struct<a:string,b:array<int>>"), 2).first()
+    assert flat.asDict() == {"l": "x;y", "m": '{"k":1}', "s_a": "p", "s_b": "1"}
+
+
+def test_frozen_cells(spark):
+    before = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z"), ("c", 4, "z")], "cell string, k int, v string")
+    after = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 3, "Z"), ("d", 4, "z")], "cell string, k int, v string")
+    found = files.differing(files.frozen(before, "cell"), files.frozen(after, "cell"), "cell").collect()
+    assert {r.cell: r.state for r in found} == {"b": "changed", "c": "missing", "d": "new"}
+    assert files.unchanged(before.where("k < 3"), after, "k", ["cell", "v"]) is after
+    for lost in (before, before.where("k = 3")):
+        with pytest.raises(ValueError, match="frozen"):
+            files.unchanged(lost, after, "k", ["v"]) and files.unchanged(lost, after.where("k < 4"), "k", ["v"])
