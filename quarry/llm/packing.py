@@ -11,7 +11,8 @@ tasks, which are few, gives where they begin. By default targets are the queues'
 all end together. With other targets, queues that run dry drop out and the rest go on in proportion.
 
 Sources whose share of a window would be under LEAST tokens form one queue; so at most WINDOW / LEAST queues
-are known to the driver. Documents are cut freely.
+are known to the driver. In that queue documents go by the part of their source's tokens that lies before their middle, so that
+each of these sources, however many there are, is spread evenly, to within a document. Documents are cut freely.
 
 Rows: null text is empty and has the end id alone; null source is a source. Repeated rows are packed each.
 Extra columns are ignored. An empty table has no piece.
@@ -104,7 +105,7 @@ def _tokeniser(path: str) -> WordBpe:
 
 
 def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """part, queue, doc_id, n, at, ids: each row's ids with the end id, and its place among its task's tokens of that queue."""
+    """part, queue, small, doc_id, n, at, ids: each row's ids with the end id, and its place among its task's tokens of that queue and small source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, given = _tokeniser(tokenizer), TaskContext.get().partitionId(), {}
@@ -117,16 +118,29 @@ def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
             codes = np.insert(codes, w.first[1:], len(size) - 1)
             ids = flat[spread(start[codes], size[codes])].astype("<u4" if bpe.size > 65_536 else "<u2")
             ends = np.r_[0, np.cumsum(size[codes])][w.first + np.arange(len(w.first))]
-            queues, n, at = rows.column("queue").to_pylist(), np.diff(ends), []
+            queues, n, at = zip(rows.column("queue").to_pylist(), rows.column("small").to_pylist(), strict=True), np.diff(ends), []
             for q, k in zip(queues, n.tolist(), strict=True):
                 at.append(given.get(q, 0))
                 given[q] = at[-1] + k
             yield pa.record_batch({
-                "part": pa.array(np.full(len(n), part, np.int64)), "queue": rows.column("queue"), "doc_id": rows.column("doc_id"), "n": pa.array(n), "at": pa.array(at, pa.int64()),
+                "part": pa.array(np.full(len(n), part, np.int64)), "queue": rows.column("queue"), "small": rows.column("small"), "doc_id": rows.column("doc_id"), "n": pa.array(n), "at": pa.array(at, pa.int64()),
                 "ids": pa.array([ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()),
             })
 
-    return docs.mapInArrow(run, "part long, queue int, doc_id long, n long, at long, ids binary")
+    return docs.mapInArrow(run, "part long, queue int, small string, doc_id long, n long, at long, ids binary")
+
+
+def _spread(rows: DataFrame, lot: int = 100_000) -> DataFrame:
+    """part, small, at, start of documents (part, small, at, n, begin) of small sources: their places in the queue of all of them.
+
+    Documents are sorted by how much of their source lies before their middle, in ranges of about `lot`, and the tokens of the ranges before are added.
+    """
+    totals = rows.groupBy("small").agg(F.sum("n").alias("total"))
+    ranges = rows.count() // lot + 1
+    along = rows.join(totals, "small").withColumn("share", (F.col("begin") + F.col("at") + F.col("n") / 2) / F.col("total")).withColumn("range", F.floor(F.col("share") * ranges))
+    before = along.groupBy("range").agg(F.sum("n").alias("m")).withColumn("first", F.sum("m").over(Window.partitionBy().orderBy("range")) - F.col("m"))  # a row to a range
+    within = F.sum("n").over(Window.partitionBy("range").orderBy("share", "small", "part", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    return along.withColumn("within", within).join(before, "range").select("part", "small", "at", (F.col("first") + F.col("within")).alias("start"))
 
 
 class Mixture:
@@ -185,13 +199,15 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     # LEAST tokens of a window or more each, so these are at most WINDOW / LEAST
     known = sorted(r.source for r in sizes.where(F.col("bytes") * WINDOW >= LEAST * total).collect())
     known = sorted({*known, *(targets or {})})
+    some_small = not sizes.where(~F.col("source").isin(*known)).isEmpty()
     queue = F.lit(len(known))
     for i, name in enumerate(known):
         queue = F.when(F.col("source") == name, i).otherwise(queue)
-    tokens = scratch.table(tokenise(docs.select("doc_id", "text", queue.cast("int").alias("queue")), tokenizer), "tokens")
-    counts = scratch.table(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "counts")
-    order = Window.partitionBy("queue").orderBy("part")
-    begins = counts.select("part", "queue", (F.sum("n").over(order) - F.col("n")).alias("begin"))
+    small = F.when(queue == len(known), F.col("source")).otherwise("")
+    tokens = scratch.table(tokenise(docs.select("doc_id", "text", queue.cast("int").alias("queue"), small.alias("small")), tokenizer), "tokens")
+    counts = scratch.table(tokens.groupBy("part", "queue", "small").agg(F.sum("n").alias("n")), "counts")
+    order = Window.partitionBy("queue", "small").orderBy("part")
+    begins = counts.select("part", "queue", "small", (F.sum("n").over(order) - F.col("n")).alias("begin"))
     found = {r.queue: r.n for r in counts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     lengths = [found.get(q, 0) for q in range(len(known) + 1)]
     weights = None if targets is None else [int(1e6 * targets.get(name, 0)) for name in known] + [max(0, int(1e6 * (1 - sum(targets.values()))))]
@@ -225,5 +241,10 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cols[2])].astype(np.int32)), pa.array(np.concatenate(pieces).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*found, lists], names=[*names, "ids"])
 
-    placed = tokens.join(begins, ["part", "queue"]).select("doc_id", "queue", "n", "at", "begin", "ids")
+    placed = tokens.join(begins, ["part", "queue", "small"])
+    if some_small:
+        own = placed.where(F.col("queue") == len(known))
+        starts = scratch.table(_spread(own.select("part", "small", "at", "n", "begin")), "starts")
+        placed = placed.where(F.col("queue") < len(known)).unionByName(own.join(starts, ["part", "small", "at"]).withColumns({"at": F.lit(0).cast("long"), "begin": F.col("start")}).drop("start"))
+    placed = placed.select("doc_id", "queue", "n", "at", "begin", "ids")
     return placed.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", ids array<int>" * with_ids)

@@ -699,6 +699,43 @@ def test_packing(spark, docs, targets):
                 assert abs(first[name] - 2048 * n / total) < 40
 
 
+def test_many_small_sources_are_spread(spark):
+    """A source of half the tokens and 300 of little: everything is packed once, and half of the sequences have half of each source, to within two documents."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORD_BPE())
+    rows = [(s * 40 + d, "the small word goes here again " * (1 + d % 3), f"small{s}") for s in range(300) for d in range(40)]
+    rows += [(100_000 + i, "a large source of many words and more of them " * 20, "large") for i in range(1_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t, _ in rows}
+    out = packing.pack(frame, WORD_BPE()).collect()
+    check_packing(out, want)
+    half, whole, most = Counter(), Counter(), max(len(want[i]) for i in range(12_000))
+    last = max(r.sequence_id for r in out)
+    for r in out:
+        if r.doc_id < 100_000:
+            whole[r.doc_id // 40] += r.length
+            half[r.doc_id // 40] += r.length * (r.sequence_id < last / 2)
+    assert all(abs(half[x] - whole[x] / 2) <= 2 * most for x in whole)
+
+
+@pytest.mark.parametrize("targets", [None, [3, 1, 2], [1, 0, 5]])
+def test_windows_have_their_shares(targets):
+    """Each window has every queue's share to within two tokens while all queues last, and carries what it owes."""
+    sizes = [30_000, 50_000, 41_234]
+    mixture = packing.Mixture(sizes, targets)
+    weights = targets or sizes
+    given = [0, 0, 0]
+    for w in range(-(-sum(sizes) // packing.WINDOW)):
+        own = [mixture.given(q, w + 1) - mixture.given(q, w) for q in range(3)]
+        assert min(own) >= 0 and sum(own) == min(packing.WINDOW, sum(sizes) - w * packing.WINDOW)
+        given = [g + x for g, x in zip(given, own, strict=True)]
+        if all(g + packing.WINDOW < s for g, s, t in zip(given, sizes, weights, strict=True) if t):
+            owed = [(w + 1) * packing.WINDOW * t / sum(weights) for t in weights]
+            assert all(abs(g - o) <= 1 for g, o in zip(given, owed, strict=True))
+    assert given == sizes
+
+
 def test_packing_edges(edges, empty):
     rows = packing.pack(edges, WORD_BPE()).collect()
     assert sum(r.length for r in rows if r.doc_id in (1, 2, 3)) == 3 and len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 2048)
