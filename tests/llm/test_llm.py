@@ -87,6 +87,47 @@ def test_tree_loses_no_point():
         assert want <= hit
 
 
+def test_large_cells_go_through_the_tree(spark):
+    """A cell of more than SMALL members, all of different components: every pair that is similar enough comes through the tree, none that the bound rules out."""
+    rng = np.random.default_rng(8)
+    base = [np.unique(rng.integers(1, 1 << 62, 60).astype(np.uint64)) for _ in range(25)]
+    sets = [*base, *(np.unique(np.r_[s[:57], rng.integers(1, 1 << 62, 2).astype(np.uint64)]) for s in base)]
+    assert len(sets) > ngram_join.SMALL
+    nodes = spark.createDataFrame([(i, len(s), ngram_join.count_vector(s)) for i, s in enumerate(sets)], "node long, n long, vec binary")
+    members = spark.createDataFrame([(7, i, i, len(sets)) for i in range(len(sets))], "cell long, node long, component long, size long")
+    got = {(r.a, r.b) for r in ngram_join._cell_pairs(members, nodes, 80).collect()}
+    vec = np.array([np.bincount((s & np.uint64(ngram_join.GROUPS - 1)).astype(int), minlength=ngram_join.GROUPS) for s in sets])
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            bound, a, b = np.minimum(vec[i], vec[j]).sum(), len(sets[i]), len(sets[j])
+            assert ((i, j) in got) == (100 * bound >= 80 * (a + b - bound))
+    assert len(got) >= 25
+
+
+def test_very_long_texts(spark):
+    """Texts of several MB, of many words and of few, go through every operator whole."""
+    rng = np.random.default_rng(6)
+    many = " ".join(f"w{i}" for i in rng.integers(0, 300_000, 200_000))
+    few = "the cat sat on the mat " * 40_000
+    docs = spark.createDataFrame([(1, many, "en", "a"), (2, many + " token = abcdefghijkl0123", "en", "a"), (3, few, "en", "b"), (4, "a short one", "en", "b")], "doc_id long, text string, lang string, source string").repartition(2)
+    labels = spark.createDataFrame([(4, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    joined = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert joined == {1: 1, 2: 1, 3: 3, 4: 4}
+    path = _vocabulary("piece_bpe_32k.model")
+    assert pieces.decode(pieces.encode(docs, path, 0.1), path).where("not decoded <=> text").count() == 0
+    assert language.identify(docs, language.learn(docs)).where("lang_pred = 'en'").count() == 4
+    assert sharding.shard_directory(docs, 1 << 19).where("oversized").count() == 3
+    found = {r.doc_id: len(r.spans) for r in secrets.scan(docs)[0].collect()}
+    assert found == {1: 0, 2: 1, 3: 0, 4: 0}
+    spans = {r.doc_id: [(s.start, s.end) for s in r.repeated] for r in passages.repeated_passages(docs).collect()}
+    assert spans == {1: [(0, 200_000)], 2: [(0, 200_000)], 3: [(0, 240_000)]}
+    assert perplexity.classify(docs, labels).where("n_tokens > 150000").count() == 3
+    assert quality_rules(docs, FERTILITY()).where("n_words > 150000").count() == 3
+    assert media.document_media(docs).where("payload_bytes > 900000").count() == 3
+    packed = packing.pack(docs, WORD_BPE(), with_ids=False).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).where("n = m")
+    assert packed.count() == 4
+
+
 def test_join_edges(edges, empty):
     rows = ngram_join.ngram_jaccard_join(edges, 4, 85).collect()
     assert len(rows) == 10
