@@ -303,7 +303,7 @@ def keep_one(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     that share both, the first by the other columns stays. Documents without a word are near copies of none.
     """
     scratch, names = Scratch(docs.sparkSession), docs.columns
-    rows = docs.withColumn("__digest", F.md5(F.coalesce("text", F.lit("null"))))
+    rows = docs.withColumn("__digest", F.coalesce(F.md5("text"), F.lit("none")))
     ids = scratch.table(rows.groupBy("doc_id", "__digest").agg(F.count("*").alias("n")), "ids")
     clash = scratch.table(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("__clash")), "clash")  # Spark broadcasts it if its file is small
     # ids that do not tell documents apart are replaced by numbers below 0
