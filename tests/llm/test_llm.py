@@ -406,10 +406,10 @@ def test_packed_keys():
     assert (perplexity.unpack(perplexity.pack(keys)) == keys).all() and not len(perplexity.unpack(perplexity.pack(keys[:0])))
 
 
-def plain_kneser_ney(trusted, texts):
+def plain_kneser_ney(trusted, texts, all_trusted):
     """Perplexities by interpolated modified Kneser-Ney with plain counters."""
     core = lambda w: w.rstrip(".,;:") or w
-    vocabulary = [w for w, n in sorted(Counter(core(w) for t in trusted for w in WORD.findall(t)).items(), key=lambda x: (-x[1], x[0])) if n > 1][: perplexity.VOCABULARY]
+    vocabulary = [w for w, n in sorted(Counter(core(w) for t in all_trusted for w in WORD.findall(t)).items(), key=lambda x: (-x[1], x[0])) if n > 1][: perplexity.VOCABULARY]
     token = lambda w: core(w) if core(w) in set(vocabulary) else perplexity.shape(core(w))
     tokens = lambda t: ["<", "<", *map(token, WORD.findall(t))]
     three = Counter(g for t in trusted for x in [tokens(t)] for g in zip(x, x[1:], x[2:]))
@@ -459,23 +459,41 @@ def test_perplexities_against_plain_kneser_ney(spark, shard, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(65)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.perplexity if r.n_tokens else None for r in perplexity.perplexities(docs, labels, Scratch(spark)).collect()}
-    want = plain_kneser_ney([t for i, t in enumerate(texts[:65]) if i % 3 and i % 7], texts)
+    out = {r.doc_id for r in docs.where(perplexity.held_out()).collect()}
+    assert 0 < len(out) < 30
+    trusted = [i for i in range(65) if i % 3 and i % 7]
+    want = plain_kneser_ney([texts[i] for i in trusted if i not in out], texts, [texts[i] for i in trusted])
     assert [got[i] for i in range(len(texts))] == [w if w is None else pytest.approx(w, rel=1e-5) for w in want]
 
 
 def test_bands_of_languages(spark):
-    """Each language has its own quantiles, drawn towards those of all by PRIOR documents; one without trusted documents has those of all."""
+    """Each language has its own quantiles, the wider ones of counted and held-out documents, drawn towards those of all by PRIOR documents."""
     from quarry.llm.scratch import Scratch
 
-    rows = [("en", float(i)) for i in range(1, 301)] + [("de", 1000.0)] * 3
-    bands, everywhere = perplexity._bands(spark.createDataFrame(rows, "lang string, perplexity double"), 0.5, 0.9, Scratch(spark))
+    rows = [("en", float(i), i % 8 == 0) for i in range(1, 301)] + [("en", 500.0, True), ("de", 1000.0, False), ("de", 1001.0, False), ("de", 900.0, True)]
+    bands, everywhere = perplexity._bands(spark.createDataFrame(rows, "lang string, perplexity double, held boolean"), 0.5, 0.9, Scratch(spark))
     cut = lambda values, q: sorted(values)[int(np.ceil(q * len(values))) - 1]
-    whole = [cut([v for _, v in rows], q) for q in (0.5, 0.9)]
-    assert everywhere == whole
+
+    def wide(own):
+        groups = [[v for _, v, h in own if h == held] for held in (False, True)]
+        return min(cut(g, 0.5) for g in groups), max(cut(g, 0.9) for g in groups)
+
+    whole = wide(rows)
+    assert everywhere == list(whole)
     found = {r.lang: list(r.cuts) for r in bands.collect()}
     for lang in ("en", "de"):
-        own = [v for x, v in rows if x == lang]
-        assert found[lang] == pytest.approx([(len(own) * cut(own, q) + perplexity.PRIOR * w) / (len(own) + perplexity.PRIOR) for q, w in zip((0.5, 0.9), whole, strict=True)])
+        own = [r for r in rows if r[0] == lang]
+        assert found[lang] == pytest.approx([(len(own) * c + perplexity.PRIOR * w) / (len(own) + perplexity.PRIOR) for c, w in zip(wide(own), whole, strict=True)])
+
+
+def test_new_text_is_kept_like_counted_text(spark):
+    """Unlabelled documents of the same kind as trusted ones stay, though little text was counted."""
+    rng = np.random.default_rng(12)
+    words_ = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words_, 60)), "en") for i in range(1_200)], "doc_id long, text string, lang string")
+    labels = spark.range(600).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    kept = {r.new: r.k for r in perplexity.classify(docs, labels).groupBy((F.col("doc_id") >= 600).alias("new")).agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert kept[False] > 0.97 and kept[True] > 0.95
 
 
 def test_verdicts_are_by_text(spark):
