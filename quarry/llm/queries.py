@@ -114,6 +114,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), WORD_BPE(), with_ids=False)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.collocations import collocations
+
+    return collocations(_documents(spark, sf_dir)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -138,6 +144,22 @@ SELECT doc_id, CASE WHEN depth = 0 THEN 'root' ELSE right(bin(prefix + (1::BIGIN
   depth::INT AS depth, shard_bytes::BIGINT AS shard_bytes, shard_bytes > {1 << 20} AS oversized FROM f
 """
 
+OP11_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_ASCII_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+o AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) t(k)),
+g AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+u AS (SELECT lang, phrase, a, i, array_to_string(w[1:i], ' ') AS one, array_to_string(w[i + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+s AS (SELECT u.*, x.f AS l, y.f AS r, (2000000::HUGEINT * u.a) // (x.f + y.f) AS score FROM u JOIN g x ON x.lang = u.lang AND x.phrase = u.one JOIN g y ON y.lang = u.lang AND y.phrase = u.rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+h AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS around FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE coalesce(100 * around < 80 * a, true)),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 def _secret_sql() -> str:
     from quarry.llm.secrets import RULES
@@ -162,6 +184,6 @@ def _secret_sql() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_merge_dropout, op3_language, op4_sharding, op5_secret_ledger, op6_repeated_passages, op7_perplexity, op8_fertility, op9_media, op10_packing)
+    for f in (op1_ngram_jaccard, op2_merge_dropout, op3_language, op4_sharding, op5_secret_ledger, op6_repeated_passages, op7_perplexity, op8_fertility, op9_media, op10_packing, op11_collocations)
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op4_sharding": OP4_SQL, "op5_secret_ledger": _secret_sql()}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op4_sharding": OP4_SQL, "op5_secret_ledger": _secret_sql(), "op11_collocations": OP11_SQL}

@@ -102,9 +102,29 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words(texts: pa.Array, lower: bool = False) -> Words:
     """Words of the texts; lower maps A-Z to a-z first."""
     data, offsets = raw(texts)
-    if lower:
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    return split(lowered(data) if lower else data, offsets, SOLID)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z mapped to a-z."""
+    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
+def but(*ranges: tuple[int, int]) -> np.ndarray:
+    """For each byte, if it is in none of the ranges (both ends included)."""
+    table = np.ones(256, bool)
+    for a, b in ranges:
+        table[a : b + 1] = False
+    return table
+
+
+#: Bytes of words.
+SOLID = but((0x20, 0x20), (0x09, 0x0D))
+
+
+def split(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
+    """Runs of the bytes that table marks, none of which goes beyond its text."""
+    solid = table[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
@@ -114,6 +134,15 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, offsets, start, end, np.searchsorted(start, offsets))
 
 
+def strings(w: Words, at: np.ndarray) -> pa.Array:
+    """The words at these indexes as strings."""
+    length = w.end[at] - w.start[at]
+    ends = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(length, out=ends[1:])
+    flat = np.ascontiguousarray(w.data[spread(w.start[at], length)])
+    return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(flat)).cast(pa.string())
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that each has about `most` bytes of text (binary, or lists of 4 bytes a value), or one row."""
     for batch in batches:
