@@ -120,6 +120,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_documents(spark, sf_dir)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.neighbours import build_index, search
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search(build_index(vectors), vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.lexical import rank
+
+    return rank(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("item_id", "rank", "doc_id", "score")
+
+
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -160,6 +173,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM r JOIN n USING (lang) WHERE rank <= 2000
 """
 
+_TERMS = r"regexp_extract_all(" + _ASCII_LOWER + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+f AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL), s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, docs),
+m AS (SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM d, s), q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r QUALIFY rank <= 10
+"""
+
 
 def _secret_sql() -> str:
     from quarry.llm.secrets import RULES
@@ -184,6 +208,6 @@ def _secret_sql() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_merge_dropout, op3_language, op4_sharding, op5_secret_ledger, op6_repeated_passages, op7_perplexity, op8_fertility, op9_media, op10_packing, op11_collocations)
+    for f in (op1_ngram_jaccard, op2_merge_dropout, op3_language, op4_sharding, op5_secret_ledger, op6_repeated_passages, op7_perplexity, op8_fertility, op9_media, op10_packing, op11_collocations, op12_neighbours, op13_lexical)
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op4_sharding": OP4_SQL, "op5_secret_ledger": _secret_sql(), "op11_collocations": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op4_sharding": OP4_SQL, "op5_secret_ledger": _secret_sql(), "op11_collocations": OP11_SQL, "op13_lexical": OP13_SQL}
