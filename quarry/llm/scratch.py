@@ -45,14 +45,21 @@ def workspace(spark: SparkSession) -> Iterator[None]:
         _space.reset(space)
 
 
+def fresh_space(spark: SparkSession) -> None:
+    """Later operators put their tables into a new folder, and the one that such a call began before goes: what was read from it must have been written."""
+    if _space.get():
+        _delete(spark, shared_dir(spark) + _space.get())
+    _space.set(f"/quarry-{uuid.uuid4().hex}")
+
+
 class Scratch:
-    """Writes tables as Parquet, so that lineage is cut by files that outlive any executor, and drops them on demand."""
+    """Writes tables as Parquet, so that lineage is cut by files that outlive any executor, and drops them on demand. apart: outside of any space or workspace."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+    def __init__(self, spark: SparkSession, apart: bool = False):
+        self.spark, self.paths, self.apart = spark, {}, apart
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}{_space.get()}/quarry-{name}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}{'' if self.apart else _space.get()}/quarry-{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -37,15 +37,17 @@ class Rule:
 
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-_KEY = "(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
-# through the END line (its head lines may have hyphens), or, where that is missing, the base64 that follows; a word after a line feed may go with that
-PEM = rf"-----BEGIN {_KEY}(?:(?:[^-]*-[A-Za-z0-9]){{0,16}}[^-]*-----END {_KEY}|(?:[\x20\t\r\n\\]+[A-Za-z0-9+/=\r\n\\]{{16,}})*)"
+# No group repeats without a bound, as Java's matcher recurses once for each repeat; runs of one class it takes in a loop.
+_KEY = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_LINE = r"[\x20\t\r\n\\]+[A-Za-z0-9+/=]{16,}"
+# through the END line (its head lines may have hyphens), or, where that is missing, the lines of base64 that follow and a word on the next line; after 62 lines all that can be base64 or between goes with them
+PEM = rf"-----BEGIN {_KEY}(?:(?:[^-]*-[A-Za-z0-9]){{0,16}}[^-]*-----END {_KEY}|(?:{_LINE}){{62}}[\x20\t\r\n\\A-Za-z0-9+/=]*|(?:(?:{_LINE}){{1,61}}(?:[\r\n\\]+[A-Za-z0-9+/=]*)?)?)"
 RULES = (
     Rule("assign", 1, ASSIGN, 12, 2, find=r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
     Rule("access", 1, "AKIA[A-Z0-9]{14,}", 18, find="AKIA"),
     Rule("hex", 1, "[0-9a-f]{16,}", 16, find="[0-9a-f]{16}"),
     # the method's own additions: key blocks, signed tokens and prefixed tokens of public services
-    Rule("pem", 2, PEM, 20, base=False, find="PRIVATE KEY"),
+    Rule("pem", 3, PEM, 20, base=False, find="PRIVATE KEY"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 20, base=False, find="eyJ"),
     Rule("prefixed", 1, "(?:gh[pousr]_|sk_live_|xox[abprs]-)[A-Za-z0-9_-]+", 20, base=False, find="gh[pousr]_|sk_live_|xox[abprs]-"),
 )
@@ -142,12 +144,14 @@ def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
     none = lambda kind: F.array().cast(kind)
 
     def step(done: Column, s: Column) -> Column:
-        piece = F.when(s["start"] >= done["at"], F.concat(F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"]), F.lit(mask))).otherwise("")
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], F.array(piece)).alias("out"))
+        piece = F.when(s["start"] >= done["at"], F.concat(F.substring(done["part"], done["at"] - done["base"] + 1, s["start"] - done["at"]), F.lit(mask))).otherwise("")
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["base"].alias("base"), done["part"].alias("part"), F.concat(done["out"], F.array(piece)).alias("out"))
 
     def block(done: Column, own: Column) -> Column:
-        part = F.aggregate(own, F.struct(done["at"].alias("at"), none("array<string>").alias("out")), step)
-        return F.struct(part["at"].alias("at"), F.concat(done["out"], F.array(F.array_join(part["out"], ""))).alias("out"))
+        # a block's own part of the text is cut out once, as finding a place in the whole text takes time in proportion to its length
+        end = F.aggregate(own, done["at"], lambda n, s: F.greatest(n, s["end"]))
+        begin = F.struct(done["at"].alias("at"), done["at"].alias("base"), F.substring(F.col("text"), done["at"] + 1, end - done["at"]).alias("part"), none("array<string>").alias("out"))
+        return F.aggregate(own, begin, step, lambda x: F.struct(x["at"].alias("at"), F.concat(done["out"], F.array(F.array_join(x["out"], ""))).alias("out")))
 
     done = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none("array<string>").alias("out")), block)
     joined = docs.withColumn("__blob", F.sha2("text", 256)).join(found, "__blob", "left").withColumn("__done", F.when(F.col("__spans").isNotNull(), done))
