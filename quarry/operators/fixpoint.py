@@ -3,27 +3,72 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
+from math import ceil, log2
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that spark.checkpoint.dir names; one machine takes a temporary folder where it is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+def _folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one machine takes a temporary folder where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="quarry-rounds-"))
-    return df.checkpoint()
+        found = "file://" + tempfile.mkdtemp(prefix="quarry-rounds-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, which cuts its lineage."""
+    path = f"{_folder(df.sparkSession)}/quarry-round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def until_empty(first: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """first and all that step makes of each round's new rows, until it makes none."""
-    out = now = stored(first)
+def until_empty(first: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """first and all that step makes of each round's new rows, until it makes none. A row whose keys are known is not new, so that cycles end; the round that found it first counts."""
+    out = now = stored(first.dropDuplicates(keys))
     while True:
-        now = stored(step(now))
+        now = stored(step(now).dropDuplicates(keys).join(out, keys, "left_anti"))
         if now.isEmpty():
             return out
         out = out.unionByName(now)
+
+
+def along(rows: DataFrame, key: str, parent: str, own: Column, own_of_root: Column, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """key, value, cycle: for each row, join folded over its own value and those of all rows above it, as far as a row whose parent is no row.
+
+    Pointers double: after r rounds each row's value spans 2 ** r rows and points at the next one, so that chains of n rows take log2(n) rounds. join(own,
+    upper) must be associative. Rows that still point anywhere when all chains must have ended lie on a cycle or below one: cycle is true and
+    value null. key is unique.
+    """
+    ids = rows.select(F.col(key).alias("__up"), F.lit(True).alias("__there"))
+    pointed = rows.join(ids, F.col(parent) == F.col("__up"), "left")
+    here = F.col("__there").isNotNull()
+    now = stored(pointed.select(F.col(key), F.when(here, F.col(parent)).alias("to"), F.when(here, own).otherwise(own_of_root).alias("value")))
+    settled, open_, n = now.where("to is null"), now.where("to is not null"), now.count()
+    for _ in range(ceil(log2(n + 1)) + 1):
+        if open_.isEmpty():
+            break
+        upper = settled.unionByName(open_).select(F.col(key).alias("to"), F.col("to").alias("next"), F.col("value").alias("upper"))
+        now = stored(open_.join(upper, "to").select(key, F.col("next").alias("to"), join(F.col("value"), F.col("upper")).alias("value")))
+        settled, open_ = settled.unionByName(now.where("to is null")), now.where("to is not null")
+    lost = open_.select(key, F.lit(None).cast(now.schema["value"].dataType).alias("value"), F.lit(True).alias("cycle"))
+    return settled.select(key, "value", F.lit(False).alias("cycle")).unionByName(lost)
+
+
+def nearest(rows: DataFrame, key: str, parent: str, **marks: Column) -> DataFrame:
+    """key, cycle and, for each mark (a condition), its name with the nearest row at or above that has it, and steps_<name>, how far up that is; null where there is none."""
+    cell = lambda m: F.struct(F.when(m, F.col(key)).alias("at"), F.when(m, 0).otherwise(1).alias("steps"))
+
+    def join(own: Column, upper: Column) -> Column:
+        further = lambda n: F.when(own[n]["at"].isNotNull(), own[n]).otherwise(F.struct(upper[n]["at"].alias("at"), (own[n]["steps"] + upper[n]["steps"]).alias("steps")))
+        return F.struct(*[further(n).alias(n) for n in marks])
+
+    own = F.struct(*[cell(F.coalesce(m, F.lit(False))).alias(n) for n, m in marks.items()])
+    found = along(rows, key, parent, own, own, join)
+    shown = [c for n in marks for c in (F.col(f"value.{n}.at").alias(n), F.when(F.col(f"value.{n}.at").isNotNull(), F.col(f"value.{n}.steps")).alias(f"steps_{n}"))]
+    return found.select(key, "cycle", *shown)

@@ -6,9 +6,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def resolved(log: DataFrame, outcomes: DataFrame, key: str, order: str) -> DataFrame:
-    """log with outcome: the n-th outcome of a key, in order, goes to its n-th entry; entries without one stay open (null), outcomes without an entry are left out."""
-    nth = lambda df: df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    return nth(log).join(nth(outcomes).select(key, "__n", "outcome"), [key, "__n"], "left").drop("__n")
+    """log with outcome: each outcome goes to the earliest entry of its key that came before it and is still open. Other entries stay open (null), other outcomes are left out, as are empty ones.
+
+    Entries and outcomes lie on one time line, an entry before an outcome of its time. Their balance along it (one up for an entry, one down for an outcome) has a
+    new low just where an outcome finds no open entry; the n-th of the other outcomes goes to the n-th entry.
+    """
+    line = log.select(key, order, F.lit(1).alias("__up"), F.lit(None).cast(outcomes.schema["outcome"].dataType).alias("outcome"))
+    line = line.unionByName(outcomes.where(F.col("outcome").isNotNull() & (F.col("outcome").cast("string") != "")).select(key, order, F.lit(-1).alias("__up"), "outcome"))
+    along = Window.partitionBy(key).orderBy(order, F.desc("__up"), "outcome")
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    balance = line.withColumn("__at", F.sum("__up").over(so_far)).withColumn("__low", F.coalesce(F.min("__at").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    taken = balance.where((F.col("__up") < 0) & (F.col("__at") >= F.least("__low", F.lit(0)))).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order, "outcome")))
+    entries = log.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    return entries.join(taken.select(key, "__n", "outcome"), [key, "__n"], "left").drop("__n")
 
 
 def recent(log: DataFrame, operator: str, order: str, window: int) -> DataFrame:

@@ -46,16 +46,11 @@ def gate() -> Column:
 
 
 def one_to_a_text(rows: DataFrame, text: str, *order: Column) -> DataFrame:
-    """The best row of each text by the given order; rows without a text stay."""
-    best = F.row_number().over(Window.partitionBy(text).orderBy(*order))
+    """The best row of each text by the given order; rows without a text stay. Texts are told apart by digest."""
+    best = F.row_number().over(Window.partitionBy(F.sha2(text, 256)).orderBy(*order))
     return rows.where(F.col(text).isNull() | (F.col(text) == "")).unionByName(rows.where(F.col(text) != "").withColumn("__r", best).where("__r = 1").drop("__r"))
 
 
-def remap(ids: Column, mapping: Column) -> Column:
-    """Ids of an array by a map column; those that it lacks stay."""
-    return F.transform(ids, lambda x: F.coalesce(F.element_at(mapping, x), x))
-
-
 def resolve_parents(sources: list[DataFrame], key: str) -> DataFrame:
     """key, parent, origin: the parent that the first of the sources (key, parent) has for each key; origin is its place in the list."""
     tagged = [s.select(key, "parent", F.lit(i).alias("origin")) for i, s in enumerate(sources)]
@@ -70,15 +65,29 @@ def benchmark_of_roots(rows: DataFrame, key: str, roots: str, benchmarks: DataFr
     return found.select(key, F.when(F.col("missing"), "unknown").when(F.size("b") == 1, F.col("b")[0]).otherwise("mixed").alias("benchmark"))
 
 
-def migrate_ids(rows: DataFrame, key: str, parent: str, new_id) -> DataFrame:
-    """key, new: ids given in the order of dependency, parents before children. new_id makes a child's Column from `new` of its parent and the key.
+def migrate_ids(rows: DataFrame, key: str, parent: str, suffix: Column, restarts: Column) -> DataFrame:
+    """key, new: a row whose parent is no row keeps its id; others append suffix to the new id of their parent or, where restarts holds, to the id at the root of their chain.
 
-    A row whose parent is no row begins a chain of its own. Rounds go on until none gives a new id; rows of a cycle have none.
+    Ids come by doubling (see along), in rounds of the logarithm of the longest chain. Rows on or below a cycle have null.
     """
-    from quarry.operators.fixpoint import until_empty
+    from quarry.operators.fixpoint import along
+
+    part = lambda head, cut, tail: F.struct(head.cast("string").alias("head"), cut.alias("cut"), tail.alias("tail"))
+    join = lambda own, upper: part(upper["head"], own["cut"] | upper["cut"], F.when(own["cut"], own["tail"]).otherwise(F.concat(upper["tail"], own["tail"])))
+    found = along(rows, key, parent, part(F.lit(None), F.coalesce(restarts, F.lit(False)), suffix), part(F.col(key), F.lit(False), F.lit("")), join)
+    return found.select(key, F.concat("value.head", "value.tail").alias("new"))
+
+
+def rewritten(rows: DataFrame, key: str, ids: str, mapping: DataFrame) -> DataFrame:
+    """key, ids: lists of ids with those replaced that mapping (old, new; a row to an old id) has, in their order; null and empty lists stay."""
+    each = rows.select(key, F.posexplode(ids).alias("__at", "old")).join(mapping.select("old", "new"), "old", "left")
+    lists = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", F.coalesce("new", "old").alias("id")))), lambda x: x["id"]).alias("__new"))
+    return rows.join(lists, key, "left").select(key, F.coalesce("__new", ids).alias(ids))
+
 
-    up = rows.select(F.col(key), F.col(parent).alias("__parent"))
-    known = up.join(rows.select(F.col(key).alias("__parent")), "__parent", "left_semi").select(key, "__parent")
-    first = up.select(key).join(known.select(key), key, "left_anti").withColumn("new", F.col(key).cast("string"))
-    step = lambda now: known.join(now.select(F.col(key).alias("__parent"), "new"), "__parent").select(key, new_id(F.col("new"), F.col(key)).alias("new"))
-    return until_empty(first, step)
+def rewritten_keys(rows: DataFrame, key: str, entries: str, mapping: DataFrame) -> DataFrame:
+    """key, entries: maps with their keys replaced by mapping (old, new); of entries that then share a key the one of the least old key stays; null and empty maps stay."""
+    each = rows.select(key, F.explode(entries).alias("old", "__value")).join(mapping.select("old", "new"), "old", "left")
+    one = each.groupBy(key, F.coalesce("new", "old").alias("__key")).agg(F.min_by("__value", "old").alias("__value"))
+    maps = one.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("__key", "__value")))).alias("__new"))
+    return rows.join(maps, key, "left").select(key, F.coalesce("__new", entries).alias(entries))

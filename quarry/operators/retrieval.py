@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarry.operators.fixpoint import stored
+
 
 def exact_blockers(queries: DataFrame, cards: DataFrame, keys: list[str], query_id: str, card_id: str) -> DataFrame:
     """query, kind, card, n_cards: for each query and kind of key that some card has equal and not empty, the first such card and their number; cards with one key are not told one by one."""
@@ -68,12 +70,56 @@ def _near_block(cards: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int)
     return cards.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "query long, card long, sim double, vec array<double>")
 
 
-def token_overlap(queries: DataFrame, cards: DataFrame) -> DataFrame:
-    """query, card, shared, score (Jaccard) of all pairs that share a token, by an inverted index. Both: id, tokens (distinct)."""
+def _rare_first(queries: DataFrame, cards: DataFrame) -> DataFrame:
+    """card, nc, tokens (from the one that the fewest queries have on), found (how many queries have the first 1, 2, ... tokens, counted with repeats)."""
+    spread = queries.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    each = cards.select(F.col("id").alias("card"), F.explode("tokens").alias("token")).join(spread, "token", "left")
+    ranked = each.groupBy("card").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("t"))
+    sums = F.transform("t", lambda _, i: F.aggregate(F.slice("t", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    return ranked.select("card", F.size("t").alias("nc"), F.transform("t", lambda x: x["token"]).alias("tokens"), sums.alias("found"))
+
+
+def _verified(queries: DataFrame, cards: DataFrame, first: DataFrame, least: Column) -> DataFrame:
+    """query, card, shared, score of pairs with a score of `least` (a column of first) or more that share one of their card's first tokens. first: card, nc, tokens, n_first, least.
+
+    What is joined are the first tokens only; how many of them a pair shares and how many tokens are left bound its score, and pairs that the bound leaves are compared whole.
+    """
+    c = first.select("card", "nc", "n_first", least.alias("least"), F.explode(F.slice("tokens", F.lit(1), F.col("n_first"))).alias("token"))
     q = queries.select(F.col("id").alias("query"), F.size("tokens").alias("nq"), F.explode("tokens").alias("token"))
-    c = cards.select(F.col("id").alias("card"), F.size("tokens").alias("nc"), F.explode("tokens").alias("token"))
-    pairs = q.join(c, "token").groupBy("query", "card", "nq", "nc").agg(F.count("*").alias("shared"))
-    return pairs.select("query", "card", "shared", (F.col("shared") / (F.col("nq") + F.col("nc") - F.col("shared"))).alias("score"))
+    met = q.join(c, "token").where((F.col("nq") >= F.col("least") * F.col("nc") - 1e-9) & (F.col("nc") >= F.col("least") * F.col("nq") - 1e-9))
+    most = F.col("met") + F.least(F.col("nc") - F.col("n_first"), F.col("nq") - F.col("met"))
+    hopeful = met.groupBy("query", "card", "nq", "nc", "n_first", "least").agg(F.count("*").alias("met")).where(most / (F.col("nq") + F.col("nc") - most) >= F.col("least") - 1e-9)
+    whole = hopeful.join(queries.select(F.col("id").alias("query"), F.col("tokens").alias("__q")), "query").join(cards.select(F.col("id").alias("card"), F.col("tokens").alias("__c")), "card")
+    shared = whole.withColumn("shared", F.size(F.array_intersect("__q", "__c")).cast("long"))
+    return shared.select("query", "card", "shared", (F.col("shared") / (F.col("nq") + F.col("nc") - F.col("shared"))).alias("score"), "least").where("score >= least").drop("least")
+
+
+def _enough(least: Column) -> Column:
+    """How many first tokens of nc a pair of this score cannot all lack: it shares least * nc tokens."""
+    return F.least(F.col("nc"), F.col("nc") - F.ceil(least * F.col("nc") - 1e-9) + 1).cast("int")
+
+
+def token_pairs(queries: DataFrame, cards: DataFrame, least: float) -> DataFrame:
+    """query, card, shared, score of all pairs with a Jaccard similarity of `least` (above 0) or more. Both: id, tokens (distinct). A card's most common tokens are not looked up, as none can do without a rarer one."""
+    first = _rare_first(queries, cards).withColumn("n_first", _enough(F.lit(least)))
+    return _verified(queries, cards, first, F.lit(least))
+
+
+#: Queries that a card's rarest tokens find for its first bound.
+SOUNDED = 200
+
+
+def token_topk(queries: DataFrame, cards: DataFrame, k: int) -> DataFrame:
+    """query, card, shared, score, rank: each card's k most similar queries that share a token with it, ties by query.
+
+    The queries that a card's rarest tokens find give a bound: the k-th best of them. All that can reach it share a token that is not among
+    the card's most common ones, and those alone are looked up.
+    """
+    ranked = stored(_rare_first(queries, cards))
+    sounded = ranked.withColumn("n_first", F.greatest(F.lit(1), F.size(F.filter("found", lambda n: n <= SOUNDED))))
+    bound = top_k(_verified(queries, cards, sounded, F.lit(0.0)), "card", k, F.desc("score"), F.asc("query")).groupBy("card").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+    first = ranked.join(stored(bound), "card", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("n_first", _enough(F.col("least")))
+    return top_k(_verified(queries, cards, first, F.col("least")).where("shared > 0"), "card", k, F.desc("score"), F.asc("query"))
 
 
 def top_k(df: DataFrame, group: str, k: int, *order: Column) -> DataFrame:

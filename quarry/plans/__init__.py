@@ -1,3 +1,3 @@
 """Registered queries over the test tables."""
 
-from quarry.plans import evaluation, formal, parsing, queries, release, selection, statements  # noqa: F401
+from quarry.plans import evaluation, formal, parsing, queries, release, selection, statements, structure  # noqa: F401

@@ -115,7 +115,7 @@ def lineage_closure(spark, sf_dir):
     edges = edges.unionByName(t("customer").select(tag("c", "c_custkey").alias("child"), tag("n", "c_nationkey").alias("parent"))).unionByName(t("orders").select(tag("o", "o_orderkey").alias("child"), tag("c", "o_custkey").alias("parent")))
     up = edges.select(F.col("child").alias("ancestor"), "parent")
     step = lambda now: now.join(up, "ancestor").select("child", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
-    out = fixpoint.until_empty(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), step)
+    out = fixpoint.until_empty(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), step, ["child", "ancestor"])
     return out.where(F.startswith("ancestor", F.lit("r"))).groupBy("ancestor", "depth").agg(F.count("*").alias("n"))
 
 
@@ -361,10 +361,9 @@ def round_robin_sample(spark, sf_dir):
     return sampling.round_robin(table(spark, sf_dir, "part"), "p_brand", "p_type", 6, "p_partkey", "7").select("p_brand", "p_type", "p_partkey", "place")
 
 
-def _overlaps(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.tokens(F.col("text"), 4).alias("tokens"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), tx.tokens(F.col("text"), 4).alias("tokens"))
-    return retrieval.token_overlap(docs, items)
+def _token_sets(spark, sf_dir):
+    sets = lambda name, key: table(spark, sf_dir, name).select(F.col(key).alias("id"), tx.tokens(F.col("text"), 4).alias("tokens"))
+    return sets("documents", "doc_id"), sets("benchmark", "item_id")
 
 
 _OVERLAPS = """WITH t AS (SELECT 'd' AS k, doc_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '[^0-9a-zA-Z_]+'), lambda x: length(x) >= 4 AND NOT regexp_full_match(x, '[0-9]+'))) AS w FROM documents
@@ -375,13 +374,13 @@ p AS (SELECT q.id AS query, c.id AS card, count(*) AS shared, count(*)::DOUBLE /
 
 @query(_OVERLAPS + "SELECT card, query, shared, round(score, 9) AS score, row_number() OVER (PARTITION BY card ORDER BY score DESC, query) AS rank FROM p QUALIFY rank <= 3")
 def token_jaccard_topk(spark, sf_dir):
-    return retrieval.top_k(_overlaps(spark, sf_dir), "card", 3, F.desc("score"), F.asc("query")).select("card", "query", "shared", F.round("score", 9).alias("score"), "rank")
+    return retrieval.token_topk(*_token_sets(spark, sf_dir), 3).select("card", "query", "shared", F.round("score", 9).alias("score"), "rank")
 
 
 @query(_OVERLAPS + """, m AS (SELECT query, max(score) AS s FROM p GROUP BY 1)
 SELECT doc_id, CASE WHEN coalesce(s, 0) >= 0.9 THEN 'near_duplicate' WHEN coalesce(s, 0) >= 0.12 THEN 'structural_overlap' ELSE 'novel' END AS verdict FROM documents LEFT JOIN m ON query = doc_id""")
 def novelty_verdict(spark, sf_dir):
-    best = _overlaps(spark, sf_dir).groupBy("query").agg(F.max("score").alias("s"))
+    best = retrieval.token_pairs(*_token_sets(spark, sf_dir), 0.12).groupBy("query").agg(F.max("score").alias("s"))
     s = F.coalesce("s", F.lit(0.0))
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return docs.join(best, F.col("query") == F.col("doc_id"), "left").select("doc_id", F.when(s >= 0.9, "near_duplicate").when(s >= 0.12, "structural_overlap").otherwise("novel").alias("verdict"))

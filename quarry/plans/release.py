@@ -55,18 +55,32 @@ def id_migration(spark, sf_dir):
     """Mutations extend their parent's chain, crossovers begin a new one at its root."""
     k = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").select(k.cast("long").alias("id"), F.when(k % 11 == 0, -1).otherwise(F.floor(k / 3)).alias("parent"))
-    name = lambda new, id_: F.when(id_ % 2 == 0, F.concat(new, F.lit("__m"), id_.cast("string"))).otherwise(F.concat(F.substring_index(new, "__", 1), F.lit("__x"), id_.cast("string")))
-    return release.migrate_ids(rows, "id", "parent", name)
+    k, id_ = F.col("id"), F.col("id").cast("string")
+    rows = rows.withColumns({"suffix": F.when(k % 2 == 0, F.concat(F.lit("__m"), id_)).otherwise(F.concat(F.lit("__x"), id_)), "restarts": k % 2 != 0})
+    return release.migrate_ids(rows, "id", "parent", F.col("suffix"), F.col("restarts"))
 
 
 @query("""WITH m AS (SELECT ps AS old, 'n' || ps AS new FROM (SELECT DISTINCT l_suppkey AS ps FROM lineitem WHERE l_suppkey % 2 = 0)), g AS (SELECT l_orderkey, list(coalesce(m.new, l_suppkey::VARCHAR) ORDER BY l_linenumber, l_suppkey) AS ids FROM lineitem LEFT JOIN m ON old = l_suppkey GROUP BY 1)
 SELECT l_orderkey, array_to_string(ids, ',') AS ids FROM g""")
 def remapped_ids(spark, sf_dir):
-    """Lists of ids rewritten by a mapping of bounded size, in their order."""
+    """Lists of ids rewritten by a mapping that is a table, in their order."""
     lines = table(spark, sf_dir, "lineitem")
-    mapping = lines.where("l_suppkey % 2 = 0").select(F.col("l_suppkey").cast("string").alias("old")).distinct().agg(F.map_from_entries(F.collect_list(F.struct("old", F.concat(F.lit("n"), "old").alias("new")))).alias("m"))
+    old = F.col("l_suppkey").cast("string")
+    mapping = lines.where("l_suppkey % 2 = 0").select(old.alias("old"), F.concat(F.lit("n"), old).alias("new")).distinct()
     ids = lines.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"].cast("string")).alias("ids"))
-    return ids.join(F.broadcast(mapping)).select("l_orderkey", F.array_join(release.remap(F.col("ids"), F.col("m")), ",").alias("ids"))  # one row, a key to a supplier
+    return release.rewritten(ids, "l_orderkey", "ids", mapping).select("l_orderkey", F.array_join("ids", ",").alias("ids"))
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_suppkey, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL), n AS (SELECT l_orderkey, CASE WHEN l_suppkey % 3 = 0 THEN 'n' || l_suppkey // 10 ELSE l_suppkey::VARCHAR END AS k, arg_min(q, l_suppkey::VARCHAR) AS q FROM e GROUP BY ALL)
+SELECT l_orderkey, string_agg(k || '=' || q, ',' ORDER BY k) AS entries FROM n GROUP BY 1""")
+def remapped_keys(spark, sf_dir):
+    """Keys of maps rewritten by a mapping that is a table; several old keys may become one."""
+    lines = table(spark, sf_dir, "lineitem")
+    supplier = F.col("l_suppkey")
+    mapping = lines.where("l_suppkey % 3 = 0").select(supplier.cast("string").alias("old"), F.concat(F.lit("n"), F.floor(supplier / 10).cast("string")).alias("new")).distinct()
+    maps = lines.groupBy("l_orderkey", supplier.cast("string").alias("k")).agg(F.sum("l_quantity").cast("long").alias("q")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("entries"))
+    entry = lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
+    return release.rewritten_keys(maps, "l_orderkey", "entries", mapping).select("l_orderkey", F.array_join(F.transform(F.map_entries("entries"), entry), ",").alias("entries"))
 
 
 @query("""WITH k AS (SELECT DISTINCT l_orderkey AS id FROM lineitem), a AS (SELECT l_orderkey AS id, min(l_partkey) AS p FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_orderkey AS id, min(l_suppkey) AS p FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), c AS (SELECT o_orderkey AS id, o_custkey AS p FROM orders WHERE o_orderkey % 2 = 0)

@@ -73,8 +73,10 @@ def pool_roles(spark, sf_dir):
     return selection.pool(part, "p_partkey", "p_brand", "signature", F.col("p_size") < 5, 6, F.desc("p_size")).select("p_partkey", "role")
 
 
-@query("""WITH l AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type <> 'purchase'), o AS (SELECT user_id, event_id AS o, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'purchase'),
-r AS (SELECT l.*, o FROM l LEFT JOIN o USING (user_id, n)), b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS back FROM r)
+@query("""WITH l AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type <> 'purchase'),
+t AS (SELECT user_id, event_id, count(*) FILTER (event_type <> 'purchase') OVER w AS put, count(*) FILTER (event_type = 'purchase') OVER w AS got FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+q AS (SELECT t.user_id, t.event_id, least(t.got, min(s.put - s.got) + t.got) AS served FROM t JOIN t s ON s.user_id = t.user_id AND s.event_id <= t.event_id GROUP BY t.user_id, t.event_id, t.got),
+o AS (SELECT user_id, served AS n, min(event_id) AS o FROM q GROUP BY ALL), r AS (SELECT l.*, o FROM l LEFT JOIN o USING (user_id, n)), b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS back FROM r)
 SELECT event_id, event_type, o AS outcome, back, CASE WHEN o IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS prior FROM b WHERE back <= 400""")
 def judgement_memory(spark, sf_dir):
     """The last 400 judgements of each kind, resolved by outcomes that came later."""
