@@ -13,6 +13,7 @@ columns make no difference; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,37 @@ RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 #: Measured by each vocabulary, after whose place in the list they are numbered.
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 
+_SPACE = re.compile(r"\s")
 _models: dict[str, tuple] = {}
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)
+
+
+class _ByteVocabulary:
+    """Words are encoded together, each after a space, where no token goes over: only a word with white space of its own (beyond ASCII) could join the next one's space, and goes alone."""
+
+    def __init__(self, own, ranks: dict[bytes, int]):
+        self.own, self.length = own, np.zeros(max(ranks.values()) + 1, np.int64)
+        self.length[list(ranks.values())] = [len(t) for t in ranks]
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        alone = [i for i, w in enumerate(words) if _SPACE.search(w)]
+        if alone:
+            ids = {i: self.own.encode_ordinary(f" {words[i]}") for i in alone}
+            flat, size = self([w for i, w in enumerate(words) if i not in ids]) if len(alone) < len(words) else _flat([])
+            parts = iter(np.split(flat, np.cumsum(size)[:-1]) if len(size) else [])
+            return _flat([ids[i] if i in ids else next(parts).tolist() for i in range(len(words))])
+        text = "".join([f" {w}" for w in words])
+        ids = np.array(self.own.encode_ordinary(text), np.int64)
+        ends = np.cumsum([1 + len(w.encode()) for w in words])
+        place = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
+        return ids, np.diff(place, prepend=0)
+
+
 def vocabulary(path: str) -> tuple:
-    """A function from words to their ids, and whether each id is of bytes that are no character. path: a SentencePiece model with byte fallback, or a list of byte tokens and their ranks (.tiktoken). Loaded once to a worker."""
+    """A function from words to all of their ids in a row and how many each word has, and whether each id is of bytes that are no character. path: a SentencePiece model with byte fallback, or a list of byte tokens and their ranks (.tiktoken). Loaded once to a worker."""
     if path not in _models:
         if path.endswith(".tiktoken"):
             import base64
@@ -49,12 +76,12 @@ def vocabulary(path: str) -> tuple:
             odd = np.zeros(max(ranks.values()) + 1, bool)
             for token, rank in ranks.items():
                 odd[rank] = "\ufffd" in token.decode("utf-8", "replace") and token != "\ufffd".encode()
-            _models[path] = lambda words: own.encode_ordinary_batch([f" {w}" for w in words], num_threads=1), odd
+            _models[path] = _ByteVocabulary(own, ranks), odd
         else:
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
-            _models[path] = lambda words: sp.encode(words, num_threads=1), np.array([sp.IsByte(i) for i in range(sp.GetPieceSize())])
+            _models[path] = lambda words: _flat(sp.encode(words, num_threads=1)), np.array([sp.IsByte(i) for i in range(sp.GetPieceSize())])
     return _models[path]
 
 
@@ -90,9 +117,7 @@ def repeated_words(hashes: np.ndarray, w) -> np.ndarray:
 def _measures(path: str, found: list[str], codes: np.ndarray, doc: np.ndarray, n: int, chars: np.ndarray) -> dict[str, np.ndarray]:
     """n_tokens and MEASURES of n texts by one vocabulary. found: distinct words; codes: the word at each place; doc: its text."""
     encode, odd = vocabulary(path)
-    ids = encode(found) if found else []
-    size = np.array([len(x) for x in ids], np.int64)
-    flat = np.array([i for x in ids for i in x], np.int64)
+    flat, size = encode(found) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     tokens = flat[spread((np.cumsum(size) - size)[codes], size[codes])]
     owner = np.repeat(doc, size[codes])
     n_tokens = np.bincount(owner, minlength=n)

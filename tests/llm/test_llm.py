@@ -844,6 +844,18 @@ def test_pipeline(spark):
     assert rows.select("doc_id").distinct().count() == now.count()
 
 
+def test_words_encoded_together():
+    """The byte vocabulary gives each word the tokens that it has alone."""
+    from quarry.llm.fertility import vocabulary
+
+    encode, _ = vocabulary(FERTILITY()[1])
+    words = ["one", "x's", "'s", "don't", "é字", "1234ab", "😀", "a\u00a0", "\u2028b", "ab!?c", "\ufffd", "A" * 300]
+    for some in (words, words[:5], words[7:8], words[7:9]):
+        flat, size = encode(some)
+        parts = np.split(flat, np.cumsum(size)[:-1])
+        assert [p.tolist() for p in parts] == [encode.own.encode_ordinary(f" {w}") for w in some]
+
+
 def test_components(spark):
     from quarry.llm.components import components
     from quarry.llm.scratch import Scratch
