@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from quarry.functions.spine import let
+
 #: Types whose binders bring a value and no assumption, by the word that they begin with.
 NUMBERS = ("ℕ", "ℤ", "ℝ", "ℚ", "ℂ", "Nat", "Int", "Real", "Rat", "Complex", "Bool", "Char", "String")
 CONTAINERS = ("Type", "Sort", "Prop", "Set", "Finset", "Multiset", "List", "Fin", "Vector", "Matrix", "Polynomial", "Subgroup", "Submodule", "Ideal", "Filter")
@@ -116,7 +118,7 @@ def hypotheses(found: Column) -> Column:
     relation = lambda t: F.exists(F.array(*map(F.lit, RELATIONS)), lambda r: F.contains(t, r))
     some = F.filter(found["binders"], lambda b: relation(b["type"]) & b["open"].isin("(", "{"))
     each = F.flatten(F.transform(some, lambda b: F.transform(b["names"], lambda n: F.struct(n.alias("name"), normal_type(b["type"]).alias("type")))))
-    return F.filter(each, lambda x, i: ~F.exists(F.slice(each, i + 2, F.size(each)), lambda y: y["name"] == x["name"]))
+    return let(each, lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda y: y["name"] == x["name"])))
 
 
 def changed(parent: Column, child: Column) -> Column:
