@@ -140,12 +140,11 @@ def parts() -> dict[str, Column]:
 
 
 def of_rule(rule: Rule, part: dict[str, Column]) -> Column:
-    terms = [part[p].rlike(x) for p, x in rule.needs] + [~part[p].rlike(x) for p, x in rule.lacks]
-    if rule.kind:
-        terms.append(F.col("kind") == rule.kind)
+    """The rule's condition; what is cheap comes first, as the rest is then not looked at."""
+    terms = [F.col("kind") == rule.kind] if rule.kind else []
     if rule.certified:
         terms.append((F.col("status") == "certified") & (F.col("kind") != "survivor"))
-    return reduce(and_, terms)
+    return reduce(and_, terms + [part[p].rlike(x) for p, x in rule.needs] + [~part[p].rlike(x) for p, x in rule.lacks])
 
 
 def roots(ids: Column) -> Column:
@@ -159,23 +158,22 @@ def tokens(text: Column) -> Column:
 
 
 def against_parents(part: dict[str, Column]) -> dict[str, Column]:
-    """Detectors that hold a mutation or crossover against its parents."""
-    own = bare_surface(F.col("formal"))
-    parents = F.transform(_strings("parents"), bare_surface)
-    goal, certified = conclusion(own), (F.col("status") == "certified") & (own != "")
-    mutation, crossover = certified & (F.col("kind") == "mutation"), certified & (F.col("kind") == "crossover")
+    """Detectors that hold a mutation or crossover against its parents. Reads what raise_flags makes first."""
+    own, parents = F.col("__own"), F.col("__parents")
+    goal, certified = F.col("__goal"), (F.col("status") == "certified") & (F.col("__own") != "")
+    mutation, crossover = (F.col("kind") == "mutation") & certified, (F.col("kind") == "crossover") & certified
     joined = goal.rlike("∧| and ")
-    held = lambda p: (F.length(conclusion(p)) >= 8) & goal.contains(conclusion(p))
-    narrowed = lambda p: reduce(or_, [own.contains(s) & p.contains(w) for s, w in NARROWED])
+    held = lambda p: (F.length(p["goal"]) >= 8) & goal.contains(p["goal"])
+    narrowed = lambda p: reduce(or_, [own.contains(s) & p["own"].contains(w) for s, w in NARROWED])
     # a parent is consumed if the proof has a word of its conclusion
-    met = lambda text: lambda p: F.arrays_overlap(tokens(conclusion(p)), tokens(text))
-    consumed, reached = F.filter(parents, met(part["lean"])), F.filter(parents, met(part["goal"]))
+    met = lambda words: lambda p: F.arrays_overlap(p["words"], F.col(words))
+    consumed, reached = F.filter(parents, met("__lean_words")), F.filter(parents, met("__goal_words"))
     depth = F.size(F.split(F.coalesce(F.col("problem_id"), F.lit("")), "__"))
     return {
-        "same_formal_statement_as_parent": (own != "") & F.array_contains(parents, own),
-        "parameter_shift_only_theorem": mutation & F.exists(parents, lambda p: blank_numbers(p) == blank_numbers(own)) & part["proof"].rlike(MECHANICAL),
+        "same_formal_statement_as_parent": (own != "") & F.exists(parents, lambda p: p["own"] == own),
+        "parameter_shift_only_theorem": mutation & F.exists(parents, lambda p: p["blank"] == blank_numbers(own)) & part["proof"].rlike(MECHANICAL),
         "auxiliary_conjunct_only_theorem": mutation & joined & F.exists(parents, held),
-        "typeclass_narrowing_only": mutation & (goal != "") & F.exists(parents, lambda p: (conclusion(p) == goal) & narrowed(p)),
+        "typeclass_narrowing_only": mutation & (goal != "") & F.exists(parents, lambda p: (p["goal"] == goal) & narrowed(p)),
         "side_by_side_conjunction": crossover & joined & ((F.size(F.filter(parents, held)) >= 2) | part["text"].rlike(SIDE_BY_SIDE)),
         "parent_checkpoint_not_consumed": crossover & (part["lean"] != "") & (F.size(consumed) < F.least(F.lit(2), F.size(parents))),
         "unused_checkpoint": crossover & part["proof"].rlike(PASSED_THROUGH) & (F.size(F.array_except(consumed, reached)) > 0),
@@ -184,9 +182,8 @@ def against_parents(part: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def detectors() -> dict[str, Column]:
+def detectors(part: dict[str, Column]) -> dict[str, Column]:
     """Each flag with its condition."""
-    part = parts()
     out = against_parents(part)
     for rule in RULES:
         found = of_rule(rule, part)
@@ -194,11 +191,24 @@ def detectors() -> dict[str, Column]:
     return out
 
 
+#: Flags whose conditions go into one expression; all in one are too much for the compiler of a stage.
+TOGETHER = 12
+
+
 def raise_flags(df: DataFrame) -> DataFrame:
     """df with flags, the sorted names of the detectors that hold; those that are null do not."""
     names = df.columns
     for name, kind in (("problem_id", "string"), ("evidence", "string"), ("parent_ids", "array<string>")):
         if name not in names:
             df = df.withColumn(name, F.lit(None).cast(kind))
-    flagged = df.withColumn("flags", F.array_sort(F.array_compact(F.array(*[F.when(c, name) for name, c in detectors().items()]))))
+    spark, inner = df.sparkSession, {name: f"__x_{name}" for name in parts()}
+    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few large pieces of input would leave most cores idle
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    # what many conditions look at is made once to a row, in columns of its own
+    seen = df.withColumns({inner[name]: c for name, c in parts().items()} | {"__own": bare_surface(F.col("formal")), "__bare": F.transform(_strings("parents"), bare_surface)})
+    ends = F.transform("__bare", lambda p: F.struct(p.alias("own"), conclusion(p).alias("goal"), blank_numbers(p).alias("blank"), tokens(conclusion(p)).alias("words")))
+    seen = seen.withColumns({"__parents": ends, "__goal": conclusion(F.col("__own")), "__lean_words": tokens(F.col(inner["lean"])), "__goal_words": tokens(F.col(inner["goal"]))})
+    found = [F.when(c, name) for name, c in detectors({name: F.col(c) for name, c in inner.items()}).items()]
+    lots = {f"__flags_{i}": F.array_compact(F.array(*found[i : i + TOGETHER])) for i in range(0, len(found), TOGETHER)}
+    flagged = seen.withColumns(lots).withColumn("flags", F.array_sort(F.flatten(F.array(*map(F.col, lots)))))
     return flagged.select(*[c for c in names if c != "flags"], "flags")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import brackets, spine, stats
-from quarry.operators import fixpoint, trees
+from quarry.operators import fixpoint, partials, trees
 from quarry.operators.ranking import places
 from quarry.plans.queries import query
 from quarry.plans.views import table
+from quarry.sources.premises import premises
 
 # Orders as proofs: each line is a step, whose name has the line's number, so that names come again; steps use others by numbers from the part and the supplier, so that there
 # are cycles and names that no step has. Suppliers give types, which the two parents of an order may state; quantities give the library names that are cited.
@@ -175,3 +176,32 @@ def mutation_verdict(spark, sf_dir):
     parent, child = F.lit("simp\nexact Nat.le_of_lt"), F.when(k % 4 == 0, "omega\nexact Int.le_of_lt").otherwise("omega")
     ends = sets.withColumns({"x": spine.closing_lemma(parent), "y": spine.closing_lemma(child)})
     return ends.select("l_orderkey", spine.mutation(F.col("a"), F.col("b"), F.col("x"), F.col("y"), F.lit(None).cast("boolean")).alias("m")).select("l_orderkey", F.array_join("m.added", ",").alias("added"), "m.why")
+
+
+@query("""SELECT o_orderpriority AS direction, o_orderstatus AS model, count(*) AS n, count(*) FILTER (o_totalprice > 150000) AS n_passed, count(*) AS known_passed, count(*) FILTER (o_custkey % 3 <> 0 AND o_orderkey % 2 = 0) AS n_seeds, count(*) FILTER (o_custkey % 3 <> 0) AS known_seeds,
+round(count(*) FILTER (o_totalprice > 150000) / count(*), 9) AS rate_passed, round(count(*) FILTER (o_custkey % 3 <> 0 AND o_orderkey % 2 = 0) / nullif(count(*) FILTER (o_custkey % 3 <> 0), 0), 9) AS rate_seeds FROM orders GROUP BY 1, 2""")
+def merged_campaigns(spark, sf_dir):
+    """Rates over three campaigns, each of which is counted alone before their parts are merged."""
+    k = F.col("o_custkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("direction"), F.col("o_orderstatus").alias("model"), (F.col("o_totalprice") > 150000).alias("passed"), F.when(k % 3 != 0, F.col("o_orderkey") % 2 == 0).alias("seeds"), F.col("o_orderkey") % 3, k)
+    groups, conditions = ["direction", "model"], ["passed", "seeds"]
+    parts = [partials.partial(rows.where(F.col("(o_orderkey % 3)") == i), groups, conditions, "o_custkey") for i in range(3)]
+    done = partials.rates(partials.merged(parts, groups), conditions)
+    return done.drop("n_ids").withColumns({f"rate_{c}": F.round(f"rate_{c}", 9) for c in conditions})
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, p_brand, p_size FROM part), i AS (SELECT *, unnest(range(0, 3)) AS i FROM p WHERE p_partkey % 7 <> 6)
+SELECT p_partkey, i::INT AS place, CASE WHEN p_partkey % 2 = 0 THEN 'Lib.' || p_partkey || '.' || i ELSE 'n' || p_partkey || '_' || i END AS name, CASE WHEN p_partkey % 7 = 3 THEN '' ELSE p_brand END AS module_name, CASE WHEN p_partkey % 7 = 3 THEN '' ELSE p_name END AS informal_description
+FROM i WHERE NOT (i = 1 AND p_partkey % 5 = 0)""")
+def premise_rows(spark, sf_dir):
+    """Candidates in the answers of services: lists, lists of one list, wrapped or bare, with names in parts; what has no name, is no object or no list is none."""
+    k = F.col("p_partkey")
+    name = lambda i: F.when(F.lit(i == 1) & (k % 5 == 0), F.lit('" "')).when(k % 2 == 0, F.concat(F.lit('["Lib", " ", "'), k.cast("string"), F.lit(f'", {i}]'))).otherwise(F.concat(F.lit('" n'), k.cast("string"), F.lit(f'_{i}"')))
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    rest = F.when(k % 7 == 3, F.lit("")).otherwise(F.concat(F.lit(', "module_name": ['), quoted(F.col("p_brand")), F.lit('], "informal_description": "", "docstring": '), quoted(F.col("p_name"))))
+    bare = lambda i: F.concat(F.lit('{"name": '), name(i), rest, F.lit("}"))
+    item = lambda i: F.when(k % 3 == 0, F.concat(F.lit('{"result": '), bare(i), F.lit("}"))).when(k % 3 == 1, F.concat(F.lit('{"result": null, '), bare(i).substr(F.lit(2), F.length(bare(i))))).otherwise(bare(i))
+    flat = F.concat(F.lit("["), item(0), F.lit(", "), item(1), F.lit(", "), item(2), F.lit(', 5, {"result": 3}, [] ]'))
+    payload = F.when(k % 7 == 6, F.lit('{"name": "no list"}')).when(k % 4 == 1, F.concat(F.lit("["), flat, F.lit("]"))).otherwise(flat)
+    found = premises(table(spark, sf_dir, "part").select("p_partkey", payload.alias("payload")), "p_partkey", "payload")
+    return found.select("p_partkey", "place", "name", "module_name", "informal_description")
