@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import release
+from quarry.operators import record, release
 from quarry.plans.queries import query
 from quarry.plans.views import table
 
-_RELEASE = """WITH d AS (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN left(text, 200) ELSE text END AS text FROM documents),
+_RELEASE = """WITH d AS (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN replace(text, 'a', '') ELSE text END AS text FROM documents),
 o AS (SELECT *, doc_id % 4 <> 0 AS has_roundtrip, CASE WHEN doc_id % 4 = 0 OR doc_id % 10 = 0 THEN NULL ELSE doc_id % 9 <> 0 END AS roundtrip, doc_id % 23 = 0 AS has_exclusion, CASE WHEN doc_id % 6 = 0 THEN doc_id % 18 = 0 END AS redundant,
 (doc_id % 13 = 0)::INT + (doc_id % 3 <> 0)::INT + (doc_id % 4 <> 0)::INT AS checks FROM d),
 j AS (SELECT o.*, quality = 1 AS s1, quality = 1 OR doc_id % 11 = 0 AS s2, toxic = 0 AS k FROM o JOIN labels USING (doc_id) WHERE doc_id % 7 <> 0),
@@ -21,7 +21,7 @@ def _gated(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels")
     ids = docs.select("doc_id")
     evidence = {
-        "prune": docs.where(k % 5 == 0).select("doc_id", F.substring("text", 1, 200).alias("pruned")), "dead": ids.where(k % 13 == 0), "comparator": ids.where(k % 3 != 0),
+        "prune": docs.where(k % 5 == 0).select("doc_id", F.replace("text", F.lit("a"), F.lit("")).alias("pruned")), "dead": ids.where(k % 13 == 0), "comparator": ids.where(k % 3 != 0),
         "roundtrip": ids.where(k % 4 != 0).withColumn("roundtrip", when(k % 10 != 0, k % 9 != 0)), "redundancy": ids.where(k % 6 == 0).withColumn("redundant", k % 18 == 0), "exclusion": ids.where(k % 23 == 0),
     }
     rows = release.overlay(docs, "doc_id", evidence).withColumn("text", F.coalesce("pruned", "text"))
@@ -133,14 +133,60 @@ def playable_partition(spark, sf_dir):
     return table(spark, sf_dir, "part").join(v, "p_partkey", "left").groupBy("p_brand").agg(F.count_if("ok").alias("playable"), F.count_if(~F.col("ok")).alias("broken"), F.count_if(F.col("ok").isNull()).alias("unknown"))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id, o_custkey % 40 AS name, length(o_orderpriority) AS a FROM orders), t AS (SELECT c_custkey AS cand, c_custkey % 40 AS name, length(c_mktsegment) AS b, c_acctbal < 0 AS flagged FROM customer WHERE c_custkey % 40 < 35 AND c_custkey <= 120),
+@query("""WITH s AS (SELECT o_orderkey AS id, o_custkey // 4 AS name, length(o_orderpriority) AS a FROM orders), t AS (SELECT c_custkey AS cand, c_custkey // 4 AS name, length(c_mktsegment) AS b, c_acctbal < 0 AS flagged FROM customer WHERE c_custkey // 4 % 8 < 7),
 m AS (SELECT id, cand, flagged, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY -abs(a - b) DESC, cand) AS r FROM s JOIN t USING (name))
 SELECT s.id, cand, coalesce(n, 0) AS n_candidates, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'unique' ELSE 'by_similarity' END AS how, flagged FROM s LEFT JOIN (SELECT * FROM m WHERE r = 1) USING (id)""")
 def seed_resolution(spark, sf_dir):
     """Seeds matched by name; of several candidates the most similar one counts."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    s = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("name"), F.length("o_orderpriority").alias("a"))
-    t = c.where("c_custkey % 40 < 35 and c_custkey <= 120").select(F.col("c_custkey").alias("cand"), (F.col("c_custkey") % 40).alias("name"), F.length("c_mktsegment").alias("b"), (F.col("c_acctbal") < 0).alias("flagged"))
+    s = o.select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_custkey") / 4).alias("name"), F.length("o_orderpriority").alias("a"))
+    name = F.floor(F.col("c_custkey") / 4)
+    t = c.where(name % 8 < 7).select(F.col("c_custkey").alias("cand"), name.alias("name"), F.length("c_mktsegment").alias("b"), (F.col("c_acctbal") < 0).alias("flagged"))
     best = s.join(t, "name").groupBy("id").agg(F.count("*").alias("n"), F.max(F.struct((-F.abs(F.col("a") - F.col("b"))).alias("sim"), (-F.col("cand")).alias("c"), "flagged")).alias("x"))
     how = F.when(F.col("n").isNull(), "unresolved").when(F.col("n") == 1, "unique").otherwise("by_similarity")
     return s.join(best, "id", "left").select("id", (-F.col("x.c")).alias("cand"), F.coalesce("n", F.lit(0)).alias("n_candidates"), how.alias("how"), "x.flagged")
+
+
+@query("""WITH l AS (SELECT doc_id AS k, text, lang, quality = 1 AS s1, quality = 1 OR doc_id % 11 = 0 AS s2, toxic = 0 AS kp FROM documents JOIN labels USING (doc_id) WHERE doc_id % 7 <> 0),
+e AS (SELECT *, k % 4 <> 0 AS rt, CASE WHEN k % 4 <> 0 AND k % 10 <> 0 THEN k % 9 <> 0 END AS eq, k % 6 = 0 AS md, k % 6 = 0 AND k % 18 = 0 AS fr, k % 23 = 0 AS ex, k % 5 = 0 AS pr, k % 13 = 0 AS de, k % 8 = 0 AND k % 3 = 0 AS rw, CASE WHEN lang = 'de' THEN 'mutation_silent' ELSE 'mutation' END AS v FROM l)
+SELECT k AS doc_id, sha256(CASE WHEN rw THEN upper(text) ELSE text END) AS statement, CASE WHEN pr THEN 'pruned ' || k ELSE 'formal ' || k END AS formal,
+concat_ws('|', 'statement_type_check:' || CASE WHEN k % 2 = 0 THEN 'type-checks' ELSE 'not run' END, 'proof_accepted:' || CASE WHEN k % 3 <> 0 THEN 'accepted, no sorry' ELSE 'not run' END,
+'axiom_audit:' || CASE WHEN k % 5 = 1 THEN 'not run' WHEN k % 5 = 2 THEN 'disallowed: sorryAx' ELSE 'closed over propext, Quot.sound' END, 'vacuity:' || CASE k % 3 WHEN 0 THEN 'not run' WHEN 1 THEN 'VACUOUS' ELSE 'hypotheses are satisfiable' END,
+'dead_hypotheses:' || CASE WHEN pr THEN 'removed h1, h' || k WHEN de THEN 'every hypothesis is load-bearing' ELSE 'not run' END, 'corpus_dedup:' || CASE WHEN k % 9 = 1 THEN 'not run' WHEN k % 9 = 2 THEN 'duplicate of ' || (k - 1) ELSE 'unique against 500 statements' END,
+'redundancy:' || CASE WHEN NOT md THEN 'not run' WHEN fr THEN 'hypotheses Lean could drop: h2, h3' ELSE 'no hypothesis Lean could drop, no parent it could prove alone' END, 'hypothesis_preservation:' || CASE k % 4 WHEN 0 THEN 'not run' WHEN 1 THEN 'changed' ELSE 'every hypothesis the parent had is still there' END,
+'comparator:' || CASE WHEN k % 6 = 2 THEN 'statement, axioms and kernel acceptance independently replayed' WHEN k % 3 = 1 THEN 'workspace prepared and ready; kernel replay still pending' ELSE 'not run' END,
+'goal_roundtrip:' || CASE WHEN eq THEN 'elaborated goal reads back as the stated problem' WHEN NOT eq THEN 'MISMATCH: a; b' WHEN rt THEN 'check did not complete' ELSE 'not run' END) AS results,
+9 AS n_applies,
+CASE WHEN rt AND NOT eq THEN 'prose does not describe the elaborated goal' WHEN rt AND eq IS NULL THEN 'goal round-trip never returned a verdict' WHEN ex THEN 'held back by hand: a binder that can be substituted away' WHEN fr THEN 'Lean proved it without a hypothesis it states'
+WHEN NOT (s1 AND s2) THEN 'not strong in both passes' WHEN NOT kp THEN 'not kept in both passes' END AS why FROM e""")
+def release_records(spark, sf_dir):
+    """Records with eight tables laid over them, what each of ten checks says, and why a row is not admitted."""
+    k = F.col("doc_id")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ids, when = docs.select("doc_id"), F.when
+    names = lambda c, *v: when(c, F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>"))
+    evidence = {
+        "prune": ids.where(k % 5 == 0).select(k, F.concat(F.lit("pruned "), k.cast("string")), F.lit("by simp"), F.array(F.lit("h1"), F.concat(F.lit("h"), k.cast("string")))), "dead": ids.where(k % 13 == 0).select(k, F.array(F.lit("h9"))),
+        "comparator": ids.where(k % 3 == 1).select(k, F.lit(True)), "replays": ids.where(k % 2 == 0).select(k, k % 6 == 2), "roundtrip": ids.where(k % 4 != 0).select(k, when(k % 10 != 0, k % 9 != 0), F.array(F.lit("a"), F.lit("b")), F.lit("as said")),
+        "redundancy": ids.where(k % 6 == 0).select(k, F.lit(True), names(k % 18 == 0, "h2", "h3"), names(F.lit(False)), F.lit("")), "rewrites": docs.where(k % 8 == 0).select(k, k % 3 == 0, F.upper("text")), "exclusions": ids.where(k % 23 == 0).select(k, F.lit("by hand")),
+    }
+    own = docs.select(
+        "doc_id", F.col("text").alias("statement"), F.concat(F.lit("formal "), k.cast("string")).alias("formal"), F.lit("by omega").alias("code"), when(F.col("lang") == "de", "mutation_silent").otherwise("mutation").alias("variant"),
+        F.struct((k % 2 == 0).alias("statement"), (k % 3 != 0).alias("proof"), (k % 5 != 1).alias("audited"), (k % 5 != 2).alias("allowed"), when(k % 5 == 2, F.array(F.lit("sorryAx"))).otherwise(F.array(F.lit("propext"), F.lit("Quot.sound"))).alias("axioms")).alias("certificate"),
+        when(k % 3 != 0, k % 3 == 1).alias("vacuous"), when(k % 9 != 1, 500).alias("corpus"), when(k % 9 == 2, k - 1).alias("duplicate_of"), when(k % 4 != 0, k % 4 != 1).alias("preserved"),
+    )
+    run = lambda strong, some: labels.where(some).select("doc_id", strong.alias("strong"), (F.col("toxic") == 0).alias("keep"))
+    rows = release.judged(record.assembled(own, "doc_id", evidence), "doc_id", run(F.col("quality") == 1, F.lit(True)), run((F.col("quality") == 1) | (k % 11 == 0), k % 7 != 0))
+    done = rows.select("doc_id", F.sha2("statement", 256).alias("statement"), "formal", record.checks().alias("c"), record.admission().alias("a"))
+    shown = F.array_join(F.transform(F.array(*[F.lit(n) for n, _ in record.CHECKS]), lambda n: F.concat(n, F.lit(":"), F.element_at(F.col("c"), n)["result"])), "|")
+    return done.select("doc_id", "statement", "formal", shown.alias("results"), F.size(F.filter(F.map_values("c"), lambda c: c["applies"])).alias("n_applies"), "a.why")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, o_orderkey % 10 <> 0 AS st, o_orderkey % 5 <> 1 AS pr, o_orderkey % 3 <> 0 AS ad, o_orderkey % 4 <> 0 AS al FROM orders), r AS (SELECT l_orderkey AS id, count(DISTINCT l_linenumber % 2) AS p, count(DISTINCT l_suppkey % 2) AS d FROM lineitem WHERE l_quantity < 40 GROUP BY 1)
+SELECT id, CASE WHEN NOT st THEN NULL WHEN NOT pr THEN 'statement_checked' WHEN NOT (CASE WHEN ad THEN al ELSE id % 7 = 0 END) THEN 'proof_accepted' WHEN p >= 2 AND d = 1 THEN 'kernel_replayed' ELSE 'axiom_audited' END AS level FROM a LEFT JOIN r USING (id)""")
+def certificate_levels(spark, sf_dir):
+    """How far each row's certificate has come: the last step needs one digest on two platforms."""
+    k = F.col("o_orderkey")
+    audits = table(spark, sf_dir, "orders").select(k.alias("id"), (k % 10 != 0).alias("statement"), (k % 5 != 1).alias("proof"), (k % 3 != 0).alias("audited"), (k % 4 != 0).alias("allowed"))
+    replays = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") % 2).alias("platform"), (F.col("l_suppkey") % 2).alias("digest"), (F.col("l_quantity") < 40).alias("passed"))
+    return record.level(audits, replays, "id", F.col("id") % 7 == 0)

@@ -153,3 +153,15 @@ def test_token_joins_equal_all_pairs(spark, monkeypatch, sounded):
         for rank, (s, query) in enumerate(sorted((-v[1], p[0]) for p, v in pairs.items() if p[1] == card)[:3], 1):
             want[card, rank] = (query, -s)
     assert {(r.card, r["rank"]): (r["query"], r.score) for r in retrieval.token_topk(q, c, 3).collect()} == want
+
+
+def test_records_without_some_tables(spark):
+    from quarry.operators import record
+
+    rows = spark.createDataFrame([(i, "said", "f", "c", "mutation", bool(i % 2), True, True, True) for i in range(4)], "id long, statement string, formal string, code string, variant string, strong1 boolean, keep1 boolean, strong2 boolean, keep2 boolean")
+    rows = rows.withColumns({"certificate": F.lit(None).cast("struct<statement:boolean,proof:boolean,audited:boolean,allowed:boolean,axioms:array<string>>"), "vacuous": F.lit(None).cast("boolean"), "corpus": F.lit(None).cast("int"), "duplicate_of": F.lit(None).cast("long"), "preserved": F.lit(None).cast("boolean")})
+    out = record.assembled(rows, "id", {"rewrites": spark.createDataFrame([(1, True, "new"), (2, False, "no"), (3, True, "")], "id long, ok boolean, after string")})
+    got = {r.id: r for r in out.select("id", "statement", "before", record.checks().alias("c"), record.admission().alias("a")).collect()}
+    assert {i: (r.statement, r.before) for i, r in got.items()} == {0: ("said", None), 1: ("new", "said"), 2: ("said", None), 3: ("said", None)}
+    assert all(c.result == "not run" and not c.ran for r in got.values() for c in r.c.values()) and len(got[0].c) == 10
+    assert {i: r.a.why for i, r in got.items()} == {0: record.WHY["weak"], 1: None, 2: record.WHY["weak"], 3: None}
