@@ -87,6 +87,47 @@ def bootstrap_drop(k0: str, n0: str, k1: str, n1: str, iterations: int = 200_000
     return run(k0, n0, k1, n1)
 
 
+def _draws(values: np.ndarray, counts: np.ndarray, iterations: int, seed: int) -> np.ndarray:
+    """Means of resamples of rows that are known by how often each value is there: draws of the counts are multinomial, in blocks of bounded size."""
+    rng, n, out = np.random.default_rng(seed), int(counts.sum()), []
+    step = max(1, 2_000_000 // len(values))
+    for i in range(0, iterations, step):
+        out.append(rng.multinomial(n, counts / n, min(step, iterations - i)) @ values / n)
+    return np.concatenate(out)
+
+
+def bootstrap_mean(arms: list[tuple[Column, Column]], key: Column, iterations: int, seed: int = 42) -> Column:
+    """mean, low and high, in percent points, of the mean of rows by their values and counts (arrays of double and long), or of the difference of two such means.
+
+    Rows may have any values, as accuracies in thirds; resampling them needs their histogram only. Groups draw apart, by seed and key (a long), and so do arms. Null where an arm
+    has no rows.
+    """
+
+    n_arms = len(arms)
+
+    @F.pandas_udf("mean double, low double, high double")
+    def run(key: pd.Series, *cells: pd.Series) -> pd.DataFrame:
+        found = []
+        for k, *row in zip(key, *cells, strict=True):
+            sides = [(np.asarray(v, np.float64), np.asarray(c, np.int64)) for v, c in zip(row[::2], row[1::2], strict=True) if v is not None and len(v)]
+            if len(sides) < n_arms:
+                found.append((None,) * 3)
+                continue
+            means = [100 * float(v @ c) / c.sum() for v, c in sides]
+            draws = [100 * _draws(v, c, iterations, abs(hash((seed, int(k), i)))) for i, (v, c) in enumerate(sides)]
+            drop = lambda x: x[0] - x[1] if len(x) == 2 else x[0]
+            found.append((drop(means), *bounds(drop(draws))))
+        return pd.DataFrame(found, columns=["mean", "low", "high"])
+
+    return run(key, *[c for arm in arms for c in arm])
+
+
+def histogram(value: str) -> tuple[Column, Column]:
+    """Aggregates of the distinct values of a column of few values, and of their counts, from rows (value, n) that are counted already."""
+    both = F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), "n")))
+    return F.transform(both, lambda x: x["v"].cast("double")), F.transform(both, lambda x: x["n"].cast("long"))
+
+
 def upper_median(values: Column) -> Column:
     """sorted[n // 2] of an array."""
     return F.element_at(F.sort_array(values), (F.size(values) / 2).cast("int") + 1)

@@ -28,6 +28,19 @@ def bootstrap_drop(spark, sf_dir):
     return k.withColumn("b", stats.bootstrap_drop("k0", "n0", "k1", "n1")).select("benchmark", "k0", "n0", "k1", "n1", "b.*")
 
 
+@query()
+def bootstrap_accuracy(spark, sf_dir):
+    """Mean accuracy of each benchmark's arms and its drop, with bounds from resampled rows; accuracies are in thirds, and only their histograms reach Python."""
+    rows = evaluation.row_scores(episodes(spark, sf_dir), ["benchmark"], 3)
+    counted = rows.groupBy("benchmark", "arm", F.col("accuracy").alias("v")).agg(F.count("*").alias("n"))
+    values, counts = stats.histogram("v")
+    arms = counted.groupBy("benchmark").pivot("arm", [0, 1]).agg(values.alias("v"), counts.alias("c"))
+    cell = lambda i: (F.col(f"{i}_v"), F.col(f"{i}_c"))
+    key = F.xxhash64("benchmark")
+    boot = {"control": stats.bootstrap_mean([cell(0)], key, 1_000), "treatment": stats.bootstrap_mean([cell(1)], key, 1_000), "drop": stats.bootstrap_mean([cell(0), cell(1)], key, 20_000)}
+    return arms.withColumns(boot).select("benchmark", *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in boot for c in ("mean", "low", "high")])
+
+
 _RUNS = "r AS (SELECT conv_id, count(*) AS turns, max(length(text)) > 400 AS passed, NOT bool_or(text LIKE '%!%') AS clean, arg_max(role, turn) AS outcome FROM conversations GROUP BY 1)"
 
 

@@ -80,6 +80,18 @@ def test_bootstrap_bounds(spark):
     assert stats.bounds(np.arange(1000)[::-1]) == (25, 974)
 
 
+def test_bootstrap_of_accuracies(spark):
+    """Rows in thirds: bounds lie about those of the normal, other keys draw otherwise, an arm without rows has none."""
+    v, c = [0.0, 1 / 3, 2 / 3, 1.0], [400, 300, 200, 100]
+    rows = spark.createDataFrame([(1, v, c, [1.0], [10]), (2, v, c, [], []), (3, v, c, None, None), (4, v, c, v, c)], "k long, v array<double>, c array<long>, w array<double>, d array<long>")
+    one, two = (F.col("v"), F.col("c")), (F.col("w"), F.col("d"))
+    got = rows.select(stats.bootstrap_mean([one], F.col("k"), 4_000).alias("a"), stats.bootstrap_mean([one, two], F.col("k"), 4_000).alias("b")).collect()
+    spread = 196 * (1 / 9 / 1000) ** 0.5
+    assert all(r.a.mean == pytest.approx(100 / 3) and abs(r.a.low - (100 / 3 - spread)) < 0.25 and abs(r.a.high - (100 / 3 + spread)) < 0.25 for r in got)
+    assert len({(r.a.low, r.a.high) for r in got}) > 1 and got[0].b.mean == pytest.approx(100 / 3 - 100) and got[1].b.mean is None and got[2].b.low is None
+    assert got[3].b.mean == 0 and abs(got[3].b.high - spread * 2**0.5) < 0.4
+
+
 def test_places_against_sorting(spark):
     from quarry.operators.ranking import places
 
