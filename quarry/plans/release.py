@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import record, release
+from quarry.operators import exams, record, release
 from quarry.plans.queries import query
 from quarry.plans.views import table
 
@@ -190,3 +190,25 @@ def certificate_levels(spark, sf_dir):
     audits = table(spark, sf_dir, "orders").select(k.alias("id"), (k % 10 != 0).alias("statement"), (k % 5 != 1).alias("proof"), (k % 3 != 0).alias("audited"), (k % 4 != 0).alias("allowed"))
     replays = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") % 2).alias("platform"), (F.col("l_suppkey") % 2).alias("digest"), (F.col("l_quantity") < 40).alias("passed"))
     return record.level(audits, replays, "id", F.col("id") % 7 == 0)
+
+
+@query(r"""WITH r AS (SELECT doc_id, trim(coalesce(split_part(text, chr(10), 1), '')) AS statement, regexp_extract_all(text || ' ' || doc_id % 7 || ' of 12', '-?\d+')[-1] AS answer FROM documents WHERE lang IN ('en', 'de') AND n_chars >= 100 AND n_chars <= 4000 AND text IS NOT NULL)
+SELECT * FROM r WHERE statement <> '' AND answer <> '' ORDER BY doc_id LIMIT 250""")
+def benchmark_seeds(spark, sf_dir):
+    """The first 250 seeds of a benchmark: of two splits and a range of quality, with a statement and an answer."""
+    solution = F.concat("text", F.lit(" "), (F.col("doc_id") % 7).cast("string"), F.lit(" of 12"))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return exams.benchmark_seeds(docs, "doc_id", F.substring_index("text", "\n", 1), solution, "last_number", ("lang", ["en", "de"]), ("n_chars", 100, 4000), 250)
+
+
+@query(r"""WITH r AS (SELECT o_orderkey AS id, o_orderpriority AS b, o_custkey AS c FROM orders WHERE o_orderstatus <> 'P') SELECT id, 'exam_' || lower(left(b, 1)) AS benchmark, 'order ' || id AS statement, 'theorem t' || id || ' (n : Nat) : n = ' || c AS formal,
+CASE WHEN c % 3 = 0 THEN 'import Mathlib' ELSE 'import A' || c % 3 || chr(10) || 'open Nat' END AS header, (SELECT count(*) FROM r s WHERE s.b = '2-HIGH') AS n_skipped FROM r WHERE b <> '2-HIGH'""")
+def exam_rows(spark, sf_dir):
+    """Admitted rows with the labels of their benchmarks; how many had none is told beside them."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey")
+    formal = F.concat(F.lit("theorem t"), k, F.lit(" (n : Nat) : n = "), c.cast("string"), F.when(c % 2 == 0, " := by\n  omega").otherwise(" :="))
+    head = F.when(c % 3 == 0, "").otherwise(F.concat(F.lit("import A"), (c % 3).cast("string"), F.lit("\nopen Nat\n\n")))
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("b"), F.concat(F.lit("order "), k).alias("statement"), formal.alias("formal"), F.concat(head, formal, F.lit("\n  simp")).alias("code"))
+    labels = table(spark, sf_dir, "orders").where("o_orderpriority <> '2-HIGH'").select(F.col("o_orderpriority").alias("benchmark")).distinct().withColumn("label", F.concat(F.lit("exam_"), F.lower(F.substring("benchmark", 1, 1))))
+    ready, skipped = exams.exam_rows(rows, "id", "b", labels)
+    return ready.withColumn("n_skipped", F.lit(skipped.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import brackets, spine, stats
+from quarry.functions import brackets, crossovers, spine, stats
 from quarry.operators import fixpoint, partials, trees
 from quarry.operators.ranking import places
 from quarry.plans.queries import query
@@ -205,3 +205,24 @@ def premise_rows(spark, sf_dir):
     payload = F.when(k % 7 == 6, F.lit('{"name": "no list"}')).when(k % 4 == 1, F.concat(F.lit("["), flat, F.lit("]"))).otherwise(flat)
     found = premises(table(spark, sf_dir, "part").select("p_partkey", payload.alias("payload")), "p_partkey", "payload")
     return found.select("p_partkey", "place", "name", "module_name", "informal_description")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 3 AS fam, [o_custkey % 11, o_orderkey % 13] AS vals, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'the SUM of it' END AS claim_a, CASE WHEN o_custkey % 4 = 0 THEN ' ' WHEN o_custkey % 4 = 1 THEN 'its shape' ELSE 'its answer' END AS claim_b,
+CASE WHEN o_custkey % 2 = 0 THEN 'base' ELSE 'bound' END AS role_b, CASE WHEN o_orderstatus = 'P' THEN 'sequential_composition' ELSE 'fusion' END AS how, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'why' END AS why FROM orders),
+p AS (SELECT *, c % 3 AS fam_a, CASE WHEN c % 6 <> 0 THEN k % 13 END AS ans_a, c % 5 AS par_a, (c + 1) % 3 AS fam_b, c % 10 AS ans_b, k % 6 AS par_b FROM o),
+x AS (SELECT *, fam_a <> fam AND NOT (CASE WHEN ans_a IS NOT NULL AND claim_a <> '' THEN list_contains(vals, ans_a) ELSE list_contains(vals, par_a) END) AS out_a, fam_b <> fam AND NOT (CASE WHEN claim_b = 'its answer' THEN list_contains(vals, ans_b) ELSE list_contains(vals, par_b) END) AS out_b,
+CASE WHEN how = 'sequential_composition' OR why = '' THEN 'pipeline_composite' WHEN claim_a <> '' AND trim(claim_b) <> '' THEN CASE WHEN role_b <> 'base' THEN 'true_fusion' ELSE 'pipeline_composite' END ELSE 'mutation_like' END AS kind FROM p)
+SELECT k AS o_orderkey, kind, concat_ws(',', CASE WHEN out_a THEN 'a' END, CASE WHEN out_b THEN 'b' END) AS indirect, concat_ws(',', CASE WHEN out_a OR out_b THEN 'indirect_parent_contribution' END, CASE WHEN kind = 'mutation_like' THEN 'mutation_like_crossover' END) AS flags FROM x""")
+def crossover_kinds(spark, sf_dir):
+    """Kinds of crossovers, and which of their parents are not in their numbers."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    params = lambda *v: F.map_from_arrays(F.array(*[F.lit(f"p{i}") for i in range(len(v))]), F.array(*v))
+    claims = F.create_map(F.lit("a"), F.when(k % 5 == 0, "").otherwise("the SUM of it"), F.lit("b"), F.when(c % 4 == 0, " ").when(c % 4 == 1, "its shape").otherwise("its answer"))
+    parent = lambda i, family, answer, p: F.struct(F.lit(i).alias("id"), family.alias("family"), answer.alias("answer"), params(p).alias("params"))
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.struct((k % 3).alias("family"), params(c % 11, k % 13).alias("params"), claims.alias("claims")).alias("child"), F.array(parent("a", c % 3, F.when(c % 6 != 0, k % 13), c % 5), parent("b", (c + 1) % 3, c % 10, k % 6)).alias("parents"),
+        F.create_map(F.lit("a"), F.lit("base"), F.lit("b"), F.when(c % 2 == 0, "base").otherwise("bound")).alias("roles"), F.when(F.col("o_orderstatus") == "P", crossovers.SEQUENTIAL).otherwise("fusion").alias("how"), F.when(k % 7 == 0, "").otherwise("why").alias("why"),
+    )
+    child, parents = F.col("child"), F.col("parents")
+    found = rows.select("o_orderkey", crossovers.kind(child["claims"], F.col("roles"), F.col("how"), F.col("why")).alias("kind"), F.array_join(crossovers.indirect(child, parents), ",").alias("indirect"), crossovers.flags(child, parents, F.col("roles"), F.col("how"), F.col("why")).alias("flags"))
+    return found.withColumn("flags", F.array_join("flags", ","))
