@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import brackets, crossovers, spine, stats
+from quarry.functions import brackets, crossovers, spine, stats, traces
 from quarry.operators import fixpoint, partials, trees
 from quarry.operators.ranking import places
 from quarry.plans.queries import query
@@ -226,3 +226,34 @@ def crossover_kinds(spark, sf_dir):
     child, parents = F.col("child"), F.col("parents")
     found = rows.select("o_orderkey", crossovers.kind(child["claims"], F.col("roles"), F.col("how"), F.col("why")).alias("kind"), F.array_join(crossovers.indirect(child, parents), ",").alias("indirect"), crossovers.flags(child, parents, F.col("roles"), F.col("how"), F.col("why")).alias("flags"))
     return found.withColumn("flags", F.array_join("flags", ","))
+
+
+_TOLD = "CASE WHEN turn % 3 = 0 THEN 'unknown identifier ''x' || length(text) % 7 || chr(39) WHEN turn % 3 = 1 THEN '' ELSE 'Unknown constant `Nat.y' || turn || '` in x' END"
+
+
+@query(f"""WITH a AS (SELECT conv_id, list({_TOLD} ORDER BY turn) AS m, string_agg(text, chr(10) ORDER BY turn) AS code FROM conversations GROUP BY 1), f AS (SELECT *, list_filter(m, lambda x: x <> '') AS kept FROM a)
+SELECT conv_id, len(kept)::INT AS n_messages, array_to_string(list_sort(list_distinct(flatten(list_transform(kept, lambda x: regexp_extract_all(x, '[Uu]nknown (?:identifier|constant) [`''](.+)[`'']', 1))))), ',') AS names, sha256(left(code, 2000)) AS code, length(code) > 2000 AS cut FROM f""")
+def attempt_traces(spark, sf_dir):
+    """What the turns of a conversation are told of unknown names, and their code up to 2,000 characters."""
+    turn = F.col("turn")
+    message = F.when(turn % 3 == 0, F.concat(F.lit("unknown identifier 'x"), (F.length("text") % 7).cast("string"), F.lit("'"))).when(turn % 3 == 1, "").otherwise(F.concat(F.lit("Unknown constant `Nat.y"), turn.cast("string"), F.lit("` in x")))
+    item = F.struct("turn", message.alias("message"), "text")
+    runs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    odd = lambda want: F.filter("all", lambda x: (x["turn"] % 2 == 0) == want)
+    rows = runs.select("conv_id", odd(True).alias("attempts"), odd(False).alias("steps"), F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("code"))
+    found = rows.select("conv_id", traces.messages(F.col("attempts"), F.col("steps"), F.lit(None).cast("array<struct<message:string>>")).alias("m"), traces.trace(F.col("code"), 2_000).alias("t"))
+    return found.select("conv_id", F.size("m").alias("n_messages"), F.array_join(traces.unknown_names(F.col("m")), ",").alias("names"), F.sha2("t.code", 256).alias("code"), "t.cut")
+
+
+@query(r"""WITH r AS (SELECT *, p_partkey AS k, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS said FROM part)
+SELECT k AS p_partkey, concat_ws(' ', p_name, CASE WHEN k % 3 <> 0 THEN p_brand END, CASE WHEN k % 2 = 0 THEN 'f' || p_size || ' g' END, left('theorem  : ' || repeat('x = ' || k || ' ', 100), 400)) AS card,
+CASE WHEN k % 5 = 0 THEN 'by ' || p_size WHEN k % 5 < 3 THEN coalesce(said, '') ELSE 'by omega' END AS proof, 'theoremt(n:N):n=' || k AS bare FROM r""")
+def card_texts(spark, sf_dir):
+    """Texts for retrieval, proofs without their header, and statements without what is set around them."""
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    formal = F.concat(F.lit("theorem seed__mut "), F.lit(": "), F.repeat(F.concat(F.lit("x = "), text(k), F.lit(" ")), F.lit(100)))
+    card = traces.card_text(F.col("p_name"), F.when(k % 3 == 0, " ").otherwise(F.col("p_brand")), F.lit(None).cast("string"), F.when(k % 2 == 0, F.array(F.concat(F.lit("f"), text(F.col("p_size"))), F.lit("g"))), formal)
+    head = F.lit("import Mathlib\n")
+    proof = traces.proof_of(head, F.when(k % 5 == 0, F.concat(head, F.lit("\n by "), text(F.col("p_size")))), F.when(k % 5 < 3, F.when(k % 4 != 0, F.col("p_type"))).otherwise(F.lit(" by omega ")), F.lit(None).cast("string"))
+    stated = F.concat(F.lit("theorem  t (n : N) -- a := b\n : /- no\n -/ n = "), text(k), F.lit(" := by simp"))
+    return table(spark, sf_dir, "part").select("p_partkey", card.alias("card"), proof.alias("proof"), traces.bare_statement(stated).alias("bare"))
