@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from quarry.functions.parse import without_comments
 from quarry.functions.spine import let
 
 #: Types whose binders bring a value and no assumption, by the word that they begin with.
@@ -15,6 +16,8 @@ CONTAINERS = ("Type", "Sort", "Prop", "Set", "Finset", "Multiset", "List", "Fin"
 DATA = rf"^(?:(?:{'|'.join(NUMBERS)})(?![\w.])|(?:{'|'.join(CONTAINERS)})\b|[A-Za-z_][A-Za-z0-9_']*\s*→|[A-Za-zΑ-Ωα-ω_][A-Za-z0-9Α-Ωα-ω_']*\s*\*?$)"
 #: What a type has that makes its binder a hypothesis in comparisons of a parent and a child.
 RELATIONS = ("=", "≤", "<", "≥", ">", "≠", "∣", "∈", "⊆", "∧", "∨", "→", "¬", "≡", "Prime", "Odd", "Even", "Nonempty", "Fintype.card")
+#: What makes a binder's type a proposition.
+PROPOSITION = "[=<>≤≥≠∣∧∨¬→↔∀∃]"
 PARTS = "binders array<struct<names:array<string>,type:string,open:string,start:int,end:int>>, head string, goal string"
 
 _OPEN, _CLOSE = "([{⟨", ")]}⟩"
@@ -96,16 +99,33 @@ def unconditional(found: Column) -> Column:
     return (F.size(assumptions(found["binders"])) == 0) & (found["goal"] != "") & ~outer.contains("→")
 
 
-def without(statement: Column, found: Column, names: Column) -> Column:
-    """The statement as a probe without the binders of these names (array)."""
-    gone = F.filter(found["binders"], lambda b: F.arrays_overlap(b["names"], names))
+def _cut(statement: Column, gone: Column) -> Column:
+    """The statement without these binders."""
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(gone, begin, lambda s, b: F.struct(b["end"].alias("at"), F.concat(s["out"], F.substring(statement, s["at"] + 1, b["start"] - s["at"])).alias("out")))
-    rest = F.concat(cut["out"], F.substring(statement, cut["at"] + 1, F.length(statement)))
+    return F.concat(cut["out"], F.substring(statement, cut["at"] + 1, F.length(statement)))
+
+
+def without(statement: Column, found: Column, names: Column) -> Column:
+    """The statement as a probe without the binders of these names (array)."""
+    rest = _cut(statement, F.filter(found["binders"], lambda b: F.arrays_overlap(b["names"], names)))
     title = F.regexp_replace(rest, r"^\s*(?:theorem|lemma|example)(?:\s+[^\s({\[:]\S*)?", "")
     return F.concat(F.lit("theorem _probe "), F.trim(F.regexp_replace(F.regexp_replace(title, r"(?s):=\s*(by)?\s*$", ""), r"\s+", " ")))
 
 
+def propositions(found: Column) -> Column:
+    """array of (names, type) of binders whose type is a proposition, without brackets around the whole type."""
+    some = F.filter(found["binders"], lambda b: b["type"].rlike(PROPOSITION))
+    return F.transform(some, lambda b: F.struct(b["names"].alias("names"), F.regexp_replace(b["type"], r"^\(([^()]*)\)$", "$1").alias("type")))
+
+
+def unmentioned(statement: Column, found: Column, code: Column) -> Column:
+    """Names of hypotheses that the rest of the statement and the proof never mention: they may be idle."""
+    rest = F.substring_index(_cut(statement, found["binders"]), ":=", 1)
+    words = F.regexp_extract_all(F.concat_ws(" ", rest, without_comments(code)), F.lit(r"[A-Za-z_][A-Za-z0-9_']*"), F.lit(0))
+    return F.array_except(F.flatten(F.transform(propositions(found), lambda b: b["names"])), words)
+
+
 def normal_type(kind: Column) -> Column:
     """A type without brackets around single names or numbers, at any depth, and without white space."""
     once = lambda t: F.regexp_replace(t, r"\((\s*(?:[A-Za-z_][A-Za-z0-9_'!?₀-₉]*|#\d+#|\d+)\s*)\)", "$1")

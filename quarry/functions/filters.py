@@ -34,7 +34,7 @@ def has_candidates(kind: Column, steps: Column) -> Column:
 
 
 def has_system_error(tree: Column) -> Column:
-    """A JSON tree with a `system_error` anywhere that is not null, false, 0 or empty."""
+    """A JSON tree whose text has a `system_error` that is plainly not null, false, 0 or empty: a quick test inside the row. operators.trees walks the tree, and decides."""
     return F.coalesce(tree.rlike(r'"system_error"\s*:\s*(true|[1-9]|-|"[^"]|\{\s*"|\[\s*[^\]\s])'), F.lit(False))
 
 

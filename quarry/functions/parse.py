@@ -7,11 +7,6 @@ from operator import or_
 
 from pyspark.sql import Column, functions as F
 
-#: A binder in round, curly or square brackets: names, colon, type with brackets up to two deep.
-_NESTED = r"(?:[^(){}\[\]]|\((?:[^()]|\([^()]*\))*\))*"
-BINDER = rf"[({{\[]\s*([^(){{}}\[\]:]+?)\s*:\s*({_NESTED})\s*[)}}\]]"
-#: What makes a binder's type a proposition.
-PROPOSITION = "[=<>≤≥≠∣∧∨¬→↔∀∃]"
 #: Tactics that are known by their first word.
 TACTICS = ("simp", "omega", "norm_num", "linarith", "nlinarith", "ring", "exact", "rw", "intro", "apply", "decide", "native_decide", "cases", "induction", "use", "constructor")
 #: Axioms that a proof may use.
@@ -38,30 +33,6 @@ def without_comments(code: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(_text(code), r"(?s)/-.*?-/", ""), r"--[^\n]*", "")
 
 
-def head_of(statement: Column) -> Column:
-    """A statement before its proof."""
-    return F.substring_index(_text(statement), ":=", 1)
-
-
-def binders(statement: Column) -> Column:
-    """array of (names, type) of a statement's binders, in order."""
-    head = head_of(statement)
-    return F.transform(F.arrays_zip(all_of(head, BINDER, 1).alias("names"), all_of(head, BINDER, 2).alias("type")), lambda b: F.struct(b["names"].alias("names"), F.regexp_replace(F.trim(b["type"]), r"\s+", " ").alias("type")))
-
-
-def hypotheses(statement: Column) -> Column:
-    """Binders whose type is a proposition, without brackets around the whole type."""
-    bare = lambda t: F.regexp_replace(t, r"^\(([^()]*)\)$", "$1")
-    return F.transform(F.filter(binders(statement), lambda b: b["type"].rlike(PROPOSITION)), lambda b: F.struct(b["names"].alias("names"), bare(b["type"]).alias("type")))
-
-
-def unmentioned(statement: Column, code: Column) -> Column:
-    """Names of hypotheses that the rest of the statement and the proof never mention: they may be idle."""
-    names = F.flatten(F.transform(hypotheses(statement), lambda b: F.split(b["names"], r"\s+")))
-    words = all_of(F.concat_ws(" ", F.regexp_replace(head_of(statement), BINDER, " "), without_comments(code)), r"[A-Za-z_][A-Za-z0-9_']*")
-    return F.array_except(names, words)
-
-
 def tactics(code: Column) -> Column:
     """Known tactics that begin a line of a proof, in order, once each."""
     heads = F.transform(F.split(without_comments(code), r"\n|;|<;>"), lambda line: F.regexp_extract(line, r"^[\s·]*(?:by\s+)?([a-z_]+)", 1))

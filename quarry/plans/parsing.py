@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import parse
+from quarry.functions import brackets, parse
 from quarry.plans.queries import query
 from quarry.plans.views import table
 
@@ -53,18 +53,22 @@ def _parts(spark, sf_dir):
 
 
 _Q = lambda p: "'" + p.replace("'", "''") + "'"
+#: For SQL: a binder whose type has brackets up to two deep, as these templates have.
+_NESTED = r"(?:[^(){}\[\]]|\((?:[^()]|\([^()]*\))*\))*"
+_BINDER = rf"[({{\[]\s*([^(){{}}\[\]:]+?)\s*:\s*({_NESTED})\s*[)}}\]]"
 _BARE = r"regexp_replace(regexp_replace({x}, '(?s)/-.*?-/', '', 'g'), '--[^\n]*', '', 'g')"
 
 
 @query(rf"""WITH s AS (SELECT p_partkey, split_part({_sql(_STATEMENTS)}, ':=', 1) AS h, {_BARE.format(x=_sql(_PROOFS))} AS c FROM part),
-b AS (SELECT *, list_zip(regexp_extract_all(h, {_Q(parse.BINDER)}, 1), list_transform(regexp_extract_all(h, {_Q(parse.BINDER)}, 2), lambda t: regexp_replace(trim(t), '\s+', ' ', 'g'))) AS b FROM s),
-y AS (SELECT *, list_filter(b, lambda z: regexp_matches(z[2], {_Q(parse.PROPOSITION)})) AS hyp, regexp_extract_all(concat_ws(' ', regexp_replace(h, {_Q(parse.BINDER)}, ' ', 'g'), c), '[A-Za-z_][A-Za-z0-9_'']*') AS w FROM b)
+b AS (SELECT *, list_zip(regexp_extract_all(h, {_Q(_BINDER)}, 1), list_transform(regexp_extract_all(h, {_Q(_BINDER)}, 2), lambda t: regexp_replace(trim(t), '\s+', ' ', 'g'))) AS b FROM s),
+y AS (SELECT *, list_filter(b, lambda z: regexp_matches(z[2], {_Q(brackets.PROPOSITION)})) AS hyp, regexp_extract_all(concat_ws(' ', regexp_replace(h, {_Q(_BINDER)}, ' ', 'g'), c), '[A-Za-z_][A-Za-z0-9_'']*') AS w FROM b)
 SELECT p_partkey, array_to_string(list_transform(b, lambda z: z[1] || ' : ' || z[2]), '; ') AS binders, array_to_string(list_transform(hyp, lambda z: z[1] || ' : ' || regexp_replace(z[2], '^\(([^()]*)\)$', '\1')), '; ') AS hypotheses,
 array_to_string(list_filter(flatten(list_transform(hyp, lambda z: string_split_regex(z[1], '\s+'))), lambda n: NOT list_contains(w, n)), ',') AS idle FROM y""")
 def statement_binders(spark, sf_dir):
-    shown = lambda c: F.array_join(F.transform(c, lambda b: F.concat(b["names"], F.lit(" : "), b["type"])), "; ")
-    s, c = _filled(_STATEMENTS), _filled(_PROOFS)
-    return _parts(spark, sf_dir).select("p_partkey", shown(parse.binders(s)).alias("binders"), shown(parse.hypotheses(s)).alias("hypotheses"), F.array_join(parse.unmentioned(s, c), ",").alias("idle"))
+    shown = lambda c: F.array_join(F.transform(c, lambda b: F.concat(F.array_join(b["names"], " "), F.lit(" : "), b["type"])), "; ")
+    rows = _parts(spark, sf_dir).select("p_partkey", _filled(_STATEMENTS).alias("s"), _filled(_PROOFS).alias("c")).withColumn("x", brackets.parts("s"))
+    idle = brackets.unmentioned(F.col("s"), F.col("x"), F.col("c"))
+    return rows.select("p_partkey", shown(F.col("x.binders")).alias("binders"), shown(brackets.propositions(F.col("x"))).alias("hypotheses"), F.array_join(idle, ",").alias("idle"))
 
 
 _LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
