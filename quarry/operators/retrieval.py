@@ -70,6 +70,12 @@ def _near_block(cards: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int)
     return cards.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "query long, card long, sim double, vec array<double>")
 
 
+def _kept(sets: DataFrame) -> DataFrame:
+    """sets as a table, as they are read several times and what makes them may be dear; few large pieces are dealt out to all cores."""
+    cores = sets.sparkSession.sparkContext.defaultParallelism
+    return stored(sets.repartition(cores) if sets.rdd.getNumPartitions() < cores else sets)
+
+
 def _rare_first(queries: DataFrame, cards: DataFrame) -> DataFrame:
     """card, nc, tokens (from the one that the fewest queries have on), found (how many queries have the first 1, 2, ... tokens, counted with repeats)."""
     spread = queries.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -101,6 +107,7 @@ def _enough(least: Column) -> Column:
 
 def token_pairs(queries: DataFrame, cards: DataFrame, least: float) -> DataFrame:
     """query, card, shared, score of all pairs with a Jaccard similarity of `least` (above 0) or more. Both: id, tokens (distinct). A card's most common tokens are not looked up, as none can do without a rarer one."""
+    queries, cards = _kept(queries), _kept(cards)
     first = _rare_first(queries, cards).withColumn("n_first", _enough(F.lit(least)))
     return _verified(queries, cards, first, F.lit(least))
 
@@ -115,6 +122,7 @@ def token_topk(queries: DataFrame, cards: DataFrame, k: int) -> DataFrame:
     The queries that a card's rarest tokens find give a bound: the k-th best of them. All that can reach it share a token that is not among
     the card's most common ones, and those alone are looked up.
     """
+    queries, cards = _kept(queries), _kept(cards)
     ranked = stored(_rare_first(queries, cards))
     sounded = ranked.withColumn("n_first", F.greatest(F.lit(1), F.size(F.filter("found", lambda n: n <= SOUNDED))))
     bound = top_k(_verified(queries, cards, sounded, F.lit(0.0)), "card", k, F.desc("score"), F.asc("query")).groupBy("card").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
