@@ -6,6 +6,18 @@ from pyspark.sql import Column, functions as F
 
 #: Fixed value: what parts the root ids in a lineage id.
 CROSS = "__x__"
+#: Letters whose capitals are several letters, or are in no Unicode before 16.
+_LIGATURES = [c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1]
+_LATE = [*"\u019b\u0264\u1c8a\ua7cd\ua7db", *map(chr, range(0x10D70, 0x10D86))]
+
+
+def capitals(text: Column) -> Column:
+    """text with each letter in its own capital, which is one letter: ß gives ẞ and not SS, and letters without such a capital stay. F.upper writes several letters for them."""
+    odd = _LIGATURES + _LATE
+    one = {"ß": "ẞ"} | {c: c.title() for c in _LIGATURES if len(c.title()) == 1}
+    each = F.regexp_extract_all(text, F.lit(f"[{''.join(odd)}]+|[^{''.join(odd)}]+"), F.lit(0))
+    upper = F.transform(each, lambda t: F.when(t.rlike(f"^[{''.join(odd)}]"), F.translate(t, "".join(one), "".join(one.values()))).otherwise(F.upper(t)))
+    return F.when(text.rlike(f"[{''.join(odd)}]"), F.array_join(upper, "")).otherwise(F.upper(text))
 
 
 def collapse(text: Column) -> Column:

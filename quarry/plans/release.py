@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.text import capitals
 from quarry.operators import exams, record, release
 from quarry.plans.queries import query
 from quarry.plans.views import table
@@ -168,7 +169,7 @@ def release_records(spark, sf_dir):
     evidence = {
         "prune": ids.where(k % 5 == 0).select(k, F.concat(F.lit("pruned "), k.cast("string")), F.lit("by simp"), F.array(F.lit("h1"), F.concat(F.lit("h"), k.cast("string")))), "dead": ids.where(k % 13 == 0).select(k, F.array(F.lit("h9"))),
         "comparator": ids.where(k % 3 == 1).select(k, F.lit(True)), "replays": ids.where(k % 2 == 0).select(k, k % 6 == 2), "roundtrip": ids.where(k % 4 != 0).select(k, when(k % 10 != 0, k % 9 != 0), F.array(F.lit("a"), F.lit("b")), F.lit("as said")),
-        "redundancy": ids.where(k % 6 == 0).select(k, F.lit(True), names(k % 18 == 0, "h2", "h3"), names(F.lit(False)), F.lit("")), "rewrites": docs.where(k % 8 == 0).select(k, k % 3 == 0, F.upper("text")), "exclusions": ids.where(k % 23 == 0).select(k, F.lit("by hand")),
+        "redundancy": ids.where(k % 6 == 0).select(k, F.lit(True), names(k % 18 == 0, "h2", "h3"), names(F.lit(False)), F.lit("")), "rewrites": docs.where(k % 8 == 0).select(k, k % 3 == 0, capitals(F.col("text"))), "exclusions": ids.where(k % 23 == 0).select(k, F.lit("by hand")),
     }
     own = docs.select(
         "doc_id", F.col("text").alias("statement"), F.concat(F.lit("formal "), k.cast("string")).alias("formal"), F.lit("by omega").alias("code"), when(F.col("lang") == "de", "mutation_silent").otherwise("mutation").alias("variant"),

@@ -247,3 +247,9 @@ def test_frozen_cells(spark):
     for lost in (before, before.where("k = 3")):
         with pytest.raises(ValueError, match="frozen"):
             files.unchanged(lost, after, "k", ["v"]) and files.unchanged(lost, after.where("k < 4"), "k", ["v"])
+
+
+def test_capitals_are_one_letter_each(spark):
+    said = [("straße ä", "STRAẞE Ä"), ("ᾳ ﬁ ŉ ΐx", "ᾼ ﬁ ŉ ΐX"), ("ᾼßß", "ᾼẞẞ"), ("plain é", "PLAIN É"), ("", ""), (None, None)]
+    got = spark.createDataFrame(said, "a string, b string").select(tx.capitals(F.col("a")).alias("x"), "b").collect()
+    assert [r.x for r in got] == [r.b for r in got]
