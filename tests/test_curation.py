@@ -83,6 +83,15 @@ def test_number_families_against_plain_arithmetic(spark):
         assert (r.d, r.c) == (pow(r.b, r.a, 10), math.comb(r.b, 3))
 
 
+def test_large_numbers_are_factored(spark):
+    """Squares and products of primes over 2 ** 31, a sum of divisors that does not fit bigint, and numbers that are none."""
+    q = 2147483647
+    said = [(q * q, 3, 1, 1 + q + q * q), (1000003 * 1000033, 4, 2, 1000004 * 1000034), (2**62, 63, 1, 2**63 - 1), (2**63 - 1, 96, 6, None), (1, 1, 0, 1), (0, 0, 0, 0), (-4, None, None, None), (None, None, None, None)]
+    x = F.col("n")
+    got = spark.createDataFrame([(r[0],) for r in said], "n long").select("n", families.n_divisors(x), families.n_primes(x), families.divisor_sum(x)).collect()
+    assert [tuple(r) for r in got] == said
+
+
 @pytest.mark.parametrize(("text", "want"), [("answer is 3, so is 5", 5), ("\\boxed{7} from 2", 7), ("first 1 then -4", -4), ("none", None), (None, None)])
 def test_claimed_answer(spark, text, want):
     assert spark.range(1).select(families.claimed_answer(F.lit(text).cast("string")).alias("x")).first().x == want
