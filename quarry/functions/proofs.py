@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from quarry.functions.spine import let
 from quarry.functions.text import strip_comments
 
 #: Tests of a goal, first one that holds; a goal that meets none is `other`.
@@ -50,21 +51,20 @@ def _cases(pairs: list[tuple[Column, str]], default: str) -> Column:
 def goal_of(statement: Column) -> Column:
     """What follows the first colon outside all brackets; the whole statement without one."""
     body = _rstrip(F.regexp_replace(_strip(statement), r":=\s*by\s*$", ""))
-    chars = F.split(body, "")
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(0).alias("at"))
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("depth"), F.lit(0).alias("at"))
 
     def step(s: Column, c: Column) -> Column:
-        here = (s["at"] == 0) & (s["depth"] == 0) & (c == ":") & (_text(F.get(chars, s["i"] + 1)) != "=")
+        here = (s["at"] == 0) & (s["depth"] == 0) & (c == ":")
         turn = F.when(c.isin(*"([{⟨"), 1).when(c.isin(*")]}⟩"), -1).otherwise(0)
-        return F.struct((s["i"] + 1).alias("i"), (s["depth"] + turn).alias("depth"), F.when(here, s["i"] + 1).otherwise(s["at"]).alias("at"))
+        return F.struct((s["end"] + F.length(c)).alias("end"), (s["depth"] + turn).alias("depth"), F.when(here, s["end"] + 1).otherwise(s["at"]).alias("at"))
 
-    at = F.aggregate(chars, start, step)["at"]
-    return F.when(at > 0, _strip(F.substr(body, at + 1))).otherwise(body)
+    pieces = lambda text: F.regexp_extract_all(text, F.lit(r":=|[:(\[{⟨)\]}⟩]|[^:(\[{⟨)\]}⟩]+"), F.lit(0))
+    after = lambda text: F.aggregate(pieces(text), start, step, lambda s: F.when(s["at"] > 0, _strip(F.substr(text, s["at"] + 1))).otherwise(text))
+    return let(body, after)
 
 
 def goal_shape(statement: Column) -> Column:
-    goal = goal_of(statement)
-    return _cases([(goal.rlike(pattern), label) for label, pattern in SHAPES], "other")
+    return let(goal_of(statement), lambda goal: _cases([(goal.rlike(pattern), label) for label, pattern in SHAPES], "other"))
 
 
 def hypothesis_bucket(statement: Column) -> Column:
