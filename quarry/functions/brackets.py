@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from quarry.functions.parse import without_comments
@@ -20,7 +20,10 @@ RELATIONS = ("=", "≤", "<", "≥", ">", "≠", "∣", "∈", "⊆", "∧", "
 PROPOSITION = "[=<>≤≥≠∣∧∨¬→↔∀∃]"
 PARTS = "binders array<struct<names:array<string>,type:string,open:string,start:int,end:int>>, head string, goal string"
 
-_OPEN, _CLOSE = "([{⟨", ")]}⟩"
+_OPEN, _CLOSES = "([{⟨", dict(zip("([{⟨", ")]}⟩", strict=True))
+_BRACKET, _MARK = re.compile(r"[(\[{⟨)\]}⟩]"), re.compile(r"[(\[{⟨]|:=?")
+_BINDER = pa.struct([("names", pa.list_(pa.string())), ("type", pa.string()), ("open", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+_PARTS = pa.struct([("binders", pa.list_(_BINDER)), ("head", pa.string()), ("goal", pa.string())])
 _NAME = re.compile(r"(?:[^\W\d]|_)[\w'!?₀-₉⁰-ⁿ]*|#\d+#")
 _TITLE = re.compile(r"\s*(?:theorem|lemma|example)(?:\s+[^\s({\[:]\S*)?")
 
@@ -28,34 +31,35 @@ _TITLE = re.compile(r"\s*(?:theorem|lemma|example)(?:\s+[^\s({\[:]\S*)?")
 def _pairs(text: str) -> dict[int, int]:
     """The place of its closing bracket for each opening one that has one."""
     stack, found = [], {}
-    for i, c in enumerate(text):
+    for m in _BRACKET.finditer(text):
+        i, c = m.start(), m.group()
         if c in _OPEN:
             stack.append(i)
-        elif c in _CLOSE and stack and _OPEN.index(text[stack[-1]]) == _CLOSE.index(c):
+        elif stack and _CLOSES[text[stack[-1]]] == c:
             found[stack.pop()] = i
     return found
 
 
-def _parts(statement: str | None) -> tuple[list[dict], str, str]:
+def _parts(statement: str | None) -> tuple[list[tuple], str, str]:
     text = statement or ""
     title = _TITLE.match(text)
     begin = title.end() if title else 0
     pairs, binders = _pairs(text), []
     at, colon, end = begin, None, len(text)
-    while at < len(text):
+    while m := _MARK.search(text, at):
+        at, mark = m.start(), m.group()
         if at in pairs:
             close = pairs[at]
-            if colon is None and text[at] in "({[":
+            if colon is None and mark in "({[":
                 names, sep, kind = text[at + 1 : close].partition(":")
                 names = names.split()
                 if sep and names and not kind.startswith("=") and all(map(_NAME.fullmatch, names)):
-                    kind, _, _ = _outside(kind)
-                    binders.append({"names": names, "type": " ".join(kind.split()), "open": text[at], "start": at, "end": close + 1})
+                    binders.append((names, " ".join(_outside(kind)[0].split()), mark, at, close + 1))
             at = close
-        elif text.startswith(":=", at):
+        elif mark == ":=":
             end = at
             break
-        elif text[at] == ":" and colon is None:
+        elif mark == ":" and colon is None:
             colon = at
         at += 1
     head_end = end if colon is None else colon
@@ -64,9 +68,12 @@ def _parts(statement: str | None) -> tuple[list[dict], str, str]:
 
 def _outside(kind: str) -> tuple[str, str, str]:
     """A type before, and its default value after, a `:=` that is in no bracket."""
+    if ":=" not in kind:
+        return kind, "", ""
     pairs, at = _pairs(kind), 0
-    while at < len(kind):
-        if kind.startswith(":=", at):
+    while m := _MARK.search(kind, at):
+        at = m.start()
+        if m.group() == ":=":
             return kind[:at], ":=", kind[at + 2 :]
         at = pairs.get(at, at) + 1
     return kind, "", ""
@@ -75,9 +82,9 @@ def _outside(kind: str) -> tuple[str, str, str]:
 def parts(statement: Column | str) -> Column:
     """binders (with their places in code points, ends exclusive), head (all before the goal) and goal of a statement. A default value is no part of a binder's type; null is the empty statement."""
 
-    @F.pandas_udf(PARTS)
-    def run(statements: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(map(_parts, statements), columns=["binders", "head", "goal"])
+    @F.arrow_udf(PARTS)
+    def run(statements: pa.Array) -> pa.Array:
+        return pa.array(map(_parts, statements.to_pylist()), _PARTS)
 
     return run(statement)
 
@@ -102,13 +109,13 @@ def unconditional(found: Column) -> Column:
 def _cut(statement: Column, gone: Column) -> Column:
     """The statement without these binders."""
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(gone, begin, lambda s, b: F.struct(b["end"].alias("at"), F.concat(s["out"], F.substring(statement, s["at"] + 1, b["start"] - s["at"])).alias("out")))
-    return F.concat(cut["out"], F.substring(statement, cut["at"] + 1, F.length(statement)))
+    cut = lambda s, b: F.struct(b["end"].alias("at"), F.concat(s["out"], F.substring(statement, s["at"] + 1, b["start"] - s["at"])).alias("out"))
+    return F.aggregate(gone, begin, cut, lambda s: F.concat(s["out"], F.substring(statement, s["at"] + 1, F.length(statement))))
 
 
 def without(statement: Column, found: Column, names: Column) -> Column:
     """The statement as a probe without the binders of these names (array)."""
-    rest = _cut(statement, F.filter(found["binders"], lambda b: F.arrays_overlap(b["names"], names)))
+    rest = _cut(statement, let(names, lambda gone: F.filter(found["binders"], lambda b: F.arrays_overlap(b["names"], gone))))
     title = F.regexp_replace(rest, r"^\s*(?:theorem|lemma|example)(?:\s+[^\s({\[:]\S*)?", "")
     return F.concat(F.lit("theorem _probe "), F.trim(F.regexp_replace(F.regexp_replace(title, r"(?s):=\s*(by)?\s*$", ""), r"\s+", " ")))
 
@@ -135,8 +142,7 @@ def normal_type(kind: Column) -> Column:
 
 def hypotheses(found: Column) -> Column:
     """array of (name, type): each name of a binder whose type has one of RELATIONS, with the normal type; a name that is bound again counts with its last type."""
-    relation = lambda t: F.exists(F.array(*map(F.lit, RELATIONS)), lambda r: F.contains(t, r))
-    some = F.filter(found["binders"], lambda b: relation(b["type"]) & b["open"].isin("(", "{"))
+    some = F.filter(found["binders"], lambda b: b["type"].rlike("|".join(map(re.escape, RELATIONS))) & b["open"].isin("(", "{"))
     each = F.flatten(F.transform(some, lambda b: F.transform(b["names"], lambda n: F.struct(n.alias("name"), normal_type(b["type"]).alias("type")))))
     return let(each, lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda y: y["name"] == x["name"])))
 
@@ -144,4 +150,5 @@ def hypotheses(found: Column) -> Column:
 def changed(parent: Column, child: Column) -> Column:
     """dropped and added hypotheses (`name : type`) of a child against its parent, by type; repeated ones each count."""
     said = lambda a, b: F.transform(F.filter(a, lambda x: ~F.exists(b, lambda y: y["type"] == x["type"])), lambda x: F.concat_ws(" : ", x["name"], x["type"]))
-    return F.struct(said(parent, child).alias("dropped"), said(child, parent).alias("added"))
+    both = F.struct(parent.alias("parent"), child.alias("child"))
+    return let(both, lambda x: F.struct(said(x["parent"], x["child"]).alias("dropped"), said(x["child"], x["parent"]).alias("added")))
