@@ -65,6 +65,16 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert len(got) == n and all(got[i] == ((i - 7) // 2500 * 2500 + 7 if i >= 7 else None, (i - 7) % 2500 if i >= 7 else None, False) for i in range(n))
 
 
+def test_searches_end_at_their_marks(spark, monkeypatch):
+    """A chain of 10,000 with a mark in four, and a cycle that has them: what lies above the marks is not looked at."""
+    kept, rounds = fixpoint.stored, []
+    monkeypatch.setattr(fixpoint, "stored", lambda df: rounds.append(1) or kept(df))
+    rows = spark.range(10_000).select("id", (F.when(F.col("id") == 0, 3).otherwise(F.col("id") - 1)).alias("up"))
+    got = {r.id: (r.a, r.b, r.steps_a, r.cycle) for r in fixpoint.nearest(rows, "id", "up", a=F.col("id") % 4 == 1, b=F.col("id") % 4 == 2).collect()}
+    at = lambda i, r: next(j for j in (i, i - 1, i - 2, i - 3) if j % 4 == r) % (4 if i < 4 else 10_000)
+    assert len(rounds) <= 4 and got == {i: (at(i, 1), at(i, 2), (i - 1) % 4, False) for i in range(10_000)}
+
+
 def test_cycles_are_told(spark):
     rows = spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 5), (5, 3), (6, 5), (7, 7), (8, 99)], "id long, up long")
     got = {r.id: (r.m, r.cycle) for r in fixpoint.nearest(rows, "id", "up", m=F.col("id") == 1).collect()}
