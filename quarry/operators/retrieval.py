@@ -30,8 +30,9 @@ BLOCK = 10_000
 def vector_topk(queries: DataFrame, cards: DataFrame, k: int) -> DataFrame:
     """query, card, sim, vec, rank: of every query (id, vec) its k nearest cards (id, vec) by cosine, itself left out.
 
-    All cards are compared. Queries go out in blocks of about BLOCK, and each task keeps the k best of its own cards for each
-    query, so what is shuffled are candidates and not pairs. Vectors have one length; one without length has cosine 0.
+    All cards are compared. Queries go out in blocks of about BLOCK, and each task keeps the k best of all its own cards for each
+    query, without their vectors, so its memory does not grow with the cards, and what is shuffled are candidates and not pairs.
+    Ids are unique. Vectors have one length; one without length has cosine 0.
     """
     blocks = queries.count() // BLOCK + 1
     out = None
@@ -43,7 +44,8 @@ def vector_topk(queries: DataFrame, cards: DataFrame, k: int) -> DataFrame:
         out = near if out is None else out.unionByName(near)
     if out is None:
         out = _near_block(cards.limit(0), np.zeros(0, np.int64), np.zeros((0, 1)), k)
-    return top_k(out, "query", k, F.desc("sim"), F.asc("card"))
+    best = top_k(out, "query", k, F.desc("sim"), F.asc("card"))
+    return best.join(cards.select(F.col("id").alias("card"), F.col("vec").cast("array<double>").alias("vec")), "card").select("query", "card", "sim", "vec", "rank")
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -56,18 +58,20 @@ def _near_block(cards: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = shared.value
+        sims, cards = np.full((len(ids), k), -2.0), np.full((len(ids), k), np.iinfo(np.int64).max)
         for part in (b.slice(i, 1_000) for b in batches for i in range(0, b.num_rows, 1_000)):
             card, found = part.column("id").to_numpy(), _unit(np.array(part.column("vec").to_pylist(), np.float64))
             for a in range(0, len(ids), 1_000):
                 sim = np.round(vectors[a : a + 1_000] @ found.T, 9)
                 sim[ids[a : a + 1_000, None] == card[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(card, sim.shape), -sim))[:, :k]
-                row = np.repeat(np.arange(len(sim)), order.shape[1])
-                value, at = sim[row, order.ravel()], order.ravel()
-                keep = value > -2
-                yield pa.record_batch({"query": pa.array(ids[a : a + 1_000][row[keep]]), "card": pa.array(card[at[keep]]), "sim": pa.array(value[keep]), "vec": part.column("vec").take(pa.array(at[keep]))})
-
-    return cards.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "query long, card long, sim double, vec array<double>")
+                at = a + np.flatnonzero((sim >= sims[a : a + 1_000, -1:]).any(1))
+                both = np.hstack([sims[at], sim[at - a]]), np.hstack([cards[at], np.broadcast_to(card, (len(at), len(card)))])
+                order = np.lexsort((both[1], -both[0]))[:, :k]
+                sims[at], cards[at] = (np.take_along_axis(x, order, 1) for x in both)
+        row, place = np.nonzero(sims > -2)
+        yield pa.record_batch({"query": pa.array(ids[row]), "card": pa.array(cards[row, place]), "sim": pa.array(sims[row, place])})
+
+    return cards.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "query long, card long, sim double")
 
 
 def _kept(sets: DataFrame) -> DataFrame:
