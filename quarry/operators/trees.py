@@ -1,37 +1,56 @@
-"""Trees of JSON, walked level by level as rows of variants."""
+"""Trees of JSON."""
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.operators.fixpoint import stored
 
-#: JSON that counts as nothing, besides numbers of value 0.
-NOTHING = ("null", "false", '""', "[]", "{}")
+def _once(pairs: list[tuple]) -> dict:
+    fields = dict(pairs)
+    if len(fields) < len(pairs):
+        raise ValueError("a field comes twice")
+    return fields
+
+
+def _no_number(text: str) -> None:
+    raise ValueError(text)
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_once, parse_constant=_no_number)
+
+
+def _has(text: str | None, name: str) -> bool:
+    """If a field of this name has a value that is not null, false, 0 or empty. A list with an empty list in it is not empty."""
+    try:
+        todo = [_DECODER.raw_decode((text or "").lstrip(" \t\n\r"))[0]]
+    except (ValueError, RecursionError):
+        return False
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict):
+            if node.get(name):
+                return True
+            todo.extend(node.values())
+        elif isinstance(node, list):
+            todo.extend(node)
+    return False
+
 
+def has_content(tree: Column, name: str) -> Column:
+    @F.arrow_udf("boolean")
+    def run(trees: pa.Array) -> pa.Array:
+        return pa.array([_has(t, name) for t in trees.to_pylist()], pa.bool_())
 
-def says_something(value: Column) -> Column:
-    """A variant that is not null, false, 0 or empty. A list with an empty list in it is not empty."""
-    text = F.to_json(value)
-    number = ~F.substring(text, 1, 1).isin('"', "[", "{") & F.coalesce(F.try_variant_get(value, "$", "double") == 0, F.lit(False))
-    return ~F.coalesce(text.isin(*NOTHING) | number, F.lit(True))
+    return run(tree)
 
 
 def names_with_content(rows: DataFrame, key: str, tree: str, name: str) -> DataFrame:
-    """key, found: if the tree (JSON text) of a row has a field of this name that says something, at any depth. Text that is no JSON has none.
+    """key, found: if the tree (JSON text) of a row has a field of this name that says something, at any depth. Text that is no JSON, or has a field twice, has none.
 
-    Every round takes all containers of one level apart, until none is left; trees whose text lacks the name are not walked.
+    Each tree is walked inside its row, so that nothing is shuffled; trees whose text lacks the name are not walked.
     """
-    spark = rows.sparkSession
     may = F.contains(F.col(tree), F.lit(f'"{name}"')) | F.contains(F.col(tree), F.lit("\\u"))
-    now = stored(rows.where(may).select(F.col(key).alias("k"), F.try_parse_json(tree).alias("v")).where("v is not null"))
-    hits = None
-    while not now.isEmpty():
-        parts = now.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("field"), F.col("value").alias("inner")))
-        parts = stored(parts.select("k", "field", F.col("inner").alias("v")))
-        found = parts.where((F.col("field") == name) & says_something(F.col("v"))).select("k")
-        hits = found if hits is None else hits.unionByName(found)
-        now = parts.where(F.substring(F.to_json("v"), 1, 1).isin("[", "{")).select("k", "v")
-    if hits is None:
-        return rows.select(key, F.lit(False).alias("found"))
-    return rows.join(hits.distinct().withColumnRenamed("k", key).withColumn("__hit", F.lit(True)), key, "left").select(key, F.col("__hit").isNotNull().alias("found"))
+    return rows.select(key, F.coalesce(has_content(F.when(may, F.col(tree)), name), F.lit(False)).alias("found"))
