@@ -47,7 +47,9 @@ def reach(graph: Column) -> Column:
     """
     start = F.map_from_entries(F.transform(graph, lambda x: F.struct(x["name"], F.array_union(F.array(x["name"]), x["uses"]))))
     further = lambda m, _: F.transform_values(m, lambda k, names: F.array_distinct(F.flatten(F.transform(names, lambda n: F.element_at(m, n)))))
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(graph) + 1)).cast("int"))
+    # stretches of 1 to begin with, and of size - 1 at most
+    n = F.ceil(F.log2(F.greatest(F.size(graph) - 1, F.lit(1)))).cast("int")
+    rounds = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(rounds, start, further)
 
 
@@ -70,12 +72,13 @@ def owners(graph: Column, parents: Column) -> Column:
     A step that states a parent's conclusion is that parent's, by the order of the parents; one that cites a library name of only one parent is that one's. Others have none.
     """
 
-    def owner(x: Column) -> Column:
+    def owner(x: Column, parents: Column, cited: Column) -> Column:
         states = F.filter(parents, lambda p: (p["conclusion"] == x["type"]) & (x["type"] != ""))
-        citing = F.array_distinct(F.transform(F.filter(parents, lambda p: F.arrays_overlap(p["cited"], all_of(x["text"], CITED))), lambda p: p["key"]))
-        return F.coalesce(F.get(states, F.lit(0))["key"], F.when(F.size(citing) == 1, F.get(citing, F.lit(0))))
+        citing = F.array_distinct(F.transform(F.filter(parents, lambda p: F.arrays_overlap(p["cited"], cited)), lambda p: p["key"]))
+        return F.coalesce(F.get(states, F.lit(0))["key"], let(citing, lambda keys: F.when(F.size(keys) == 1, F.get(keys, F.lit(0)))))
 
-    found = F.filter(F.transform(graph, lambda x: F.struct(x["name"].alias("name"), owner(x).alias("key"))), lambda x: x["key"].isNotNull())
+    each = lambda all_, x: F.struct(x["name"].alias("name"), let(all_of(x["text"], CITED), lambda cited: owner(x, all_, cited)).alias("key"))
+    found = let(parents, lambda all_: F.filter(F.transform(graph, lambda x: each(all_, x)), lambda x: x["key"].isNotNull()))
     return F.map_from_entries(found)
 
 
