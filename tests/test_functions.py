@@ -253,3 +253,14 @@ def test_capitals_are_one_letter_each(spark):
     said = [("straße ä", "STRAẞE Ä"), ("ᾳ ﬁ ŉ ΐx", "ᾼ ﬁ ŉ ΐX"), ("ᾼßß", "ᾼẞẞ"), ("plain é", "PLAIN É"), ("", ""), (None, None)]
     got = spark.createDataFrame(said, "a string, b string").select(tx.capitals(F.col("a")).alias("x"), "b").collect()
     assert [r.x for r in got] == [r.b for r in got]
+
+
+def test_a_task_sends_k_cards_of_a_query_at_most(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-3, 4, (2_500, 4)).astype(float)
+    cards = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vec array<double>").coalesce(1)
+    unit = retrieval._unit(vectors)
+    assert retrieval._near_block(cards, np.arange(3), unit[:3], 5).groupBy("query").count().where("count > 5").isEmpty()
+    sim = np.round(unit[:3] @ unit.T, 9)
+    want = {(q, c, r + 1) for q in range(3) for r, c in enumerate([int(c) for c in np.lexsort((np.arange(2_500), -sim[q])) if c != q][:5])}
+    assert {(r["query"], r.card, r["rank"]) for r in retrieval.vector_topk(cards.where("id < 3"), cards, 5).collect()} == want

@@ -175,3 +175,10 @@ def test_records_without_some_tables(spark):
     assert {i: (r.statement, r.before) for i, r in got.items()} == {0: ("said", None), 1: ("new", "said"), 2: ("said", None), 3: ("said", None)}
     assert all(c.result == "not run" and not c.ran for r in got.values() for c in r.c.values()) and len(got[0].c) == 10
     assert {i: r.a.why for i, r in got.items()} == {0: record.WHY["weak"], 1: None, 2: record.WHY["weak"], 3: None}
+
+
+def test_fields_below_a_thousand_levels(spark):
+    """Spark's own parser refuses such trees."""
+    deep = "[" * 1_500 + '{"system_error": 1}' + "]" * 1_500
+    rows = spark.createDataFrame([(1, deep), (2, '{"system_error": 1, "system_error": 1}'), (3, '{"system_error": NaN}')], "id long, tree string")
+    assert {r.id: r.found for r in trees.names_with_content(rows, "id", "tree", "system_error").collect()} == {1: True, 2: False, 3: False}
