@@ -1,12 +1,14 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Words are mapped to the VOCABULARY most frequent words of trusted text; all others to the shape of their
-letters, digits and signs, so that the model also knows how rare words look. Trusted text is that of all documents
-labelled good and not toxic.
+The VOCABULARY most frequent words of trusted text are tokens of their own. Every other word, seen or new, is told in two steps: the shape of its
+letters, digits and signs is a token, predicted in its context, and then its bytes are spelled to the end of the word, each after the two before it, the
+first ones after the shape (counts of all such words of trusted text, interpolated by Witten and Bell). So each word has a probability of its own, and those of all words sum to 1.
+As context of the words after it, such a word stands by its shape. Perplexity is that of all symbols: tokens, bytes and ends of spelled words. Trusted text is that of all documents labelled good and not toxic.
 Trigrams are counted and kept in shards by the hash of their first two words, so that a shard has all of a context. Each chunk of
 texts (a run of a task's input) sends its distinct trigrams to the shards as sorted lists, which are merged there; continuation counts of
 word pairs are an aggregate over the shards. To score, each chunk asks the shards for its trigrams and pairs in the same way, all chunks
-in one join, and what the shards hold goes back to the chunks that asked. Only what is by single word, VOCABULARY rows at most, is known everywhere. A document is rejected if its perplexity lies outside the quantiles LOW and HIGH of its language's trusted
+in one join, and what the shards hold goes back to the chunks that asked. Only what is by single word, VOCABULARY rows at most, and the counts of three
+bytes in a row (valid UTF-8 has below 2 ** 23 such, at 16 bytes each; counted texts some 10 ** 5) are known everywhere. A document is rejected if its perplexity lies outside the quantiles LOW and HIGH of its language's trusted
 documents. Text that was counted is easier to predict than new text, and the more so the less there is, so one of HELD_OUT
 trusted documents, by the hash of its id, is not counted but only scored; the band goes from the lesser of the low
 quantiles of both groups to the greater of the high ones. Each is drawn towards that of all languages, which counts as PRIOR
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.scratch import Scratch
-from quarry.llm.words import Words, distinct, mix, slices, words
+from quarry.llm.words import Words, distinct, mix, slices, spread, words
 
 VOCABULARY = 2_000
 LOW, HIGH, PRIOR, HELD_OUT = 0.002, 0.995, 30, 8
@@ -47,6 +49,8 @@ HELD, SHARD, ASKED = 250_000, 2_000_000, 4_000_000
 #: Bytes of text to a shard of its words' counts.
 VOCABULARY_SHARD = 1 << 28
 LISTS = "shard int, keys binary, n binary"
+#: Symbols of a spelled word: its bytes, END, and its shape from START on; bits of a symbol; shards of their counts.
+END, START, SYMBOL, SPELLED = 256, 257, 9, 64
 #: Keys of word pairs begin here, those of trigrams at 0.
 PAIRS = 1 << 40
 
@@ -58,6 +62,24 @@ def shape(word: str) -> int:
     return case * 4 + any(c.isdigit() for c in word) * 2 + any(not c.isalnum() for c in word)
 
 
+#: Of each byte in ASCII: 1 a letter, 2 one that is no capital, 4 a digit, 8 a sign; 16 of all others.
+_KINDS = np.array([c.isalpha() + 2 * (c.isalpha() and not c.isupper()) + 4 * c.isdigit() + 8 * (not c.isalnum()) for c in map(chr, range(128))] + [16] * 128, np.uint8)
+
+
+def shapes(w: Words, at: np.ndarray) -> np.ndarray:
+    """The shape of each of these words, those in ASCII side by side."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    length = w.end[at] - w.start[at]
+    kinds, begin = _KINDS[w.data[spread(w.start[at], length)]], np.cumsum(length) - length
+    has, letters = np.bitwise_or.reduceat(kinds, begin), np.add.reduceat((kinds & 1).astype(np.int64), begin)
+    case = np.select([letters == 0, (letters > 1) & (has & 2 == 0), kinds[begin] & 3 == 1], [0, 1, 2], 3)
+    out = case * 4 + (has & 4 > 0) * 2 + (has & 8 > 0)
+    for i in np.flatnonzero(has & 16):
+        out[i] = shape(w.text(at[i]).decode())
+    return out
+
+
 def cores(w: Words) -> Words:
     """The words without commas, stops, colons and semicolons at their ends, unless they are nothing else."""
     end = w.end.copy()
@@ -91,25 +113,99 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(data, "<u8").astype(np.int64))
 
 
-def _tokens(docs: DataFrame, vocabulary) -> DataFrame:
-    """chunk, doc_id, lang, digest (of the text), n_tokens, tokens (16-bit numbers) of each row."""
+def _coded(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices with their words, the number of each one's distinct word, the token of each distinct word, and those outside of the vocabulary: their numbers and where they first are."""
+    order = np.argsort(vocabulary)
+    known = vocabulary[order]
+    for part in slices(batches, "text", SLICE_BYTES):
+        w = cores(words(part.column("text")))
+        hashes = w.hashes()
+        codes, first = distinct(hashes)
+        at = np.minimum(np.searchsorted(known, hashes[first]), len(known) - 1)
+        ids = np.where(known[at] == hashes[first], order[at], -1)
+        rare = np.flatnonzero(ids < 0)
+        ids[rare] = VOCABULARY + shapes(w, first[rare])
+        yield part, w, codes, ids, rare, first[rare]
+
+
+def spelled(w: Words, at: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol of these words with the two before it, as one number, and the place in `at` of its word."""
+    length = w.end[at] - w.start[at]
+    size = length + 3
+    begin = np.cumsum(size) - size
+    x = np.full(size.sum(), END, np.int64)
+    x[begin] = x[begin + 1] = START + shapes
+    x[spread(begin + 2, length)] = w.data[spread(w.start[at], length)]
+    ends = spread(begin + 2, length + 1)
+    return (x[ends - 2] << 2 * SYMBOL) | (x[ends - 1] << SYMBOL) | x[ends], np.repeat(np.arange(len(at)), length + 1)
+
+
+@dataclass
+class Spelling:
+    """keys, a: symbols after two others and their share of the counts; weight: what two symbols give to what is known by the last one; low: that, of a symbol after another."""
+
+    keys: np.ndarray
+    a: np.ndarray
+    weight: np.ndarray
+    low: np.ndarray
+
+    def p(self, keys: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.keys, keys)
+        place[place == len(self.keys)] = 0
+        own = np.where(self.keys[place] == keys, self.a[place], 0) if len(self.keys) else 0
+        return own + self.weight[keys >> SYMBOL] * self.low[keys & ((1 << 2 * SYMBOL) - 1)]
+
+
+def spelling_of(keys: np.ndarray, n: np.ndarray) -> Spelling:
+    """From the counts of sorted keys. Each order leaves to the one below it as much as it has different symbols; the lowest takes all symbols as equally likely."""
+    size = 1 << SYMBOL
+    one = np.bincount(keys & (size - 1), n, size)
+    low = np.where(np.arange(size) <= END, (one + max((one > 0).sum(), 1) / (END + 1)) / (one.sum() + max((one > 0).sum(), 1)), 0)
+    two = np.bincount(keys & (size * size - 1), n, size * size).reshape(size, size)
+    kinds = np.maximum((two > 0).sum(1), 1)[:, None]
+    low = (two + kinds * low) / (two.sum(1)[:, None] + kinds)
+    context = keys >> SYMBOL
+    total, kinds = np.bincount(context, n, size * size), np.maximum(np.bincount(context, minlength=size * size), 1)
+    return Spelling(keys, n / (total + kinds)[context], kinds / (total + kinds), low.ravel())
+
+
+def _spelling(texts: DataFrame, vocabulary) -> Spelling:
+    """How the words of these texts that are outside of the vocabulary are spelled."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, count = [], []
+        for _, w, codes, ids, rare, first in _coded(batches, vocabulary.value):
+            keys, word = spelled(w, first, ids[rare] - VOCABULARY)
+            own, back = np.unique(keys, return_inverse=True)
+            found.append(own)
+            count.append(np.bincount(back, np.bincount(codes, minlength=len(ids))[rare][word], len(own)).astype(np.int64))
+            if sum(map(len, found)) > 4 * HELD:
+                found, count = ([x] for x in _merged(found, count))
+        if found:
+            found, n = _merged(found, count)
+            yield from _dealt(found, n, shard_of(found, SPELLED))
+
+    rows = _gathered(texts.select("text").mapInArrow(send, LISTS)).collect()  # SPELLED rows
+    keys, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([unpack(r["keys"]) for r in rows], [unsqueeze(r["n"], "<i8") for r in rows]))
+    order = np.argsort(keys)
+    return spelling_of(keys[order], n[order])
+
+
+def _tokens(docs: DataFrame, vocabulary, spelling) -> DataFrame:
+    """chunk, doc_id, lang, digest (of the text), n_tokens, tokens (16-bit numbers), symbols (tokens and those of spelled words), spelling (nats of the latter) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(vocabulary.value)
-        known = vocabulary.value[order]
-        for k, part in enumerate(slices(batches, "text", SLICE_BYTES)):
-            w = cores(words(part.column("text")))
-            hashes = w.hashes()
-            codes, first = distinct(hashes)
-            at = np.minimum(np.searchsorted(known, hashes[first]), len(known) - 1)
-            ids = np.where(known[at] == hashes[first], order[at], -1)
-            for i in np.flatnonzero(ids < 0):
-                ids[i] = VOCABULARY + shape(w.text(first[i]).decode())
+        for k, (part, w, codes, ids, rare, first) in enumerate(_coded(batches, vocabulary.value)):
+            keys, word = spelled(w, first, ids[rare] - VOCABULARY)
+            size, cost = np.ones(len(ids)), np.zeros(len(ids))
+            size[rare] += np.bincount(word, minlength=len(rare))
+            cost[rare] = -np.bincount(word, np.log(spelling.value.p(keys)), len(rare))
+            symbols, nats = (np.bincount(w.doc, x[codes], part.num_rows) for x in (size, cost))
             ids = ids[codes].astype("<u2")
             chunk = (TaskContext.get().partitionId() << 20) + k // SLICES
-            yield pa.record_batch({"chunk": pa.array(np.full(part.num_rows, chunk)), "doc_id": part.column("doc_id"), "lang": part.column("lang"), "digest": part.column("digest"), "n_tokens": pa.array(w.counts, pa.int64()), "tokens": pa.array([squeeze(ids[a:b]) for a, b in zip(w.first, w.first[1:], strict=False)], pa.binary())})
+            yield pa.record_batch({"chunk": pa.array(np.full(part.num_rows, chunk)), "doc_id": part.column("doc_id"), "lang": part.column("lang"), "digest": part.column("digest"), "n_tokens": pa.array(w.counts, pa.int64()), "tokens": pa.array([squeeze(ids[a:b]) for a, b in zip(w.first, w.first[1:], strict=False)], pa.binary()), "symbols": pa.array(symbols.astype(np.int64)), "spelling": pa.array(nats.astype(np.float64))})
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.xxhash64("text").alias("digest")).mapInArrow(run, "chunk long, doc_id long, lang string, digest long, n_tokens long, tokens binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.xxhash64("text").alias("digest")).mapInArrow(run, "chunk long, doc_id long, lang string, digest long, n_tokens long, tokens binary, symbols long, spelling double")
 
 
 def held(tokens: list[bytes]) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -359,16 +455,17 @@ def _answers(tokens: DataFrame, model: Model) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """doc_id, lang, digest, n_tokens, perplexity of each row of docs (doc_id, text, lang); None if nothing is trusted."""
+    """doc_id, lang, digest, n_tokens, perplexity (of tokens alone), symbols (tokens and those of spelled words), spelling (nats of the latter) of each row of docs (doc_id, text, lang); None if nothing is trusted."""
     good = scratch.table(trusted_ids(labels), "trusted")  # Spark broadcasts it if its file is small
     vocabulary = _vocabulary(docs.join(good, "doc_id", "left_semi"))
     if not len(vocabulary):
         return None
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    tokens = scratch.table(_tokens(docs, shared), "tokens")
     counted = good.where(~held_out())
     if counted.isEmpty():  # a handful of trusted documents
         counted = good
+    spelling = docs.sparkSession.sparkContext.broadcast(_spelling(docs.join(counted, "doc_id", "left_semi"), shared))
+    tokens = scratch.table(_tokens(docs, shared, spelling), "tokens")
     model = model_of(tokens.join(counted, "doc_id", "left_semi"), scratch)
     scratch.drop("trigrams", "pairs", "trusted")
     known = _answers(tokens, model)
@@ -381,9 +478,9 @@ def perplexities(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFr
         for part in held(given):
             found, row = grams(part)
             total += np.bincount(row, small.value.log_p(found, keys, a, b), len(rows))
-        return rows[["doc_id", "lang", "digest"]].assign(n_tokens=n, perplexity=np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan))
+        return rows[["doc_id", "lang", "digest"]].assign(n_tokens=n, perplexity=np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan), symbols=rows.symbols, spelling=rows.spelling)
 
-    return tokens.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, "doc_id long, lang string, digest long, n_tokens long, perplexity double")
+    return tokens.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, "doc_id long, lang string, digest long, n_tokens long, perplexity double, symbols long, spelling double")
 
 
 def _bands(good: DataFrame, low: float, high: float, scratch: Scratch) -> tuple[DataFrame, list[float]]:
@@ -406,7 +503,8 @@ def _verdicts(docs: DataFrame, labels: DataFrame, low: float, high: float) -> Da
     if found is None:
         some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
         return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.xxhash64("text").alias("digest"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"), some.alias("kept"))
-    scored = scratch.table(found.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.col("perplexity"))), "scored")
+    whole = F.exp((F.log("perplexity") * F.col("n_tokens") + F.col("spelling")) / F.col("symbols"))
+    scored = scratch.table(found.withColumn("perplexity", F.when(F.col("n_tokens") > 0, whole)).drop("symbols", "spelling"), "scored")
     scratch.drop("tokens", "model")
     bands, everywhere = _bands(scored.where("n_tokens > 0").join(trusted_ids(labels), "doc_id", "left_semi").withColumn("held", held_out()), low, high, scratch)
     cut = F.coalesce("cuts", F.array(*map(F.lit, everywhere)))

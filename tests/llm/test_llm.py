@@ -1,6 +1,7 @@
 """The operators for training data against brute force, round trips and held-out accuracy, with edge cases."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -547,6 +548,76 @@ def test_classifier_tells_rarer_words_apart(spark):
     assert np.mean([p[i] for i in range(1_500, 2_000)]) > 2 * np.mean([p[i] for i in range(1_500)])
 
 
+def plain_spelling(counted, words_):
+    """Nats and symbols of words by byte counts in plain dictionaries, with Witten and Bell's interpolation."""
+    symbols = lambda w: [(perplexity.shape(w),)] * 2 + [*w.encode(), "end"]
+    orders = [Counter(g[-k:] for w in counted for x in [symbols(w)] for g in zip(x, x[1:], x[2:])) for k in (1, 2, 3)]
+    totals, kinds = [Counter() for _ in orders], [Counter() for _ in orders]
+    for counts, total, kind in zip(orders, totals, kinds, strict=True):
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            kind[g[:-1]] += 1
+
+    def p(g):
+        k = len(g) - 1
+        lower = p(g[1:]) if k else 1 / 257
+        context = g[:-1]
+        return (orders[k][g] + kinds[k][context] * lower) / (totals[k][context] + kinds[k][context]) if totals[k][context] else lower
+
+    return [(-sum(np.log(p(g)) for g in zip(x, x[1:], x[2:])), len(x) - 2) for x in map(symbols, words_)]
+
+
+def test_words_outside_of_the_vocabulary_are_spelled(spark):
+    """Of 2,600 words, each seen twice, those that the vocabulary has no place for are told apart, and so are new ones; each costs what plain counts say."""
+    from quarry.llm.scratch import Scratch
+
+    common = [f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(2_000)]
+    rare = [f"{x}{chr(97 + i % 26)}é{i // 26}" for i in range(300) for x in ("Tr", "ka")]
+    trusted = [" ".join([*common[i::100], *rare[i::100]]) for i in range(100)] * 2 + [" ".join(common)] * 4
+    other = [f"{common[5]} {x} {common[9]}" for x in (rare[0], rare[1], rare[2], rare[0][::-1], "Qz漢9", "a,", "a")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*trusted, *other])], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.range(len(trusted)).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    out = {r.doc_id for r in docs.where(perplexity.held_out()).collect()}
+    counted = [w for i, t in enumerate(trusted) if i not in out for w in t.split() if w in set(rare)]
+    got = {r.doc_id: r for r in perplexity.perplexities(docs, labels, Scratch(spark)).collect()}
+    spelled = [t.split()[1].rstrip(",") for t in other]
+    for i, (nats, n) in enumerate(plain_spelling(counted, spelled), len(trusted)):
+        assert got[i].spelling == pytest.approx(nats, rel=1e-9) and got[i].symbols == 3 + n
+    assert all(got[len(trusted) - 1 - i].spelling == 0 and got[len(trusted) - 1 - i].symbols == 2_000 for i in range(4))
+    p = {r.doc_id: r.perplexity for r in perplexity.classify(docs, labels).collect()}
+    own = [p[i] for i in range(len(trusted), len(p))]
+    assert len(set(own)) == len(own) - 1 and own[-1] == own[-2]  # "a," is "a"
+    assert own[0] == pytest.approx(np.exp((3 * np.log(got[len(trusted)].perplexity) + got[len(trusted)].spelling) / got[len(trusted)].symbols))
+
+
+def test_pipeline_tells_rare_words_apart(spark, tmp_path):
+    """A word in no other text costs what its letters cost: the first stage rejects letters that trusted text does not have, though word for word the shapes are the same."""
+    import corpus_pipeline
+
+    rare = ["".join(x) for x in itertools.product("ab", "ei", "rt", "ao", "nm", "ei", "st")][:120]
+    docs = spark.createDataFrame([(i, f"the cat sat on the {x} mat", "en") for i, x in enumerate([*rare, "zqxwvjk", "bitamet"])], "doc_id long, text string, lang string")
+    spark.range(120).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert 120 not in kept and 121 in kept and len(kept) > 115
+
+
+def test_spelling_sums_to_one():
+    """Over all next symbols, after symbols that were counted, that were not, and in the absence of all counts."""
+    rng = np.random.default_rng(4)
+    keys, n = np.unique((rng.integers(0, 5, 90) << 18) | (rng.integers(0, 5, 90) << 9) | rng.integers(0, 5, 90), return_counts=True)
+    for model in (perplexity.spelling_of(keys, n), perplexity.spelling_of(keys[:0], n[:0])):
+        for a, b in ((0, 1), (1, 200), (200, 2), (perplexity.START, perplexity.START)):
+            assert model.p((a << 18) | (b << 9) | np.arange(perplexity.END + 1)).sum() == pytest.approx(1)
+
+
+def test_shapes_side_by_side():
+    from quarry.llm.words import words
+
+    given = ["a", "A", "AB", "Ab", "aB", "A1", "1A", "1", "-", "a-", "É", "Éa", "ÉA", "漢", "٣", "a٣", "-Ab9", "9ab", "A-", "AB-1", "..", "ª"]
+    w = words(pa.array([" ".join(given), None, ""]))
+    assert perplexity.shapes(w, np.arange(len(given))).tolist() == list(map(perplexity.shape, given)) and not len(perplexity.shapes(w, np.arange(0)))
+
+
 def plain_measures(texts):
     """n_tokens and measures by each vocabulary, word by word."""
     import base64
