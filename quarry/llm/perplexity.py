@@ -3,11 +3,13 @@
 The VOCABULARY most frequent words of trusted text are tokens of their own. Every other word, seen or new, is told in two steps: the shape of its
 letters, digits and signs is a token, predicted in its context, and then its bytes are spelled to the end of the word, each after the two before it, the
 first ones after the shape (counts of all such words of trusted text, interpolated by Witten and Bell). So each word has a probability of its own, and those of all words sum to 1.
-As context of the words after it, such a word stands by its shape. Perplexity is that of all symbols: tokens, bytes and ends of spelled words. Trusted text is that of all documents labelled good and not toxic.
+`perplexities` has it stand by its shape as context of the words after it; the verdict does not: after two words of which one is outside of the vocabulary, counts of what
+follows these very words (by Witten and Bell, over the trigram of shapes) decide, however rare they are, so that no context is merged with another but by a hash of 48 bits.
+Perplexity is that of all symbols: tokens, bytes and ends of spelled words. Trusted text is that of all documents labelled good and not toxic.
 Trigrams are counted and kept in shards by the hash of their first two words, so that a shard has all of a context. Each chunk of
 texts (a run of a task's input) sends its distinct trigrams to the shards as sorted lists, which are merged there; continuation counts of
 word pairs are an aggregate over the shards. To score, each chunk asks the shards for its trigrams and pairs in the same way, all chunks
-in one join, and what the shards hold goes back to the chunks that asked. Only what is by single word, VOCABULARY rows at most, and the counts of three
+in one join, and what the shards hold goes back to the chunks that asked. Only what is by single word, VOCABULARY rows at most, the hashes of BOOK more words and the counts of three
 bytes in a row (valid UTF-8 has below 2 ** 23 such, at 16 bytes each; counted texts some 10 ** 5) are known everywhere. A document is rejected if its perplexity lies outside the quantiles LOW and HIGH of its language's trusted
 documents. Text that was counted is easier to predict than new text, and the more so the less there is, so one of HELD_OUT
 trusted documents, by the hash of its id, is not counted but only scored; the band goes from the lesser of the low
@@ -41,7 +43,7 @@ SHAPES = 16
 BITS = 12
 BEGIN, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 SLICE_BYTES, SLICES = 2_500_000, 8
-_SQUEEZER, _UNSQUEEZER = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+_SQUEEZER, _LIGHT, _UNSQUEEZER = zstandard.ZstdCompressor(level=6), zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:")] = True
 #: Tokens that are looked at together; trigrams of a shard, at most, on average; keys that a shard is asked for at a time.
@@ -51,8 +53,10 @@ VOCABULARY_SHARD = 1 << 28
 LISTS = "shard int, keys binary, n binary"
 #: Symbols of a spelled word: its bytes, END, and its shape from START on; bits of a symbol; shards of their counts.
 END, START, SYMBOL, SPELLED = 256, 257, 9, 64
-#: Keys of word pairs begin here, those of trigrams at 0.
-PAIRS = 1 << 40
+#: Keys of word pairs begin here, those of trigrams at 0, those of tokens after two words (a hash of CONTEXT bits) at WORDS.
+PAIRS, WORDS, CONTEXT = 1 << 40, 1 << 60, 48
+#: Bytes of a word's hash; words after the vocabulary that are kept as numbers of 16 bits in place of it.
+WORD_BYTES, BOOK = 5, (1 << 16) - 1
 
 
 def shape(word: str) -> int:
@@ -104,6 +108,11 @@ def unsqueeze(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(_UNSQUEEZER.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
+def press(hashes: np.ndarray) -> bytes:
+    """Rows of bytes compressed as they are, so that equal rows are found."""
+    return _LIGHT.compress(np.ascontiguousarray(hashes).tobytes())
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Sorted distinct numbers as their steps."""
     return squeeze(np.diff(keys, prepend=0).astype("<u8"))
@@ -113,8 +122,8 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(data, "<u8").astype(np.int64))
 
 
-def _coded(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices with their words, the number of each one's distinct word, the token of each distinct word, and those outside of the vocabulary: their numbers and where they first are."""
+def _coded(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices with their words, the number of each one's distinct word, the token of each distinct word, and those outside of the vocabulary: their numbers, where they first are, and their hashes."""
     order = np.argsort(vocabulary)
     known = vocabulary[order]
     for part in slices(batches, "text", SLICE_BYTES):
@@ -125,7 +134,7 @@ def _coded(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterato
         ids = np.where(known[at] == hashes[first], order[at], -1)
         rare = np.flatnonzero(ids < 0)
         ids[rare] = VOCABULARY + shapes(w, first[rare])
-        yield part, w, codes, ids, rare, first[rare]
+        yield part, w, codes, ids, rare, first[rare], hashes[first[rare]]
 
 
 def spelled(w: Words, at: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +183,7 @@ def _spelling(texts: DataFrame, vocabulary) -> Spelling:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, count = [], []
-        for _, w, codes, ids, rare, first in _coded(batches, vocabulary.value):
+        for _, w, codes, ids, rare, first, _ in _coded(batches, vocabulary.value):
             keys, word = spelled(w, first, ids[rare] - VOCABULARY)
             own, back = np.unique(keys, return_inverse=True)
             found.append(own)
@@ -191,28 +200,48 @@ def _spelling(texts: DataFrame, vocabulary) -> Spelling:
     return spelling_of(keys[order], n[order])
 
 
-def _tokens(docs: DataFrame, vocabulary, spelling) -> DataFrame:
-    """chunk, doc_id, lang, digest (of the text), n_tokens, tokens (16-bit numbers), symbols (tokens and those of spelled words), spelling (nats of the latter) of each row."""
+def _numbers(hashes: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The place of each word in the book, from 1, or 0."""
+    if not len(book):
+        return np.zeros(len(hashes), np.int64)
+    order = np.argsort(book)
+    at = order[np.minimum(np.searchsorted(book[order], hashes), len(book) - 1)]
+    return np.where(book[at] == hashes, at + 1, 0)
+
+
+def _tokens(docs: DataFrame, vocabulary, book, spelling) -> DataFrame:
+    """chunk, doc_id, lang, digest (of the text), n_tokens, tokens (16-bit numbers), rare (numbers in the book of its words outside of the vocabulary, 0 for none), other (hashes of those with none), symbols (tokens and those of spelled words), spelling (nats of the latter) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (part, w, codes, ids, rare, first) in enumerate(_coded(batches, vocabulary.value)):
+        for k, (part, w, codes, ids, rare, first, hashes) in enumerate(_coded(batches, vocabulary.value)):
             keys, word = spelled(w, first, ids[rare] - VOCABULARY)
             size, cost = np.ones(len(ids)), np.zeros(len(ids))
             size[rare] += np.bincount(word, minlength=len(rare))
             cost[rare] = -np.bincount(word, np.log(spelling.value.p(keys)), len(rare))
             symbols, nats = (np.bincount(w.doc, x[codes], part.num_rows) for x in (size, cost))
+            own, number = np.zeros((len(ids), 8), np.uint8), np.zeros(len(ids), "<u2")
+            own[rare], number[rare] = hashes.astype("<u8").view(np.uint8).reshape(-1, 8), _numbers(hashes, book.value)
+            at = np.flatnonzero(ids[codes] >= VOCABULARY)
+            number = number[codes[at]]
+            none = at[number == 0]
+            own, (cut, left) = own[codes[none], :WORD_BYTES], (np.searchsorted(x, w.first) for x in (at, none))
             ids = ids[codes].astype("<u2")
             chunk = (TaskContext.get().partitionId() << 20) + k // SLICES
-            yield pa.record_batch({"chunk": pa.array(np.full(part.num_rows, chunk)), "doc_id": part.column("doc_id"), "lang": part.column("lang"), "digest": part.column("digest"), "n_tokens": pa.array(w.counts, pa.int64()), "tokens": pa.array([squeeze(ids[a:b]) for a, b in zip(w.first, w.first[1:], strict=False)], pa.binary()), "symbols": pa.array(symbols.astype(np.int64)), "spelling": pa.array(nats.astype(np.float64))})
+            yield pa.record_batch({"chunk": pa.array(np.full(part.num_rows, chunk)), "doc_id": part.column("doc_id"), "lang": part.column("lang"), "digest": part.column("digest"), "n_tokens": pa.array(w.counts, pa.int64()), "tokens": pa.array([squeeze(ids[a:b]) for a, b in zip(w.first, w.first[1:], strict=False)], pa.binary()), "rare": pa.array([squeeze(number[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), "other": pa.array([press(own[a:b]) for a, b in zip(left, left[1:], strict=False)], pa.binary()), "symbols": pa.array(symbols.astype(np.int64)), "spelling": pa.array(nats.astype(np.float64))})
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.xxhash64("text").alias("digest")).mapInArrow(run, "chunk long, doc_id long, lang string, digest long, n_tokens long, tokens binary, symbols long, spelling double")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.xxhash64("text").alias("digest")).mapInArrow(run, "chunk long, doc_id long, lang string, digest long, n_tokens long, tokens binary, rare binary, other binary, symbols long, spelling double")
 
 
-def held(tokens: list[bytes]) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Rows and their tokens with the two before them, in lists of about HELD tokens; longer rows are cut. So memory follows these and not the chunk."""
+def held(tokens: list[bytes], rare: list[bytes] | None = None, other: list[bytes] | None = None) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Rows and their tokens with the two before them, in lists of about HELD tokens; longer rows are cut. So memory follows these and not the chunk.
+    With rare and other, each token of a word outside of the vocabulary has that word's number or hash above its BITS."""
     out, size = [], 0
     for row, x in enumerate(tokens):
         x = np.r_[BEGIN, BEGIN, unsqueeze(x, "<u2")].astype(np.int64)
+        if rare is not None:
+            own, number = np.frombuffer(_UNSQUEEZER.decompress(other[row]), np.uint8).reshape(-1, WORD_BYTES), unsqueeze(rare[row], "<u2").astype(np.int64) << 1
+            number[number == 0] = np.pad(own, ((0, 0), (0, 8 - WORD_BYTES))).view("<i8").ravel() << 1 | 1
+            x[(x >= VOCABULARY) & (x < BEGIN)] |= number << BITS
         for at in range(0, len(x) - 2, HELD):
             out.append((row, x[at : at + HELD + 2]))
             size += len(out[-1][1])
@@ -225,13 +254,26 @@ def held(tokens: list[bytes]) -> Iterator[list[tuple[int, np.ndarray]]]:
 
 def grams(parts: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """The trigrams that end at each token but the first two of every part, and the row that each is of."""
+    flat, at = _places(parts)
+    flat = flat & BEGIN
+    return (flat[at - 2] << 2 * BITS) | (flat[at - 1] << BITS) | flat[at], np.repeat(np.array([row for row, _ in parts]), [len(x) - 2 for _, x in parts])
+
+
+def _places(parts: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All parts one after another, and where their tokens are but for the first two of each."""
     size = np.array([len(x) for _, x in parts], np.int64)
-    flat = np.concatenate([x for _, x in parts])
     begin = np.cumsum(size) - size
-    keep = np.ones(len(flat), bool)
+    keep = np.ones(size.sum(), bool)
     keep[begin] = keep[begin + 1] = False
-    at = np.flatnonzero(keep)
-    return (flat[at - 2] << 2 * BITS) | (flat[at - 1] << BITS) | flat[at], np.repeat(np.array([row for row, _ in parts]), size - 2)
+    return np.concatenate([x for _, x in parts]), np.flatnonzero(keep)
+
+
+def after_words(parts: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """For each trigram of grams(parts), the token after the two words themselves, as one number; 0 where both are in the vocabulary, so that the trigram has them."""
+    flat, at = _places(parts)
+    a, b = flat[at - 2], flat[at - 1]
+    context = mix(mix(a.view(np.uint64)) + b.view(np.uint64)) >> np.uint64(64 - CONTEXT)
+    return np.where((a | b) >> BITS > 0, WORDS | (context.view(np.int64) << BITS) | (flat[at] & BEGIN), 0)
 
 
 def _merged(found: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -241,11 +283,17 @@ def _merged(found: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each chunk of rows (chunk, tokens) with its distinct trigrams and their counts. A chunk that is cut over batches comes in parts."""
+    """Each chunk of rows (chunk, tokens) with its distinct trigrams and their counts, or, of rows with rare, with its distinct tokens after words. A chunk that is cut over batches comes in parts."""
     for part in batches:
         chunk = part.column("chunk").to_numpy()
         for c in np.unique(chunk):
-            own = [np.unique(grams(x)[0], return_counts=True) for x in held(part.column("tokens").filter(pa.array(chunk == c)).to_pylist())]
+            rows = part.filter(pa.array(chunk == c))
+            tokens = rows.column("tokens").to_pylist()
+            if "rare" in rows.schema.names:
+                found = (x[x > 0] for x in map(after_words, held(tokens, rows.column("rare").to_pylist(), rows.column("other").to_pylist())))
+            else:
+                found = (grams(x)[0] for x in held(tokens))
+            own = [np.unique(x, return_counts=True) for x in found]
             if own:
                 yield c, *_merged(*zip(*own, strict=True))
 
@@ -303,7 +351,7 @@ def held_out() -> Column:
 
 
 def _vocabulary(texts: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words, the most frequent first."""
+    """Hashes of the most frequent words, the most frequent first: the vocabulary and the book."""
     shards = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // VOCABULARY_SHARD + 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,12 +373,12 @@ def _vocabulary(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             for keys, n in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 keys, n = unpack(keys), unsqueeze(n, "<i8")
-                top = np.lexsort((keys, -n))[:VOCABULARY]
+                top = np.lexsort((keys, -n))[: VOCABULARY + BOOK]
                 top = top[n[top] > 1]
                 yield pa.record_batch({"word": pa.array(keys[top]), "n": pa.array(n[top])})
 
     counts = _gathered(texts.select("text").mapInArrow(send, LISTS)).mapInArrow(best, "word long, n long")
-    return np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()], np.int64).view(np.uint64)
+    return np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY + BOOK).collect()], np.int64).view(np.uint64)
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -375,6 +423,10 @@ class Model:
 
     def log_p(self, found: np.ndarray, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The log probability of each trigram; keys, a, b: the model's rows that the trigrams need, sorted by key."""
+        return np.log(self.both(found, np.zeros(len(found), np.int64), keys, a, b)[0])
+
+    def both(self, found: np.ndarray, worded: np.ndarray, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of each trigram, and that of its token after the words themselves (worded, from after_words)."""
         keys, a, b = np.r_[keys, 1 << 62], np.r_[a, 0.0], np.r_[b, 1.0]
 
         def at(k: np.ndarray) -> np.ndarray:
@@ -383,7 +435,11 @@ class Model:
 
         pair = found & PAIR
         low = a[at(PAIRS + pair)] + self.weight[pair >> BITS] * self.single[pair & BEGIN]
-        return np.log(a[at(found)] + b[at(PAIRS + (found >> BITS))] * low)
+        p = a[at(found)] + b[at(PAIRS + (found >> BITS))] * low
+        own, here = p.copy(), np.flatnonzero(worded)
+        place = at(worded[here])
+        own[here] = a[place] + b[place] * p[here]
+        return p, own
 
 
 def model_of(tokens: DataFrame, scratch: Scratch) -> Model:
@@ -454,33 +510,75 @@ def _answers(tokens: DataFrame, model: Model) -> DataFrame:
     return asks.groupBy("shard", "lot").cogroup(each.groupBy("shard", "lot")).applyInPandas(answer, "chunk long, keys binary, a binary, b binary")
 
 
+def _worded(tokens: DataFrame, counted: DataFrame) -> DataFrame:
+    """chunk, keys, a, b: for every chunk, its tokens after two words that counted tokens have, their share of the counts (a) and what the words leave to the trigram (b), by Witten and Bell.
+    Counts and questions of a shard of contexts meet in one shuffle."""
+    shards = _n_tokens(tokens) // ASKED + 1
+
+    def told(ask: bool):
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk, found, n in _chunks(batches):
+                for x in _dealt(found, n, shard_of(found >> BITS, shards)):
+                    yield pa.record_batch({"shard": x.column("shard"), "chunk": pa.array([int(chunk)] if ask else [None], pa.int64()), "keys": x.column("keys"), "n": pa.nulls(1, pa.binary()) if ask else x.column("n")})
+
+        return send
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, n, out = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        own = rows[rows.n.notna()]
+        if not len(own):
+            return pd.DataFrame(out, columns=["chunk", "keys", "a", "b"])
+        for i in range(0, len(own), 16):
+            part = own[i : i + 16]
+            keys, n = _merged([keys, *map(unpack, part["keys"])], [n, *(unsqueeze(x, "<i8") for x in part.n)])
+        context, at, back = np.unique(keys >> BITS, return_index=True, return_inverse=True)
+        kinds, size = np.bincount(back), np.add.reduceat(n, at) + np.bincount(back)
+        a, b = (n / size[back]).astype("<f4"), (kinds / size).astype("<f4")
+        asks = rows[rows.n.isna()]
+        for chunk, found in zip(asks.chunk, asks["keys"], strict=True):
+            found = unpack(found)
+            of = np.minimum(np.searchsorted(context, found >> BITS), len(context) - 1)
+            seen = context[of] == found >> BITS
+            found, of = found[seen], of[seen]
+            if len(found):
+                at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                out.append((int(chunk), pack(found), squeeze(np.where(keys[at] == found, a[at], 0).astype("<f4")), squeeze(b[of])))
+        return pd.DataFrame(out, columns=["chunk", "keys", "a", "b"])
+
+    counts, asks = (x.select("chunk", "tokens", "rare", "other").mapInArrow(told(ask), "shard int, chunk long, keys binary, n binary") for x, ask in ((counted, False), (tokens, True)))
+    return counts.unionByName(asks).groupBy("shard").applyInPandas(answer, "chunk long, keys binary, a binary, b binary")
+
+
 def perplexities(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """doc_id, lang, digest, n_tokens, perplexity (of tokens alone), symbols (tokens and those of spelled words), spelling (nats of the latter) of each row of docs (doc_id, text, lang); None if nothing is trusted."""
+    """doc_id, lang, digest, n_tokens, perplexity (of tokens alone), symbols (tokens and those of spelled words), spelling (nats of the latter), nats (of tokens after the words themselves) of each row of docs (doc_id, text, lang); None if nothing is trusted."""
     good = scratch.table(trusted_ids(labels), "trusted")  # Spark broadcasts it if its file is small
-    vocabulary = _vocabulary(docs.join(good, "doc_id", "left_semi"))
+    frequent = _vocabulary(docs.join(good, "doc_id", "left_semi"))
+    vocabulary = frequent[:VOCABULARY]
     if not len(vocabulary):
         return None
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared, book = map(docs.sparkSession.sparkContext.broadcast, (vocabulary, frequent[VOCABULARY:]))
     counted = good.where(~held_out())
     if counted.isEmpty():  # a handful of trusted documents
         counted = good
     spelling = docs.sparkSession.sparkContext.broadcast(_spelling(docs.join(counted, "doc_id", "left_semi"), shared))
-    tokens = scratch.table(_tokens(docs, shared, spelling), "tokens")
+    tokens = scratch.table(_tokens(docs, shared, book, spelling), "tokens")
     model = model_of(tokens.join(counted, "doc_id", "left_semi"), scratch)
-    scratch.drop("trigrams", "pairs", "trusted")
-    known = _answers(tokens, model)
+    scratch.drop("trigrams", "pairs")
+    known = _answers(tokens, model).unionByName(_worded(tokens, tokens.join(counted, "doc_id", "left_semi")))
     small = docs.sparkSession.sparkContext.broadcast(Model(None, model.discounts, model.weight, model.single))
 
     def score(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         keys, by = np.unique(np.concatenate([np.zeros(0, np.int64), *map(unpack, table["keys"])]), return_index=True)
         a, b = (np.concatenate([np.zeros(0), *(unsqueeze(x, "<f4") for x in table[c])])[by] for c in ("a", "b"))
-        given, n, total = rows.tokens.tolist(), rows.n_tokens.to_numpy(), np.zeros(len(rows))
-        for part in held(given):
+        n, total, nats = rows.n_tokens.to_numpy(), np.zeros(len(rows)), np.zeros(len(rows))
+        for part in held(rows.tokens.tolist(), rows.rare.tolist(), rows.other.tolist()):
             found, row = grams(part)
-            total += np.bincount(row, small.value.log_p(found, keys, a, b), len(rows))
-        return rows[["doc_id", "lang", "digest"]].assign(n_tokens=n, perplexity=np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan), symbols=rows.symbols, spelling=rows.spelling)
+            p, own = small.value.both(found, after_words(part), keys, a, b)
+            total += np.bincount(row, np.log(p), len(rows))
+            nats -= np.bincount(row, np.log(own), len(rows))
+        return rows[["doc_id", "lang", "digest"]].assign(n_tokens=n, perplexity=np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan), symbols=rows.symbols, spelling=rows.spelling, nats=nats)
 
-    return tokens.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, "doc_id long, lang string, digest long, n_tokens long, perplexity double, symbols long, spelling double")
+    return tokens.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, "doc_id long, lang string, digest long, n_tokens long, perplexity double, symbols long, spelling double, nats double")
 
 
 def _bands(good: DataFrame, low: float, high: float, scratch: Scratch) -> tuple[DataFrame, list[float]]:
@@ -503,9 +601,9 @@ def _verdicts(docs: DataFrame, labels: DataFrame, low: float, high: float) -> Da
     if found is None:
         some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
         return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.xxhash64("text").alias("digest"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"), some.alias("kept"))
-    whole = F.exp((F.log("perplexity") * F.col("n_tokens") + F.col("spelling")) / F.col("symbols"))
-    scored = scratch.table(found.withColumn("perplexity", F.when(F.col("n_tokens") > 0, whole)).drop("symbols", "spelling"), "scored")
-    scratch.drop("tokens", "model")
+    whole = F.exp((F.col("nats") + F.col("spelling")) / F.col("symbols"))
+    scored = scratch.table(found.withColumn("perplexity", F.when(F.col("n_tokens") > 0, whole)).drop("symbols", "spelling", "nats"), "scored")
+    scratch.drop("tokens", "model", "trusted")
     bands, everywhere = _bands(scored.where("n_tokens > 0").join(trusted_ids(labels), "doc_id", "left_semi").withColumn("held", held_out()), low, high, scratch)
     cut = F.coalesce("cuts", F.array(*map(F.lit, everywhere)))
     kept = (F.col("n_tokens") > 0) & F.col("perplexity").between(cut[0], cut[1])

@@ -590,6 +590,50 @@ def test_words_outside_of_the_vocabulary_are_spelled(spark):
     assert own[0] == pytest.approx(np.exp((3 * np.log(got[len(trusted)].perplexity) + got[len(trusted)].spelling) / got[len(trusted)].symbols))
 
 
+def plain_kneser_ney_places(trusted, texts, all_trusted):
+    """The probability of each token of the texts, as plain_kneser_ney has it, from the perplexities of the texts' beginnings."""
+    cut = [[" ".join(t.split()[:k]) for k in range(1, len(t.split()) + 1)] for t in texts]
+    flat = iter(plain_kneser_ney(trusted, [x for c in cut for x in c], all_trusted))
+    logs = [[k * np.log(next(flat)) for k in range(1, len(c) + 1)] for c in cut]
+    return [np.exp(-np.diff([0.0, *x])) for x in logs]
+
+
+def test_words_outside_of_the_vocabulary_are_contexts(spark, monkeypatch):
+    """After two words of which one has no place in the vocabulary, tokens are as likely as plain counts after these very words say, over the trigrams of shapes; no text, batch or shard is cut off from that."""
+    from quarry.llm.scratch import Scratch
+
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(perplexity, "ASKED", 20_000)
+    common = [f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(2_000)]
+    rare = [f"{x}{chr(97 + i)}" for i in range(26) for x in ("Tr", "ka", "é", "x-")]
+    follow = {r: common[i] for i, r in enumerate(rare)}
+    trusted = [f"ka{i}x Zq{i} {common[i]} once{i}, {common[i + 1]}" for i in range(20)]  # words that are there once
+    trusted += [" ".join(y for x in rng.choice(rare, 5) for y in ([x, follow[x]] if rng.random() < 0.9 else [rng.choice(rare), x])) for _ in range(300)] + [" ".join(common)] * 40
+    other = [f"{r} {follow[x]} {rare[3]}" for r in rare[:8] for x in (r, rare[9])] + ["", f"{rare[5]} {follow[rare[5]]},"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*trusted, *other])], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.range(len(trusted)).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    out = {r.doc_id for r in docs.where(perplexity.held_out()).collect()}
+    got = {r.doc_id: r for r in perplexity.perplexities(docs, labels, Scratch(spark)).collect()}
+    core = lambda t: ["<", "<", *(w.rstrip(".,;:") for w in t.split())]
+    token = lambda w: w if w in set(common) or w == "<" else perplexity.shape(w)
+    known = set(common) | {"<"}
+    places = lambda t: [(a, b, token(c)) if a not in known or b not in known else None for x in [core(t)] for a, b, c in zip(x, x[1:], x[2:])]
+    counts = Counter(g for i, t in enumerate(trusted) if i not in out for g in places(t) if g)
+    total, kinds = Counter(), Counter()
+    for g, v in counts.items():
+        total[g[:2]] += v
+        kinds[g[:2]] += 1
+    texts = dict(enumerate(trusted[:60])) | dict(enumerate(other, len(trusted)))
+    low = plain_kneser_ney_places([t for i, t in enumerate(trusted) if i not in out], list(texts.values()), trusted)
+    for (i, t), below in zip(texts.items(), low, strict=True):
+        p = [q if g is None else (counts[g] + kinds[g[:2]] * q) / (total[g[:2]] + kinds[g[:2]]) if total[g[:2]] else q for g, q in zip(places(t), below, strict=True)]
+        assert got[i].nats == pytest.approx(-np.sum(np.log(p)), rel=1e-5, abs=1e-9)
+    own, mixed = ([got[len(trusted) + k].nats for k in range(j, 16, 2)] for j in (0, 1))
+    assert np.mean(own) + 1 < np.mean(mixed)
+    verdict = {r.doc_id: r.perplexity for r in perplexity.classify(docs, labels).collect()}
+    assert all(verdict[i] == pytest.approx(np.exp((r.nats + r.spelling) / r.symbols)) for i, r in got.items() if r.n_tokens)
+
+
 def test_pipeline_tells_rare_words_apart(spark, tmp_path):
     """A word in no other text costs what its letters cost: the first stage rejects letters that trusted text does not have, though word for word the shapes are the same."""
     import corpus_pipeline
