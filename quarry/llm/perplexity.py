@@ -8,8 +8,9 @@ follows these very words (by Witten and Bell, over the trigram of shapes) decide
 Perplexity is that of all symbols: tokens, bytes and ends of spelled words. Trusted text is that of all documents labelled good and not toxic.
 Trigrams are counted and kept in shards by the hash of their first two words, so that a shard has all of a context. Each chunk of
 texts (a run of a task's input) sends its distinct trigrams to the shards as sorted lists, which are merged there; continuation counts of
-word pairs are an aggregate over the shards. To score, each chunk asks the shards for its trigrams and pairs in the same way, all chunks
-in one join, and what the shards hold goes back to the chunks that asked. Only what is by single word, VOCABULARY rows at most, the hashes of BOOK more words and the counts of three
+word pairs are an aggregate over the shards. To score, each chunk asks the shards for its trigrams, pairs and tokens after words in the same way, all chunks
+of a lot in one join, and what the shards hold goes back to the chunks that asked. There are LOTS of rows, by a hash of id and text; each is tokenised anew, and its tokens, questions and
+answers go before the next begins, so that disk holds the counts and a lot at a time. Only what is by single word, VOCABULARY rows at most, the hashes of BOOK more words and the counts of three
 bytes in a row (valid UTF-8 has below 2 ** 23 such, at 16 bytes each; counted texts some 10 ** 5) are known everywhere. A document is rejected if its perplexity lies outside the quantiles LOW and HIGH of its language's trusted
 documents. Text that was counted is easier to predict than new text, and the more so the less there is, so one of HELD_OUT
 trusted documents, by the hash of its id, is not counted but only scored; the band goes from the lesser of the low
@@ -24,6 +25,8 @@ trusted document, every document with a word is kept. Extra columns are ignored
 
 from __future__ import annotations
 
+import functools
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -34,7 +37,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.scratch import Scratch
+from quarry.llm.scratch import Scratch, brief_shuffles
 from quarry.llm.words import Words, distinct, mix, slices, spread, words
 
 VOCABULARY = 2_000
@@ -43,11 +46,13 @@ SHAPES = 16
 BITS = 12
 BEGIN, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 SLICE_BYTES, SLICES = 2_500_000, 8
-_SQUEEZER, _LIGHT, _UNSQUEEZER = zstandard.ZstdCompressor(level=6), zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+_SQUEEZER, _LIGHT, _UNSQUEEZER = zstandard.ZstdCompressor(level=3), zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:")] = True
 #: Tokens that are looked at together; trigrams of a shard, at most, on average; keys that a shard is asked for at a time.
 HELD, SHARD, ASKED = 250_000, 2_000_000, 4_000_000
+#: Lots of rows that are scored one after another; less text than LOT bytes is one lot. Their number does not grow with the input, as each asks all counts. Bytes of text to a word, about.
+LOTS, LOT, WORD = 6, 1 << 26, 8
 #: Bytes of text to a shard of its words' counts.
 VOCABULARY_SHARD = 1 << 28
 LISTS = "shard int, keys binary, n binary"
@@ -66,22 +71,29 @@ def shape(word: str) -> int:
     return case * 4 + any(c.isdigit() for c in word) * 2 + any(not c.isalnum() for c in word)
 
 
-#: Of each byte in ASCII: 1 a letter, 2 one that is no capital, 4 a digit, 8 a sign; 16 of all others.
-_KINDS = np.array([c.isalpha() + 2 * (c.isalpha() and not c.isupper()) + 4 * c.isdigit() + 8 * (not c.isalnum()) for c in map(chr, range(128))] + [16] * 128, np.uint8)
+#: Of each code point: 1 a letter, 2 a letter that is no capital, 4 a digit, 8 a sign, 16 a capital; _NEW until it is first seen.
+_NEW = 255
+_KINDS = np.full(sys.maxunicode + 1, _NEW, np.uint8)
 
 
 def shapes(w: Words, at: np.ndarray) -> np.ndarray:
-    """The shape of each of these words, those in ASCII side by side."""
+    """The shape of each of these words, all side by side."""
     if not len(at):
         return np.zeros(0, np.int64)
     length = w.end[at] - w.start[at]
-    kinds, begin = _KINDS[w.data[spread(w.start[at], length)]], np.cumsum(length) - length
+    data, begin = w.data[spread(w.start[at], length)], np.cumsum(length) - length
+    if data.max() > 127:
+        leads = (data & 0xC0) != 0x80
+        begin, data = (np.cumsum(leads) - leads)[begin], np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    kinds = _KINDS[data]
+    if (kinds == _NEW).any():
+        for c in np.unique(data[kinds == _NEW]).tolist():
+            x = chr(c)
+            _KINDS[c] = x.isalpha() + 2 * (x.isalpha() and not x.isupper()) + 4 * x.isdigit() + 8 * (not x.isalnum()) + 16 * x.isupper()
+        kinds = _KINDS[data]
     has, letters = np.bitwise_or.reduceat(kinds, begin), np.add.reduceat((kinds & 1).astype(np.int64), begin)
-    case = np.select([letters == 0, (letters > 1) & (has & 2 == 0), kinds[begin] & 3 == 1], [0, 1, 2], 3)
-    out = case * 4 + (has & 4 > 0) * 2 + (has & 8 > 0)
-    for i in np.flatnonzero(has & 16):
-        out[i] = shape(w.text(at[i]).decode())
-    return out
+    case = np.select([letters == 0, (letters > 1) & (has & 2 == 0), kinds[begin] & 16 > 0], [0, 1, 2], 3)
+    return case * 4 + (has & 4 > 0) * 2 + (has & 8 > 0)
 
 
 def cores(w: Words) -> Words:
@@ -210,14 +222,15 @@ def _numbers(hashes: np.ndarray, book: np.ndarray) -> np.ndarray:
 
 
 def _tokens(docs: DataFrame, vocabulary, book, spelling) -> DataFrame:
-    """chunk, doc_id, lang, digest (of the text), n_tokens, tokens (16-bit numbers), rare (numbers in the book of its words outside of the vocabulary, 0 for none), other (hashes of those with none), symbols (tokens and those of spelled words), spelling (nats of the latter) of each row."""
+    """chunk, doc_id, lang, digest (of the text), n_tokens, tokens (16-bit numbers), rare (numbers in the book of its words outside of the vocabulary, 0 for none), other (hashes of those with none), symbols (tokens and those of spelled words), spelling (nats of the latter; without the counts of spelling, 0) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (part, w, codes, ids, rare, first, hashes) in enumerate(_coded(batches, vocabulary.value)):
-            keys, word = spelled(w, first, ids[rare] - VOCABULARY)
             size, cost = np.ones(len(ids)), np.zeros(len(ids))
-            size[rare] += np.bincount(word, minlength=len(rare))
-            cost[rare] = -np.bincount(word, np.log(spelling.value.p(keys)), len(rare))
+            if spelling is not None:
+                keys, word = spelled(w, first, ids[rare] - VOCABULARY)
+                size[rare] += np.bincount(word, minlength=len(rare))
+                cost[rare] = -np.bincount(word, np.log(spelling.value.p(keys)), len(rare))
             symbols, nats = (np.bincount(w.doc, x[codes], part.num_rows) for x in (size, cost))
             own, number = np.zeros((len(ids), 8), np.uint8), np.zeros(len(ids), "<u2")
             own[rare], number[rare] = hashes.astype("<u8").view(np.uint8).reshape(-1, 8), _numbers(hashes, book.value)
@@ -237,10 +250,14 @@ def held(tokens: list[bytes], rare: list[bytes] | None = None, other: list[bytes
     With rare and other, each token of a word outside of the vocabulary has that word's number or hash above its BITS."""
     out, size = [], 0
     for row, x in enumerate(tokens):
-        x = np.r_[BEGIN, BEGIN, unsqueeze(x, "<u2")].astype(np.int64)
+        own = unsqueeze(x, "<u2")
+        x = np.full(len(own) + 2, BEGIN, np.int64)
+        x[2:] = own
         if rare is not None:
             own, number = np.frombuffer(_UNSQUEEZER.decompress(other[row]), np.uint8).reshape(-1, WORD_BYTES), unsqueeze(rare[row], "<u2").astype(np.int64) << 1
-            number[number == 0] = np.pad(own, ((0, 0), (0, 8 - WORD_BYTES))).view("<i8").ravel() << 1 | 1
+            wide = np.zeros((len(own), 8), np.uint8)
+            wide[:, :WORD_BYTES] = own
+            number[number == 0] = wide.view("<i8").ravel() << 1 | 1
             x[(x >= VOCABULARY) & (x < BEGIN)] |= number << BITS
         for at in range(0, len(x) - 2, HELD):
             out.append((row, x[at : at + HELD + 2]))
@@ -283,14 +300,15 @@ def _merged(found: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each chunk of rows (chunk, tokens) with its distinct trigrams and their counts, or, of rows with rare, with its distinct tokens after words. A chunk that is cut over batches comes in parts."""
+    """Each chunk of rows (chunk, tokens) with its distinct trigrams and their counts, and, of rows with rare, its distinct tokens after words. A chunk that is cut over batches comes in parts."""
     for part in batches:
         chunk = part.column("chunk").to_numpy()
         for c in np.unique(chunk):
             rows = part.filter(pa.array(chunk == c))
             tokens = rows.column("tokens").to_pylist()
             if "rare" in rows.schema.names:
-                found = (x[x > 0] for x in map(after_words, held(tokens, rows.column("rare").to_pylist(), rows.column("other").to_pylist())))
+                parts = held(tokens, rows.column("rare").to_pylist(), rows.column("other").to_pylist())
+                found = (np.r_[grams(x)[0], worded[worded > 0]] for x in parts for worded in [after_words(x)])
             else:
                 found = (grams(x)[0] for x in held(tokens))
             own = [np.unique(x, return_counts=True) for x in found]
@@ -433,10 +451,13 @@ class Model:
             place = np.searchsorted(keys, k)
             return np.where(keys[place] == k, place, len(keys) - 1)
 
-        pair = found & PAIR
-        low = a[at(PAIRS + pair)] + self.weight[pair >> BITS] * self.single[pair & BEGIN]
-        p = a[at(found)] + b[at(PAIRS + (found >> BITS))] * low
+        # what is looked up is sorted, which is many times faster
+        found, back = np.unique(found, return_inverse=True)
+        pair, of = np.unique(found & PAIR, return_inverse=True)
+        low = (a[at(PAIRS + pair)] + self.weight[pair >> BITS] * self.single[pair & BEGIN])[of]
+        p = (a[at(found)] + b[at(PAIRS + (found >> BITS))] * low)[back]
         own, here = p.copy(), np.flatnonzero(worded)
+        here = here[np.argsort(worded[here])]
         place = at(worded[here])
         own[here] = a[place] + b[place] * p[here]
         return p, own
@@ -479,93 +500,109 @@ def model_of(tokens: DataFrame, scratch: Scratch) -> Model:
     return Model(scratch.table(three.join(dealt, "shard", "full").withColumn("of", F.lit(shards)), "model"), _discounts([of.get(-i, 0) for i in (1, 2, 3, 4)]), weight, single)
 
 
-def _answers(tokens: DataFrame, model: Model) -> DataFrame:
-    """chunk, keys, a, b: for every chunk, the rows of the model (key, a, b) that its trigrams need, in lists."""
+def _worded(counted: DataFrame, shards: int) -> DataFrame:
+    """shard, keys, n: the distinct tokens after words of counted tokens and their counts, one row to a shard of contexts."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found, n in _chunks(batches):
+            own = found >= WORDS
+            yield from _dealt(found[own], n[own], shard_of(found[own] >> BITS, shards))
+
+    return _gathered(counted.select("chunk", "tokens", "rare", "other").mapInArrow(send, LISTS))
+
+
+def _unfold_worded(keys: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, a, context, b of a shard of _worded: of each token after words its share of the counts, and of each context what it leaves to the trigram, by Witten and Bell."""
+    keys, n = unpack(keys), unsqueeze(n, "<i8")
+    context, at, back = np.unique(keys >> BITS, return_index=True, return_inverse=True)
+    kinds = np.bincount(back)
+    size = np.add.reduceat(n, at) + kinds
+    return keys, (n / size[back]).astype("<f4"), context, (kinds / size).astype("<f4")
+
+
+def _answers(tokens: DataFrame, model: Model, worded: DataFrame, of_words: int) -> DataFrame:
+    """chunk, keys, a, b: for every chunk, in lists, the rows of the model (key, a, b) that its trigrams need, and its tokens after two words that counted tokens have, their share of the counts (a) and what the words leave to the trigram (b).
+    All questions go out in one shuffle. worded: shards of _worded, of_words in all."""
     shards = model.shards.first()["of"]
     lots = _n_tokens(tokens) // (shards * ASKED) + 1
     small = tokens.sparkSession.sparkContext.broadcast(Model(None, model.discounts, model.weight, model.single))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, found, _ in _chunks(batches):
+            found, own = np.split(found, [np.searchsorted(found, WORDS)])
             pairs = np.unique(np.r_[found >> BITS, found & PAIR])
-            keys, shard = np.r_[found, PAIRS + pairs], np.r_[shard_of(found >> BITS, shards), shard_of(pairs, shards)]
             lot = int(mix(np.array([chunk], np.uint64))[0] % np.uint64(lots))
-            for x in np.unique(shard):
-                yield pa.record_batch({"shard": pa.array([x], pa.int32()), "lot": pa.array([lot], pa.int32()), "chunk": pa.array([chunk]), "keys": pa.array([pack(keys[shard == x])], pa.binary())})
+            whole = np.r_[found, PAIRS + pairs], np.r_[shard_of(found >> BITS, shards), shard_of(pairs, shards)], lot
+            for words_, (keys, shard, lot) in enumerate((whole, (own, shard_of(own >> BITS, of_words), 0))):
+                for x in np.unique(shard):
+                    yield pa.record_batch({"words": pa.array([words_], pa.int32()), "shard": pa.array([x], pa.int32()), "lot": pa.array([lot], pa.int32()), "chunk": pa.array([int(chunk)], pa.int64()), "keys": pa.array([pack(keys[shard == x])], pa.binary())})
 
     def answer(asks: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         out = []
         for x in shard.itertuples():  # one row
-            known, a, b = small.value.unfold(x.keys, x.n, x.pairs, x.p)
-            for chunk, keys in zip(asks.chunk, asks["keys"], strict=True):
-                keys = unpack(keys)
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                at = at[known[at] == keys]
-                if len(at):
-                    out.append((chunk, pack(known[at]), squeeze(a[at]), squeeze(b[at])))
-        return pd.DataFrame(out, columns=["chunk", "keys", "a", "b"])
-
-    asks = tokens.select("chunk", "tokens").mapInArrow(ask, "shard int, lot int, chunk long, keys binary")
-    each = model.shards.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
-    return asks.groupBy("shard", "lot").cogroup(each.groupBy("shard", "lot")).applyInPandas(answer, "chunk long, keys binary, a binary, b binary")
-
-
-def _worded(tokens: DataFrame, counted: DataFrame) -> DataFrame:
-    """chunk, keys, a, b: for every chunk, its tokens after two words that counted tokens have, their share of the counts (a) and what the words leave to the trigram (b), by Witten and Bell.
-    Counts and questions of a shard of contexts meet in one shuffle."""
-    shards = _n_tokens(tokens) // ASKED + 1
-
-    def told(ask: bool):
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for chunk, found, n in _chunks(batches):
-                for x in _dealt(found, n, shard_of(found >> BITS, shards)):
-                    yield pa.record_batch({"shard": x.column("shard"), "chunk": pa.array([int(chunk)] if ask else [None], pa.int64()), "keys": x.column("keys"), "n": pa.nulls(1, pa.binary()) if ask else x.column("n")})
-
-        return send
-
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, n, out = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        own = rows[rows.n.notna()]
-        if not len(own):
-            return pd.DataFrame(out, columns=["chunk", "keys", "a", "b"])
-        for i in range(0, len(own), 16):
-            part = own[i : i + 16]
-            keys, n = _merged([keys, *map(unpack, part["keys"])], [n, *(unsqueeze(x, "<i8") for x in part.n)])
-        context, at, back = np.unique(keys >> BITS, return_index=True, return_inverse=True)
-        kinds, size = np.bincount(back), np.add.reduceat(n, at) + np.bincount(back)
-        a, b = (n / size[back]).astype("<f4"), (kinds / size).astype("<f4")
-        asks = rows[rows.n.isna()]
-        for chunk, found in zip(asks.chunk, asks["keys"], strict=True):
-            found = unpack(found)
-            of = np.minimum(np.searchsorted(context, found >> BITS), len(context) - 1)
-            seen = context[of] == found >> BITS
-            found, of = found[seen], of[seen]
-            if len(found):
-                at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                out.append((int(chunk), pack(found), squeeze(np.where(keys[at] == found, a[at], 0).astype("<f4")), squeeze(b[of])))
+            if x.words:
+                keys, share, known, left = _unfold_worded(x.keys, x.n)
+            else:
+                known, a, b = small.value.unfold(x.keys, x.n, x.pairs, x.p)
+            for chunk, found in zip(asks.chunk, asks["keys"], strict=True):
+                found = unpack(found)
+                wanted = found >> BITS if x.words else found
+                at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                seen = known[at] == wanted
+                found, at = found[seen], at[seen]
+                if not len(found):
+                    continue
+                if x.words:
+                    own = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                    out.append((chunk, pack(found), squeeze(np.where(keys[own] == found, share[own], 0).astype("<f4")), squeeze(left[at])))
+                else:
+                    out.append((chunk, pack(found), squeeze(a[at]), squeeze(b[at])))
         return pd.DataFrame(out, columns=["chunk", "keys", "a", "b"])
 
-    counts, asks = (x.select("chunk", "tokens", "rare", "other").mapInArrow(told(ask), "shard int, chunk long, keys binary, n binary") for x, ask in ((counted, False), (tokens, True)))
-    return counts.unionByName(asks).groupBy("shard").applyInPandas(answer, "chunk long, keys binary, a binary, b binary")
+    asks = tokens.select("chunk", "tokens", "rare", "other").mapInArrow(ask, "words int, shard int, lot int, chunk long, keys binary")
+    each = model.shards.drop("of").withColumns({"lot": F.explode(F.sequence(F.lit(0), F.lit(lots - 1))), "words": F.lit(0)})
+    each = each.unionByName(worded.withColumns({"lot": F.lit(0), "words": F.lit(1)}), allowMissingColumns=True)
+    by = ("words", "shard", "lot")
+    return asks.groupBy(*by).cogroup(each.groupBy(*by)).applyInPandas(answer, "chunk long, keys binary, a binary, b binary")
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """doc_id, lang, digest, n_tokens, perplexity (of tokens alone), symbols (tokens and those of spelled words), spelling (nats of the latter), nats (of tokens after the words themselves) of each row of docs (doc_id, text, lang); None if nothing is trusted."""
-    good = scratch.table(trusted_ids(labels), "trusted")  # Spark broadcasts it if its file is small
-    frequent = _vocabulary(docs.join(good, "doc_id", "left_semi"))
-    vocabulary = frequent[:VOCABULARY]
-    if not len(vocabulary):
-        return None
-    shared, book = map(docs.sparkSession.sparkContext.broadcast, (vocabulary, frequent[VOCABULARY:]))
-    counted = good.where(~held_out())
-    if counted.isEmpty():  # a handful of trusted documents
-        counted = good
-    spelling = docs.sparkSession.sparkContext.broadcast(_spelling(docs.join(counted, "doc_id", "left_semi"), shared))
-    tokens = scratch.table(_tokens(docs, shared, book, spelling), "tokens")
-    model = model_of(tokens.join(counted, "doc_id", "left_semi"), scratch)
-    scratch.drop("trigrams", "pairs")
-    known = _answers(tokens, model).unionByName(_worded(tokens, tokens.join(counted, "doc_id", "left_semi")))
-    small = docs.sparkSession.sparkContext.broadcast(Model(None, model.discounts, model.weight, model.single))
+    """doc_id, lang, digest, n_tokens, perplexity (of tokens alone), symbols (tokens and those of spelled words), spelling (nats of the latter), nats (of tokens after the words themselves) of each row of docs (doc_id, text, lang); None if nothing is trusted.
+    Rows are scored in lots, one after another, and what a lot sent goes before the next: so disk holds the counts and one lot."""
+    with brief_shuffles(docs.sparkSession):
+        good = scratch.table(trusted_ids(labels), "trusted")  # Spark broadcasts it if its file is small
+        frequent = _vocabulary(docs.join(good, "doc_id", "left_semi"))
+        vocabulary = frequent[:VOCABULARY]
+        if not len(vocabulary):
+            return None
+        share = docs.sparkSession.sparkContext.broadcast
+        shared, book = map(share, (vocabulary, frequent[VOCABULARY:]))
+        counted = good.where(~held_out())
+        if counted.isEmpty():  # a handful of trusted documents
+            counted = good
+        texts = docs.join(counted, "doc_id", "left_semi")
+        spelling = share(_spelling(texts, shared))
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        lots = LOTS if size >= LOT else 1
+        tokens = scratch.table(_tokens(texts, shared, book, None), "tokens")
+        model = model_of(tokens, scratch)
+        scratch.drop("trigrams", "pairs")
+        shards = max(_n_tokens(tokens), size // WORD) // ASKED + 1
+        worded = scratch.table(_worded(tokens, shards), "worded")
+        scratch.drop("tokens")
+        small = share(Model(None, model.discounts, model.weight, model.single))
+        of = F.pmod(F.xxhash64("doc_id", "text"), F.lit(lots))
+        scored = []
+        for lot in range(lots):
+            tokens = scratch.table(_tokens(docs.where(of == lot) if lots > 1 else docs, shared, book, spelling), "tokens")
+            scored.append(scratch.table(_scored(tokens, _answers(tokens, model, worded, shards), small), "perplexities"))
+            scratch.drop("tokens")
+        scratch.drop("model", "worded", "trusted")
+        return functools.reduce(DataFrame.unionByName, scored)
+
+
+def _scored(tokens: DataFrame, known: DataFrame, small) -> DataFrame:
+    """The rows of perplexities from tokens and what their chunks know (chunk, keys, a, b)."""
 
     def score(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         keys, by = np.unique(np.concatenate([np.zeros(0, np.int64), *map(unpack, table["keys"])]), return_index=True)
@@ -603,7 +640,7 @@ def _verdicts(docs: DataFrame, labels: DataFrame, low: float, high: float) -> Da
         return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.xxhash64("text").alias("digest"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"), some.alias("kept"))
     whole = F.exp((F.col("nats") + F.col("spelling")) / F.col("symbols"))
     scored = scratch.table(found.withColumn("perplexity", F.when(F.col("n_tokens") > 0, whole)).drop("symbols", "spelling", "nats"), "scored")
-    scratch.drop("tokens", "model", "trusted")
+    scratch.drop("perplexities")
     bands, everywhere = _bands(scored.where("n_tokens > 0").join(trusted_ids(labels), "doc_id", "left_semi").withColumn("held", held_out()), low, high, scratch)
     cut = F.coalesce("cuts", F.array(*map(F.lit, everywhere)))
     kept = (F.col("n_tokens") > 0) & F.col("perplexity").between(cut[0], cut[1])

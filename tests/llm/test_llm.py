@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -634,6 +635,44 @@ def test_words_outside_of_the_vocabulary_are_contexts(spark, monkeypatch):
     assert all(verdict[i] == pytest.approx(np.exp((r.nats + r.spelling) / r.symbols)) for i, r in got.items() if r.n_tokens)
 
 
+def test_perplexities_keep_one_lot_on_disk(spark, monkeypatch):
+    """Lots have the rows of a single one, one table of tokens is there at a time, and what a lot sent is gone when it ends."""
+    from quarry.llm.scratch import Scratch
+
+    def sent():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (found.apply(i).getName() for i in range(found.size())) if name.startswith("shuffle_")}
+
+    class Watched(Scratch):
+        left, lots = 0, 0
+
+        def table(self, df, name):
+            before = sent()
+            out = super().table(df, name)
+            for _ in range(100):  # files go beside the driver's work
+                if not sent() - before:
+                    break
+                time.sleep(0.05)
+            self.left, self.lots = self.left + len(sent() - before), self.lots + (name == "tokens")
+            assert len(self.paths.get("tokens", [])) <= 1
+            return out
+
+    rng = np.random.default_rng(21)
+    rows = [(i, " ".join(f"{x}{rng.integers(90)}" for x in rng.choice(["q", "R", "é", "s."], 20)), "en") for i in range(90)] + [(None, "q1 R2", None), (90, "", "en"), (91, None, "en"), (None, "q1 R2", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    found = []
+    for lot, lots in ((1 << 27, 1), (500, 6)):
+        monkeypatch.setattr(perplexity, "LOT", lot, raising=False)
+        scratch = Watched(spark)
+        rows = perplexity.perplexities(docs, labels, scratch).select("doc_id", "n_tokens", "perplexity", "symbols", "spelling", "nats").collect()
+        found.append(sorted(tuple(-1 if x is None or x != x else x for x in r) for r in rows))
+        assert scratch.left == 0 and scratch.lots == lots + 1  # the first table is that of counted text
+    assert len(found[0]) == len(found[1]) == 94
+    assert all(x == pytest.approx(y, rel=1e-6) for x, y in zip(*found, strict=True))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_pipeline_tells_rare_words_apart(spark, tmp_path):
     """A word in no other text costs what its letters cost: the first stage rejects letters that trusted text does not have, though word for word the shapes are the same."""
     import corpus_pipeline
